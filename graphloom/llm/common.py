@@ -117,3 +117,8 @@ def normal_tail(z: Column) -> Column:
     t = 1 / (1 + 0.2316419 * x)
     tail = F.exp(-x * x / 2) * 0.3989422804014327 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
+def bounded(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """df with a broadcast hint if it is counted to be small, df itself (a shuffled join) otherwise. For thin rows only."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

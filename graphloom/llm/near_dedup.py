@@ -3,10 +3,12 @@
 Words are lower-cased (A-Z only) and split at ASCII white space. A document's set holds its distinct five-word shingles (all
 words as one shingle below five). Two documents are linked when 100 * |A & B| >= 75 * |A | B|.
 
-1. Per document, in one narrow pass: MinHash samples, 32 bands of 4, and an odd sketch: each sample flips one of 256 bits, so
-   the XOR of two sketches has a population count that estimates the similarity.
+1. Per document, in one narrow pass: 32 bands of 4 MinHash samples, and an odd sketch: 1024 more samples (the least hash of each of
+   1024 ranges) each flip one of 2048 bits, so that the XOR of two sketches has a population count that tells how many samples
+   differ, and so the similarity.
 2. Documents with equal sets share a class; only class representatives go on.
-3. Within a bucket each member meets the smallest and the largest member; sketches screen these pairs and full sets decide.
+3. Within a bucket each member meets the bucket's hub, the member whose buckets are largest in all (that with the fewest edits, in
+   a group of edited copies). Sketches screen these pairs, five standard deviations wide, and full sets decide.
 4. Buckets whose members then lie in several components are joined with themselves, so that every remaining pair of a
    bucket across components is met too. No pair within a component is ever made.
 
@@ -26,14 +28,15 @@ from pyspark.sql import functions as F
 from .common import U, Words, as_long, materialise, mix, slices, table
 from .components import components
 
-SHINGLE, SAMPLES, ROWS, BITS = 5, 128, 4, 256
+SHINGLE, SAMPLES, ROWS = 5, 128, 4
 BANDS = SAMPLES // ROWS
-#: Sketches of a pair at similarity 0.75 differ in 50 bits, give or take 7; pairs beyond this are at least five deviations off.
-FAR_BITS = 86
+BINS, BITS = 1024, 2048
+#: Standard deviations of the estimate within which a pair is confirmed on full sets.
+DEVIATIONS = 5.0
 PER_SALT = 256
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 _BAND_OF = (np.arange(SAMPLES, dtype=np.uint64) // U(ROWS) + U(1)) * U(0xA24BAED4963EE407)
-SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>"
+SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, filled int, sketch array<long>"
 
 
 def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
@@ -62,16 +65,29 @@ def samples(s: np.ndarray) -> np.ndarray:
     return low
 
 
-def odd_sketch(low: np.ndarray) -> np.ndarray:
-    """The samples folded into a parity bitmap of BITS bits, as 64-bit words."""
-    bit = mix(low + np.arange(SAMPLES, dtype=np.uint64)) % U(BITS)
-    parity = (np.bincount(bit.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
-    return np.packbits(parity, bitorder="little").view(np.int64)
+def odd_sketch(s: np.ndarray) -> tuple[int, np.ndarray]:
+    """(samples, parity bitmap as 64-bit words) of a sorted set: the least hash of each range is a sample, and flips one bit."""
+    ranges = s >> U(54)
+    low = s[np.concatenate(([True], ranges[1:] != ranges[:-1]))]
+    parity = (np.bincount((mix(low) >> U(53)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return len(low), np.packbits(parity, bitorder="little").view(np.int64)
 
 
-def estimate(different_bits: float) -> float:
-    """The similarity that so many different bits of two odd sketches stand for."""
-    return 1 + BITS / (4 * SAMPLES) * np.log(max(1 - 2 * different_bits / BITS, 1e-9))
+def _screen(a: str, b: str) -> F.Column:
+    """Whether two sketches may belong to a linked pair. At similarity 0.75, the union fills so many ranges, three quarters of
+    them with equal samples; the rest flips bits. What is expected there, and DEVIATIONS more, is let through."""
+    n, filled = F.col(f"n{a}") + F.col(f"n{b}"), F.col(f"k{a}") + F.col(f"k{b}")
+    union = BINS * (1 - F.exp(-n / (1.75 * BINS)))
+    apart = F.greatest(filled - 1.5 * union, F.lit(0.0))
+    # samples vary as a draw does from which the share of unsampled shingles is missing, and so does the number of ranges filled
+    load = n / (1.75 * BINS)
+    drawn = 4 * union * 0.1875 * F.greatest(1 - filled / n, F.lit(0.02)) + 2.25 * BINS * F.exp(-load) * (1 - (1 + load) * F.exp(-load))
+    rate = 4 * apart / BITS
+    slope = F.exp(-2 * apart / BITS)
+    folded = BITS / 4 * (1 - F.exp(-rate) * (1 + rate))
+    allowed = BITS / 2 * (1 - slope) + DEVIATIONS * F.sqrt(drawn * slope * slope + folded) + 3
+    bits = sum((F.bit_count(F.col(f"s{a}")[i].bitwiseXOR(F.col(f"s{b}")[i])) for i in range(BITS // 64)), F.lit(0))
+    return bits <= allowed
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,11 +100,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(s):
                     low = samples(s)
                     band = mix((mix(low) + _BAND_OF).reshape(BANDS, ROWS)[:, 0] + sum(mix(low).reshape(BANDS, ROWS)[:, j] * U(2 * j + 3) for j in range(1, ROWS)))
-                    rows.append((i, len(s), f1, f2, as_long(band).tolist(), odd_sketch(low).tolist()))
+                    filled, sketch = odd_sketch(s)
+                    rows.append((i, len(s), f1, f2, as_long(band).tolist(), filled, sketch.tolist()))
                 else:
-                    rows.append((i, 0, 0, 0, [], []))
+                    rows.append((i, 0, 0, 0, [], 0, []))
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64())))], ["doc_id", "n_shingles", "f1", "f2", "bands", "filled", "sketch"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,16 +120,10 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["u", "v"])
 
 
-def _apart(a: str, b: str) -> F.Column:
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)), F.lit(0))
-
-
-def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs(a, b), b the side that may occur in very many pairs -> the confirmed links (u, v)."""
     degree = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
     salted = pairs.join(degree, "b").select("a", "b", F.expr("cast(pmod(xxhash64(a), salts) as int)").alias("salt"))
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "dedup-text")
     copies = texts.join(degree.withColumnRenamed("b", "doc_id"), "doc_id").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
     near = salted.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(copies, ["b", "salt"])
     return materialise(near.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "u long, v long"), "dedup-links")
@@ -125,24 +136,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = signed.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = signed.select("doc_id", "f1", "f2", "n_shingles").join(classes, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = materialise(reps.select(F.col("doc_id").alias("id"), "bands", "sketch"), "dedup-reps")
+    reps = materialise(reps.select(F.col("doc_id").alias("id"), "bands", F.col("n_shingles").alias("n"), F.col("filled").alias("k"), F.col("sketch").alias("s")), "dedup-reps")
+    named = lambda x: reps.select(F.col("id").alias(x), *(F.col(c).alias(c + x) for c in "nks"))
 
     banded = reps.select("id", F.explode("bands").alias("bucket"))
-    ends = banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    met = banded.join(ends, "bucket").filter("id <> lo").select(F.col("id").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter("a <> b")
-    left, right = (reps.select(F.col("id").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    tried = met.distinct().join(left, "a").join(right, "b").filter(_apart("sa", "sb") <= FAR_BITS).select("a", "b")
-    tried = materialise(tried, "dedup-tried")
-    links = _links(tried, docs)
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = materialise(banded.join(shared, "bucket"), "dedup-shared")
+    weight = shared.groupBy("id").agg(F.sum("members").alias("weight"))
+    hubs = shared.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("i"))).alias("h")).select("bucket", (-F.col("h.i")).alias("b"))
+    met = shared.join(hubs, "bucket").select(F.col("id").alias("a"), "b").filter("a <> b").distinct()
+    tried = materialise(met.join(named("a"), "a").join(named("b"), "b").filter(_screen("a", "b")).select("a", "b"), "dedup-tried")
+    texts = docs.join(weight.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = materialise(texts, "dedup-text")
+    links = _links(tried, texts)
     label = materialise(components(links), "dedup-label")
 
-    placed = banded.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    placed = shared.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    placed = materialise(placed.join(mixed, "bucket", "left_semi").join(reps.select("id", "sketch"), "id"), "dedup-rest")
-    x, y = (placed.select("bucket", F.col("id").alias(k), F.col("component").alias(f"c{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    rest = x.join(y, (x.bucket == y.bucket) & (F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")) & (_apart("sa", "sb") <= FAR_BITS)).select("a", "b").distinct()
+    placed = placed.join(mixed, "bucket", "left_semi")
+    placed = materialise(placed.join(reps.select("id", "n", "k", "s"), "id"), "dedup-rest")
+    x, y = (placed.select("bucket", F.col("id").alias(i), F.col("component").alias(f"c{i}"), *(F.col(c).alias(c + i) for c in "nks")) for i in "ab")
+    rest = x.join(y, (x.bucket == y.bucket) & (F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")) & _screen("a", "b")).select("a", "b").distinct()
     done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = _links(materialise(rest.join(done, ["a", "b"], "left_anti"), "dedup-more"), docs)
+    more = _links(materialise(rest.join(done, ["a", "b"], "left_anti"), "dedup-more"), texts)
     label = components(links.union(more))
     return member.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "rep")).alias("kept")

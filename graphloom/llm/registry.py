@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from . import near_dedup, substring_dedup
+from . import chat_format, decontaminate, language_id, mips, mixing, near_dedup, quality_lm, repair_tokens, secrets, substring_dedup
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "op1_repair_tokens": repair_tokens.op1_repair_tokens,
+        "op2_randomness_secrets": secrets.op2_randomness_secrets,
+        "op3_anisotropic_mips": mips.op3_anisotropic_mips,
+        "op4_block_mix": mixing.op4_block_mix,
+        "op5_prefix_targets": chat_format.op5_prefix_targets,
+        "op6_naive_bayes_langid": language_id.op6_naive_bayes_langid,
+        "op7_seeded_alignment": decontaminate.op7_seeded_alignment,
         "op8_odd_sketch_dedup": near_dedup.op8_odd_sketch_dedup,
+        "op9_kneser_ney_quality": quality_lm.op9_kneser_ney_quality,
         "op10_super_kmer_dedup": substring_dedup.op10_super_kmer_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op8_odd_sketch_dedup": near_dedup.ORACLE, "op10_super_kmer_dedup": substring_dedup.ORACLE}
+    return {
+        "op5_prefix_targets": chat_format.ORACLE,
+        "op8_odd_sketch_dedup": near_dedup.ORACLE,
+        "op10_super_kmer_dedup": substring_dedup.ORACLE,
+    }
