@@ -16,7 +16,7 @@ from graphloom.llm.common import materialise, table
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is recognised (those without any letter are rejected)."""
-    known = language_id.train(docs.filter(~language_id.HELD))
+    known = language_id.train(docs.filter(~language_id.held_out()))
     seen = language_id.predict(docs, *known).filter("lang_pred <> 'und'").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(seen, docs["doc_id"] == F.col("__id"), "left_semi")
 

@@ -16,7 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U, slices, table
@@ -127,13 +127,14 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-HELD = F.expr("pmod(crc32(cast(doc_id as string)), 4) = 2")
+def held_out() -> Column:
+    return F.expr("pmod(crc32(cast(doc_id as string)), 4) = 2")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Learns from docs(doc_id, text, lang) and predicts all of them: doc_id, held_out, lang_pred, score."""
-    out = predict(docs, *train(docs.filter(~HELD)))
-    return out.select("doc_id", HELD.alias("held_out"), "lang_pred", "score")
+    out = predict(docs, *train(docs.filter(~held_out())))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op6_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,11 @@ BLOCK, SHARD_SLOTS = 64, 8192
 #: Rows of a chunk, about.
 CHUNK = 2000
 ROUNDS = 16
-_KEY = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
+
+
+def _key() -> Column:
+    """The source as a join key; null is a source of its own."""
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
 
 
 def n_words(text: Column) -> Column:
@@ -70,8 +74,8 @@ def packed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
     rows = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / CHUNK).alias("chunks"))
     sources = targets(rows.select("source", "source_size")).join(rows.select(F.col("source").alias("s"), "chunks"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    sources = materialise(sources.withColumn("key", _KEY), "mix-sources")
-    d = docs.withColumn("key", _KEY).join(sources.select("key", "chunks"), "key").withColumn("chunk", chunk)
+    sources = materialise(sources.withColumn("key", _key()), "mix-sources")
+    d = docs.withColumn("key", _key()).join(sources.select("key", "chunks"), "key").withColumn("chunk", chunk)
     within = Window.partitionBy("key", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     sums = d.groupBy("key", "chunk").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,12 +3,12 @@
 Words are lower-cased (A-Z only) and split at ASCII white space. A document's set holds its distinct five-word shingles (all
 words as one shingle below five). Two documents are linked when 100 * |A & B| >= 75 * |A | B|.
 
-1. Per document, in one narrow pass: 32 bands of 4 MinHash samples, and an odd sketch: 1024 more samples (the least hash of each of
-   1024 ranges) each flip one of 2048 bits, so that the XOR of two sketches has a population count that tells how many samples
+1. Per document, in one narrow pass: 32 bands of 4 MinHash samples, and an odd sketch: 2048 more samples (the least hash of each of
+   2048 ranges) each flip one of 2048 bits, so that the XOR of two sketches has a population count that tells how many samples
    differ, and so the similarity.
 2. Documents with equal sets share a class; only class representatives go on.
 3. Within a bucket each member meets the bucket's hub, the member whose buckets are largest in all (that with the fewest edits, in
-   a group of edited copies). Sketches screen these pairs, five standard deviations wide, and full sets decide.
+   a group of edited copies). Sketches screen these pairs, four standard deviations wide, and full sets decide.
 4. Buckets whose members then lie in several components are joined with themselves, so that every remaining pair of a
    bucket across components is met too. No pair within a component is ever made.
 
@@ -30,9 +30,9 @@ from .components import components
 
 SHINGLE, SAMPLES, ROWS = 5, 128, 4
 BANDS = SAMPLES // ROWS
-BINS, BITS = 1024, 2048
+BINS, BITS = 2048, 2048
 #: Standard deviations of the estimate within which a pair is confirmed on full sets.
-DEVIATIONS = 5.0
+DEVIATIONS = 4.0
 PER_SALT = 256
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 _BAND_OF = (np.arange(SAMPLES, dtype=np.uint64) // U(ROWS) + U(1)) * U(0xA24BAED4963EE407)
@@ -67,9 +67,9 @@ def samples(s: np.ndarray) -> np.ndarray:
 
 def odd_sketch(s: np.ndarray) -> tuple[int, np.ndarray]:
     """(samples, parity bitmap as 64-bit words) of a sorted set: the least hash of each range is a sample, and flips one bit."""
-    ranges = s >> U(54)
+    ranges = s >> U(53)
     low = s[np.concatenate(([True], ranges[1:] != ranges[:-1]))]
-    parity = (np.bincount((mix(low) >> U(53)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    parity = (np.bincount((mix(low) % U(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
     return len(low), np.packbits(parity, bitorder="little").view(np.int64)
 
 
@@ -79,13 +79,16 @@ def _screen(a: str, b: str) -> F.Column:
     n, filled = F.col(f"n{a}") + F.col(f"n{b}"), F.col(f"k{a}") + F.col(f"k{b}")
     union = BINS * (1 - F.exp(-n / (1.75 * BINS)))
     apart = F.greatest(filled - 1.5 * union, F.lit(0.0))
+    # no more samples than shingles differ, but for one more by each shingle that isn't a sample
+    most = n / 7 + n - filled
     # samples vary as a draw does from which the share of unsampled shingles is missing, and so does the number of ranges filled
     load = n / (1.75 * BINS)
     drawn = 4 * union * 0.1875 * F.greatest(1 - filled / n, F.lit(0.02)) + 2.25 * BINS * F.exp(-load) * (1 - (1 + load) * F.exp(-load))
     rate = 4 * apart / BITS
     slope = F.exp(-2 * apart / BITS)
     folded = BITS / 4 * (1 - F.exp(-rate) * (1 + rate))
-    allowed = BITS / 2 * (1 - slope) + DEVIATIONS * F.sqrt(drawn * slope * slope + folded) + 3
+    flipped = lambda d: BITS / 2 * (1 - F.exp(-2 * d / BITS))
+    allowed = F.least(flipped(apart) + DEVIATIONS * F.sqrt(drawn * slope * slope + folded), flipped(most) + DEVIATIONS * F.sqrt(folded)) + 1
     bits = sum((F.bit_count(F.col(f"s{a}")[i].bitwiseXOR(F.col(f"s{b}")[i])) for i in range(BITS // 64)), F.lit(0))
     return bits <= allowed
 
