@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +24,6 @@ def xavier(rows: int, cols: int, seed: int = 0) -> np.ndarray:
 
 def linear(x: DataFrame, w: np.ndarray, vec: str = "h") -> DataFrame:
     """x W, in Arrow batches: one matrix product per batch. Other columns stay."""
-    import pandas as pd
-
     width = w.shape[0]
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
