@@ -83,7 +83,9 @@ class GatherExtreme:
 class EdgeSoftmax:
     """Softmax of a scalar score (src, dst, s) over the in-edges of each dst: (src, dst, a)."""
 
-    _own = Window.partitionBy("dst")
+    @property
+    def _own(self):
+        return Window.partitionBy("dst")
 
     def forward(self, s: DataFrame) -> DataFrame:
         e = s.withColumn("e", F.exp(F.col("s") - F.max("s").over(self._own)))
