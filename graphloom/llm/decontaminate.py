@@ -35,14 +35,14 @@ _EDGE = b".,;:!?\"'()[]{}<>*&%$#|-_"
 
 
 def clean(text: bytes) -> list[bytes]:
-    return [x for x in (w.strip(_EDGE) for w in text.lower().split()) if x]
+    return [x for x in (w.strip(_EDGE) for w in text.decode().lower().encode().split()) if x]
 
 
 class Cleaned(Words):
     """Words of lower-cased texts without the punctuation around them, found on the bytes."""
 
     def __init__(self, texts: list[bytes]):
-        super().__init__([t.lower() for t in texts])
+        super().__init__([t.decode().lower().encode() for t in texts])
 
     def _hash(self, joined: bytes) -> np.ndarray:
         edge = np.zeros(256, bool)
