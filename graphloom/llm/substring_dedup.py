@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +80,8 @@ def _digest(words: list[bytes]) -> str:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents without pieces are done; the others carry their text and their packed strings on."""
+    """Documents without pieces are done; the others carry their compressed text and their packed strings on."""
+    squeeze = zstandard.ZstdCompressor().compress
     for batch in batches:
         for part, texts in slices(batch):
             rows = []
@@ -87,19 +89,20 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 w = t.split()
                 if pieces:
                     packed = [(p["minimiser"], p["start"], p["windows"], b" ".join(w[p["start"] : p["start"] + p["windows"] + WINDOW - 1]).decode()) for p in pieces]
-                    rows.append((i, len(w), None, t.decode(), packed))
+                    rows.append((i, len(w), None, squeeze(t), packed))
                 else:
                     rows.append((i, len(w), _digest(w), None, None))
             cols = list(zip(*rows))
             packs = pa.array([c and [dict(zip(("minimiser", "start", "windows", "words"), x)) for x in c] for c in cols[4]], pa.list_(pa.struct([("minimiser", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("words", pa.string())])))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string()), packs], ["doc_id", "n_words", "kept_sha256", "text", "packs"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary()), packs], ["doc_id", "n_words", "kept_sha256", "body", "packs"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], keep_text: bool = False) -> Iterator[pa.RecordBatch]:
+    expand = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        for part, texts in slices(batch):
+        for part, bodies in slices(batch, "body", 1 << 20):
             out = []
-            for t, runs, firsts in zip(texts, part.column("runs").to_pylist(), part.column("firsts").to_pylist()):
+            for t, runs, firsts in zip(map(expand, bodies), part.column("runs").to_pylist(), part.column("firsts").to_pylist()):
                 w = t.split()
                 repeat = np.zeros(len(w) + 1, bool)
                 for r in runs:
@@ -148,13 +151,13 @@ def _dedup(docs: DataFrame, keep_text: bool) -> DataFrame:
     counts = materialise(listed.groupBy("minimiser").agg(F.sum("places").alias("count")).filter("count > 1"), "sub-counts")
     pieces = listed.join(counts.select("minimiser"), "minimiser").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "minimiser")).alias("pieces"))
     packed = docs.join(pieces, "doc_id", "left").mapInArrow(
-        _pack, f"doc_id long, n_words long, kept_sha256 string, text string, packs array<struct<minimiser: long, start: int, windows: int, words: string>>"
+        _pack, f"doc_id long, n_words long, kept_sha256 string, body binary, packs array<struct<minimiser: long, start: int, windows: int, words: string>>"
     )
     packed = materialise(packed, "sub-packed")
     some = packed.filter("packs is not null")
     packs = some.select("doc_id", F.explode("packs").alias("p")).select("doc_id", "p.minimiser", "p.start", "p.words")
     firsts = first_places(packs, counts.filter(F.col("count") > HOT).select("minimiser"))
-    runs = some.select("doc_id", "text", F.expr("transform(packs, x -> struct(x.start, x.windows))").alias("runs"))
+    runs = some.select("doc_id", "body", F.expr("transform(packs, x -> struct(x.start, x.windows))").alias("runs"))
     cut = runs.join(firsts, "doc_id", "left").mapInArrow(lambda b: _cut(b, keep_text), RESULT)
     if keep_text:
         rest = docs.join(packed.filter("packs is null").select("doc_id", "n_words"), "doc_id").select("doc_id", "n_words", F.lit(0).cast("long"), F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda x: x != ""), " "))
