@@ -52,6 +52,9 @@ class Layer:
     def layers(self) -> list[Layer]:
         return [self]
 
+    def release(self) -> None:
+        """Let go of what was kept for the backward pass."""
+
 
 class Linear(Layer):
     def __init__(self, w: np.ndarray):
@@ -165,20 +168,38 @@ class Attention(Layer):
 
 
 class Chain(Layer):
+    """Layers one after another. What comes out of a layer that shuffles is kept until `release` while training, as the backward
+    pass comes back to it; a lost executor's part is worked out anew."""
+
     def __init__(self, *steps: Layer):
         super().__init__()
-        self.steps = steps
+        self.steps, self.held = steps, []
+
+    def _keep(self, step: Layer, x: DataFrame) -> DataFrame:
+        if isinstance(step, (Gather, BatchNorm, Attention, Sum, Linear)):
+            x = x.persist()
+            self.held.append(x)
+        return x
 
     def forward(self, x, training=True):
         for s in self.steps:
             x = s.forward(x, training)
+            if training:
+                x = self._keep(s, x)
         return x
 
     def backward(self, g):
         for s in reversed(self.steps):
-            g = s.backward(g)
+            g = self._keep(s, s.backward(g))
         return g
 
+    def release(self):
+        for x in self.held:
+            x.unpersist()
+        self.held = []
+        for s in self.steps:
+            s.release()
+
     def layers(self):
         return [x for s in self.steps for x in s.layers()]
 
@@ -202,6 +223,10 @@ class Sum(Layer):
     def backward(self, g):
         return self._sum([b.backward(g) for b in self.branches])
 
+    def release(self):
+        for b in self.branches:
+            b.release()
+
     def layers(self):
         return [x for b in self.branches for x in b.layers()]
 

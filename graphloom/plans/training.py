@@ -36,6 +36,7 @@ def train(model: Layer, x: DataFrame, truth: DataFrame, epochs: int, optimiser=N
         flat = lambda kind: {(i, k): v for i, p in enumerate(layers) for k, v in getattr(p, kind).items()}
         for (i, k), w in optimiser.update(flat("weights"), flat("grads")).items():
             layers[i].weights[k] = w
+        model.release()
     return spark.createDataFrame(rows, "epoch int, mask int, n long, correct long, accuracy double, loss double")
 
 
@@ -69,6 +70,7 @@ def train_sampled(build, graph: Graph, x: DataFrame, truth: DataFrame, batch_siz
             flat = lambda kind: {(i, k): v for i, p in enumerate(layers) for k, v in getattr(p, kind).items()}  # noqa: E731, B023
             for (i, k), w in optimiser.update(flat("weights"), flat("grads")).items():
                 layers[i].weights[k] = w
+            model.release()
             kept = [p.weights for p in layers]
             rows.append((epoch, b, loss))
     return x.sparkSession.createDataFrame(rows, "epoch int, batch long, loss double")
