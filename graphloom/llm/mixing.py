@@ -69,19 +69,20 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
 
 
 def packed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, source, size) -> documents with `start` (words of their source before them), and the sources (key, source,
-    source_size, weight, target)."""
+    """docs(doc_id, source, size, ...) -> documents with `start` (words of their source before them; further columns break ties of
+    doc_id and size), and the sources (key, source, source_size, weight, target)."""
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
     rows = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / CHUNK).alias("chunks"))
     sources = targets(rows.select("source", "source_size")).join(rows.select(F.col("source").alias("s"), "chunks"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     sources = materialise(sources.withColumn("key", _key()), "mix-sources")
     d = docs.withColumn("key", _key()).join(sources.select("key", "chunks"), "key").withColumn("chunk", chunk)
-    within = Window.partitionBy("key", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ties = [c for c in docs.columns if c not in ("doc_id", "source", "size")]
+    within = Window.partitionBy("key", "chunk").orderBy("doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     sums = d.groupBy("key", "chunk").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("key", "chunk", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
     d = d.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(base, ["key", "chunk"])
-    return d.select("doc_id", "source", "size", "key", (F.col("base") + F.col("own")).alias("start")), sources
+    return d.select(*docs.columns, "key", (F.col("base") + F.col("own")).alias("start")), sources
 
 
 def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -110,8 +111,8 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
 
 
 def draws(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs(doc_id, source, size) -> (documents with their place, sources, the drawn pieces of documents).
-    A piece is (doc_id, size, key, start, pass, index, piece_from, piece_words): words of a document that a drawn block holds."""
+    """docs(doc_id, source, size, ...) -> (documents with their place, sources, the drawn pieces of documents).
+    A piece is (doc_id, size, ..., key, start, pass, index, piece_from, piece_words): words of a document that a drawn block holds."""
     placed, sources = packed(docs)
     placed = materialise(placed, "mix-placed")
     edges = placed.filter("size > 0").withColumn("index", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
@@ -132,12 +133,13 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: for each document and pass one row with the words of its drawn blocks, joined by one space, and
-    n_chars counted anew; other columns stay. Documents of which nothing is drawn go."""
+    n_chars counted anew; other columns stay. The draw is that of mix(). Documents of which nothing is drawn go, and rows that
+    are equal in doc_id, text and source count once."""
     given = docs.columns
     docs = materialise(docs.withColumn("__row", F.xxhash64("doc_id", "text", "source")).withColumn("__size", n_words(F.col("text"))), "mix-docs")
-    sized = docs.select(F.col("__row").alias("doc_id"), "source", F.col("__size").alias("size")).dropDuplicates(["doc_id"])
+    sized = docs.select("doc_id", "source", F.col("__size").alias("size"), "__row").dropDuplicates(["__row"])
     _, _, pieces = draws(sized)
-    drawn = pieces.groupBy("doc_id", "pass").agg(F.sort_array(F.collect_list(F.struct("piece_from", "piece_words"))).alias("__pieces")).withColumnRenamed("doc_id", "__row").drop("pass")
+    drawn = pieces.groupBy("__row", "pass").agg(F.sort_array(F.collect_list(F.struct("piece_from", "piece_words"))).alias("__pieces")).drop("pass")
     words = F.filter(F.split("text", SPACE), lambda w: w != "")
     both = docs.dropDuplicates(["__row"]).join(drawn, "__row").withColumn("__words", words)
     text = F.array_join(F.flatten(F.transform("__pieces", lambda p: F.slice("__words", p.piece_from.cast("int") + 1, p.piece_words.cast("int")))), " ")
