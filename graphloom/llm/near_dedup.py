@@ -79,8 +79,8 @@ def _screen(a: str, b: str) -> F.Column:
     n, filled = F.col(f"n{a}") + F.col(f"n{b}"), F.col(f"k{a}") + F.col(f"k{b}")
     union = BINS * (1 - F.exp(-n / (1.75 * BINS)))
     apart = F.greatest(filled - 1.5 * union, F.lit(0.0))
-    # no more samples than shingles differ, but for one more by each shingle that isn't a sample
-    most = n / 7 + n - filled
+    # no more samples than shingles differ, but for one more by each shingle that isn't a sample; folding only lowers the count
+    most = F.floor(n / 7) + n - filled
     # samples vary as a draw does from which the share of unsampled shingles is missing, and so does the number of ranges filled
     load = n / (1.75 * BINS)
     drawn = 4 * union * 0.1875 * F.greatest(1 - filled / n, F.lit(0.02)) + 2.25 * BINS * F.exp(-load) * (1 - (1 + load) * F.exp(-load))
@@ -88,7 +88,7 @@ def _screen(a: str, b: str) -> F.Column:
     slope = F.exp(-2 * apart / BITS)
     folded = BITS / 4 * (1 - F.exp(-rate) * (1 + rate))
     flipped = lambda d: BITS / 2 * (1 - F.exp(-2 * d / BITS))
-    allowed = F.least(flipped(apart) + DEVIATIONS * F.sqrt(drawn * slope * slope + folded), flipped(most) + DEVIATIONS * F.sqrt(folded)) + 1
+    allowed = F.least(flipped(apart) + DEVIATIONS * F.sqrt(drawn * slope * slope + folded) + 1, most)
     bits = sum((F.bit_count(F.col(f"s{a}")[i].bitwiseXOR(F.col(f"s{b}")[i])) for i in range(BITS // 64)), F.lit(0))
     return bits <= allowed
 
