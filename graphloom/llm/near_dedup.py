@@ -157,9 +157,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = shared.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     placed = placed.join(mixed, "bucket", "left_semi")
-    placed = materialise(placed.join(reps.select("id", "n", "k", "s"), "id"), "dedup-rest")
-    x, y = (placed.select("bucket", F.col("id").alias(i), F.col("component").alias(f"c{i}"), *(F.col(c).alias(c + i) for c in "nks")) for i in "ab")
-    rest = x.join(y, (x.bucket == y.bucket) & (F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")) & _screen("a", "b")).select("a", "b").distinct()
+    placed = materialise(placed.join(reps.select("id", "n", "k", "s", "bands"), "id"), "dedup-rest")
+    x, y = (placed.select("bucket", F.col("id").alias(i), F.col("component").alias(f"c{i}"), *(F.col(c).alias(c[0] + i) for c in ("n", "k", "s")), F.col("bands").alias(f"bands{i}")) for i in "ab")
+    # a pair with several buckets in common is made in the least of them
+    alike = F.least("na", "nb") * 4 >= F.greatest("na", "nb") * 3
+    first = F.array_min(F.array_intersect("bandsa", "bandsb")) == x.bucket
+    rest = x.join(y, (x.bucket == y.bucket) & (F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")) & alike & _screen("a", "b") & first).select("a", "b")
     done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = _links(materialise(rest.join(done, ["a", "b"], "left_anti"), "dedup-more"), texts)
     label = components(links.union(more))
