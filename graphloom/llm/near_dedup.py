@@ -9,8 +9,8 @@ words as one shingle below five). Two documents are linked when 100 * |A & B| >=
 2. Documents with equal sets share a class; only class representatives go on.
 3. Within a bucket each member meets the bucket's hub, the member whose buckets are largest in all (that with the fewest edits, in
    a group of edited copies). Sketches screen these pairs, four standard deviations wide, and full sets decide.
-4. Buckets whose members then lie in several components are joined with themselves, so that every remaining pair of a
-   bucket across components is met too. No pair within a component is ever made.
+4. In buckets whose members then lie in several components, members outside of the largest one are joined with all members, so
+   that every remaining pair of a bucket across components is met too. No pair within a component is ever made.
 
 Null text and blank text: empty set, linked with nothing. Rows with a null doc_id are left out. Repeated doc_ids give repeated
 rows; extra columns are ignored; an empty table gives an empty result.
@@ -155,14 +155,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = materialise(components(links), "dedup-label")
 
     placed = shared.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    placed = placed.join(mixed, "bucket", "left_semi")
+    held = placed.groupBy("bucket", "component").agg(F.count("*").alias("held"))
+    mixed = held.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("held", "component")).alias("most")).filter("parts > 1")
+    placed = placed.join(mixed.select("bucket", F.col("most.component").alias("major")), "bucket").withColumn("major", F.expr("component = major"))
     placed = materialise(placed.join(reps.select("id", "n", "k", "s", "bands"), "id"), "dedup-rest")
-    x, y = (placed.select("bucket", F.col("id").alias(i), F.col("component").alias(f"c{i}"), *(F.col(c).alias(c[0] + i) for c in ("n", "k", "s")), F.col("bands").alias(f"bands{i}")) for i in "ab")
-    # a pair with several buckets in common is made in the least of them
+    side = lambda df, i: df.select("bucket", F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("major").alias(f"major{i}"), *(F.col(c).alias(c + i) for c in "nks"), F.col("bands").alias(f"bands{i}"))
+    # members of a bucket's largest component aren't set against each other: the rest meets them and itself
+    x, y = side(placed.filter("not major"), "a"), side(placed, "b")
+    once = F.col("majorb") | (F.col("a") > F.col("b"))
     alike = F.least("na", "nb") * 4 >= F.greatest("na", "nb") * 3
+    # a pair with several buckets in common is made in the least of them
     first = F.array_min(F.array_intersect("bandsa", "bandsb")) == x.bucket
-    rest = x.join(y, (x.bucket == y.bucket) & (F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")) & alike & _screen("a", "b") & first).select("a", "b")
+    rest = x.join(y, (x.bucket == y.bucket) & (F.col("ca") != F.col("cb")) & once & alike & _screen("a", "b") & first).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = _links(materialise(rest.join(done, ["a", "b"], "left_anti"), "dedup-more"), texts)
     label = components(links.union(more))
