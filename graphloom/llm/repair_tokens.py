@@ -95,8 +95,8 @@ class Encoder:
         begin[lead] = offset[:-1][counts > 0]
         gap = words.start - begin
         key = words.hash + np.where(gap == 1, words.bytes[begin], 0).astype(np.uint64) * U(0x9E3779B97F4A7C15)
-        for i in np.flatnonzero(gap > 1):
-            key[i] += U(hash(data[begin[i] : words.start[i]]) & 0xFFFFFFFFFFFFFFFF)
+        wide = np.flatnonzero(gap > 1)
+        key[wide] += np.array([hash(data[begin[i] : words.start[i]]) & 0xFFFFFFFFFFFFFFFF for i in wide], np.uint64)
         _, where, inverse = np.unique(key, return_index=True, return_inverse=True)
         pieces = [data[a:b] for a, b in zip(begin[where].tolist(), words.end[where].tolist())]
         tails = [t[len(t.rstrip(b" \t\n\r\x0b\x0c")) :] for t in texts]
