@@ -57,17 +57,17 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: list[bytes], run: int = 256) -> None:
         """Pieces are encoded in runs; a token's place tells its piece, as each character of a token stands for one byte."""
         ids, size = [], []
-        runs = [new[i : i + 256] for i in range(0, len(new), 256)]
-        for run, coded in zip(runs, self._plain([b"".join(r).decode() for r in runs])):
-            ends = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)))
+        runs = [new[i : i + run] for i in range(0, len(new), run)]
+        for pieces, coded in zip(runs, self._plain([b"".join(r).decode() for r in runs])):
+            ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
             at = np.cumsum(self.width[coded])
             if len(at) and at[-1] == ends[-1] and np.isin(ends, at).all():
                 n = np.diff(np.searchsorted(at, ends), prepend=-1)
             else:
-                alone = self._plain([p.decode() for p in run])
+                alone = self._plain([p.decode() for p in pieces])
                 coded, n = np.concatenate(alone), np.array([len(x) for x in alone])
             ids.append(coded)
             size.append(n)
@@ -108,9 +108,9 @@ class Encoder:
         spaced = [p for p in new if p[0] in b" \t\n\r\x0b\x0c"]
         if spaced:
             self._learn(spaced)
-        for p in dict.fromkeys([*(p for p in new if p[0] not in b" \t\n\r\x0b\x0c"), *(t for t in tails if t and t not in known)]):
-            if p not in known:
-                self._learn([p])
+        lone = [p for p in dict.fromkeys([*(p for p in new if p[0] not in b" \t\n\r\x0b\x0c"), *filter(None, tails)]) if p not in known]
+        if lone:
+            self._learn(lone, run=1)
         at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))[inverse]
         size = self.size[at]
         flat, ends = gather(self.ids, self.begin[at], size), np.concatenate(([0], np.cumsum(size)))[words.first]
