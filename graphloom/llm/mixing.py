@@ -141,8 +141,10 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     _, _, pieces = draws(sized)
     drawn = pieces.groupBy("__row", "pass").agg(F.sort_array(F.collect_list(F.struct("piece_from", "piece_words"))).alias("__pieces")).drop("pass")
     words = F.filter(F.split("text", SPACE), lambda w: w != "")
-    both = docs.dropDuplicates(["__row"]).join(drawn, "__row").withColumn("__words", words)
-    text = F.array_join(F.flatten(F.transform("__pieces", lambda p: F.slice("__words", p.piece_from.cast("int") + 1, p.piece_words.cast("int")))), " ")
+    both = docs.dropDuplicates(["__row"]).join(drawn, "__row")
+    # the words are an argument of the outer function, so that a text is split once and not for each of its pieces
+    cut = lambda own: F.array_join(F.flatten(F.transform("__pieces", lambda p: F.slice(own, p.piece_from.cast("int") + 1, p.piece_words.cast("int")))), " ")
+    text = F.transform(F.array(words), cut)[0]
     out = both.withColumn("text", text)
     if "n_chars" in given:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
