@@ -105,6 +105,8 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     s = s.select("key", "n", "shard", (F.col("whole") + F.size(draws)).alias("k"))
     before = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("at", F.coalesce(F.sum("k").over(before), F.lit(0))).filter("k > 0")
+    # few rows make all slots: they are dealt out (by a fixed number, or adaptive execution would merge them again) before that
+    s = s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "key")
     s = s.select("shard", "key", "n", F.explode(F.expr("sequence(at, at + k - 1)")).alias("slot")).filter(F.col("slot") < MOST * F.col("n"))
     turn = F.floor(F.col("slot") / F.col("n"))
     return s.select("shard", "key", turn.alias("pass"), permuted(F.pmod("slot", F.col("n")), F.col("n"), F.col("key"), turn).alias("index"))
