@@ -120,8 +120,9 @@ def draws(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Da
     edges = placed.filter("size > 0").withColumn("index", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     begin = F.greatest(F.col("start"), F.col("index") * block)
     end = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block)
+    # slots grow with the words, which the planner doesn't see through an explosion: they are never broadcast
     edges = edges.withColumn("piece_from", begin - F.col("start")).withColumn("piece_words", end - begin)
-    return placed, sources, edges.join(slots(sources, block), ["key", "index"])
+    return placed, sources, edges.join(slots(sources, block).hint("merge"), ["key", "index"])
 
 
 def mix(docs: DataFrame) -> DataFrame:
