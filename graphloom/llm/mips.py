@@ -6,9 +6,11 @@ shifts large inner products. Centres are fitted on a bounded sample (at most abo
 of coordinate descent over codes and a weighted least-squares fit of all centres.
 
 Every vector is indexed. Queries come in blocks, and vectors in blocks; each pair of blocks is one row that a task scans: table
-lookups over four-bit codes score all pairs, and the best CANDIDATES of a query in a block are ranked again by exact inner
-products in double precision. Each query then keeps the best K over all blocks. Equal vectors have equal codes and are
-taken in the order of vec_id, so ties resolve to smaller ids.
+lookups over four-bit codes score all pairs, and the best CANDIDATES of a query in a block get exact inner products in double
+precision. The K-th best of those is a level that a vector must reach: |q.x - q.code(x)| is at most |q| times the length of what
+the code leaves of x, and each vector whose code score and that bound reach the level is ranked by its exact product. So no
+vector of the true best K is lost, however many tie or lie close. Each query then keeps the best K over all blocks; ties
+resolve to smaller ids.
 
 Vectors that are null, zero, of another length than the most frequent one, or hold null or non-finite components take no part.
 Repeated vec_ids are separate candidates, but never of a query with that id. Extra columns are ignored.
@@ -139,29 +141,34 @@ def _gather_queries(size: int):
 
 
 def scan(ids: np.ndarray, x: np.ndarray, packed: np.ndarray, q_ids: np.ndarray, q: np.ndarray, centres: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, vector ids, exact scores): the best k of a block for each query, from the best CANDIDATES by code."""
+    """(query ids, vector ids, exact scores): the best k of a block for each query. Codes leave out only vectors that can't be among them."""
     parts = centres.shape[0]
     code = np.empty((len(ids), packed.shape[1] * 2), np.uint8)
     code[:, 0::2], code[:, 1::2] = packed & 15, packed >> 4
     wide = np.pad(q, ((0, 0), (0, parts * PART - q.shape[1]))).reshape(len(q), parts, PART)
     tables = np.einsum("qmd,mcd->qmc", wide, centres).astype(np.float32)
+    coded = centres[np.arange(parts), code[:, :parts]].reshape(len(ids), -1)[:, : x.shape[1]]
+    left, length = np.linalg.norm(x - coded, axis=1), np.linalg.norm(q, axis=1)
+    # rounding: of the tables and their sums in single precision, and of products in double precision
+    slack = 2e-7 * (parts + 2) * np.abs(tables).max(axis=2).sum(axis=1, dtype=np.float64) + 1e-12 * length * np.linalg.norm(x, axis=1).max(initial=0)
+    # sums by row: equal vectors have equal products wherever they stand
+    products = lambda pick, j: np.einsum("nd,d->n", x[pick], q[j])
     out = []
     for a in range(0, len(q), 64):
         approx = np.zeros((min(64, len(q) - a), len(ids)), np.float32)
         for m in range(parts):
             approx += tables[a : a + 64, m][:, code[:, m]]
-        for j, s in enumerate(approx):
-            # equal scores are taken in the order of ids, which blocks are sorted by
-            if len(s) > CANDIDATES:
-                edge = np.partition(s, len(s) - CANDIDATES)[len(s) - CANDIDATES]
-                over, even = np.flatnonzero(s > edge), np.flatnonzero(s == edge)
-                pick = np.concatenate((over, even[: CANDIDATES - len(over)]))
-            else:
-                pick = np.arange(len(s))
-            pick = pick[ids[pick] != q_ids[a + j]]
-            exact = x[pick] @ q[a + j]
+        for j, s in enumerate(approx, a):
+            pick = np.flatnonzero(ids != q_ids[j])
+            if len(pick) > max(k, CANDIDATES):
+                s = s[pick]
+                first = pick[np.argpartition(s, len(s) - CANDIDATES)[len(s) - CANDIDATES :]] if CANDIDATES >= k else pick
+                level = np.sort(products(first, j))[-k]
+                # what isn't a number is never below the level
+                pick = pick[~(s + length[j] * left[pick] + slack[j] < level)]
+            exact = products(pick, j)
             best = np.lexsort((ids[pick], -exact))[:k]
-            out.append((np.full(len(best), q_ids[a + j]), ids[pick][best], exact[best]))
+            out.append((np.full(len(best), q_ids[j]), ids[pick][best], exact[best]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 

@@ -188,6 +188,19 @@ def test_mips(spark):
     assert mips.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_mips_finds_all_of_a_group_of_near_copies(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64))
+    x[::3] = x[0] + 1e-3 * rng.normal(size=x[::3].shape)
+    x = x.astype(np.float32)
+    got = mips.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas()
+    s = np.einsum("qd,nd->qn", x[::20].astype(float), x.astype(float))
+    s[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    best = np.argsort(-s, axis=1, kind="stable")[:, :20]
+    want = {(20 * j, r + 1): i for j, row in enumerate(best) for r, i in enumerate(row)}
+    assert {(a, b): c for a, b, c in zip(got["query_id"], got["rank"], got["vec_id"])} == want
+
+
 def test_mixing(spark):
     rng = random.Random(3)
     rows = [(i, words(rng, rng.randint(0, 300)), "en", rng.choice(["a", "a", "b", "c", "d", None])) for i in range(1500)] + [(5000, None, "en", "a")]
