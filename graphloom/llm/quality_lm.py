@@ -1,10 +1,11 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text (operator 9).
 
-Characters fall into 64 classes, and the model is of order 4 over them, so that its tables have at most 64^4 cells whatever the
-size of the corpus. All trusted texts are counted (nothing is sampled): each task counts in a dense array and
-passes on the cells it met. Joins of the count tables by context and by suffix give discounts, continuation counts, back-off
-weights and the interpolated log-probabilities. They are broadcast (64 MB at most) and each text is scored by one gather per character:
-perplexity = exp(-mean log-probability).
+The model is of order 4 over characters as they are (code points, nothing is folded), so its tables grow with the input. Texts are
+packed into batches of about STEP bytes. Each batch gives its distinct n-grams, with their counts in trusted texts (all of them,
+nothing is sampled). Joins of the count tables by n-gram, context and suffix give discounts, continuation counts, back-off weights and
+the interpolated probability of every n-gram of the input; below order 1 all code points are equally likely. The probabilities go
+back to the batches by a join, and each batch sums them by document: perplexity = exp(-mean log-probability). No table is gathered
+on the driver or broadcast whole: the driver sees four counts of counts per order.
 
 A document is kept if its perplexity is at most the given quantile of the trusted documents of its language, with a margin; the
 language is the column `lang` (null: a group of its own). Languages without trusted documents take the quantile over all.
@@ -15,6 +16,7 @@ text is kept. Rows with a null doc_id are scored, never trusted. Extra columns a
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,6 +30,9 @@ from .common import bounded, materialise, slices, table
 ORDER, CLASSES = 4, 64
 QUANTILE, MARGIN = 0.99, 1.05
 _CELLS = CLASSES**ORDER
+#: Bytes of text in a batch, and code points.
+STEP, POINTS = 8 << 20, 0x110000
+PACKED = "batch long, doc_id array<long>, lang array<string>, trusted array<boolean>, sizes array<int>, packed binary"
 
 
 @cache
@@ -80,7 +85,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def model(trusted: DataFrame) -> np.ndarray:
-    """trusted(text) -> log-probability of the last class of every cell given the three before it."""
+    """trusted(text) -> log-probability of the last class of every cell given the three before it: a dense model over 64 classes of
+    characters, for small alphabets. Documents aren't scored by it."""
     counts = materialise(trusted.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "lm-counts")
     prob = np.full(CLASSES, 1 / CLASSES)
     for order in range(1, ORDER + 1):
@@ -102,21 +108,105 @@ def model(trusted: DataFrame) -> np.ndarray:
     return np.log(np.maximum(prob, 1e-9)).astype(np.float32)
 
 
-def score(docs: DataFrame, logp: np.ndarray) -> DataFrame:
-    """docs(doc_id, text, lang, trusted) -> the same without text, with perplexity."""
-    shared = docs.sparkSession.sparkContext.broadcast(logp)
+def _dense(key: np.ndarray, cells: int) -> tuple[np.ndarray, int]:
+    """(rank of each key among the distinct ones, how many these are); keys are below `cells`."""
+    if cells <= 1 << 24:
+        seen = np.zeros(cells, bool)
+        seen[key] = True
+        return (np.cumsum(seen, dtype=np.int64) - 1)[key], int(seen.sum())
+    distinct, rank = np.unique(key, return_inverse=True)
+    return rank, len(distinct)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch):
-                cell, first = grams(texts)
-                sums = np.concatenate(([0.0], np.cumsum(shared.value[cell], dtype=np.float64)))
-                n = np.diff(first)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    ppl = np.exp(-(sums[first[1:]] - sums[first[:-1]]) / n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("lang"), part.column("trusted"), pa.array(ppl, mask=n == 0)], ["doc_id", "lang", "trusted", "perplexity"])
 
-    return docs.select("doc_id", "text", "lang", "trusted").mapInArrow(run, "doc_id long, lang string, trusted boolean, perplexity double")
+def ngrams(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(number of the n-gram that ends at each character, the distinct n-grams by number, the first character of each text with one
+    more at the end). Texts start with ORDER - 1 zeros."""
+    pad = "\0" * (ORDER - 1)
+    points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    if not first[-1]:
+        return np.zeros(0, np.int64), [], first
+    at = np.arange(first[-1]) + np.repeat(np.arange(len(texts)), sizes) * (ORDER - 1)
+    symbol, base = _dense(points, POINTS)
+    rank, n = symbol[at], base
+    for j in range(1, ORDER):
+        rank, n = _dense(rank * base + symbol[at + j], n * base)
+    where = np.empty(n, np.int64)
+    where[rank] = at
+    joined = points[where[:, None] + np.arange(ORDER)].astype(np.uint32).tobytes().decode("utf-32-le")
+    return rank, [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)], first
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, texts in slices(batch, limit=STEP):
+            columns = [part.column(c).to_pylist() for c in ("doc_id", "lang", "trusted")]
+            packed = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
+            row = [int.from_bytes(os.urandom(8), "little", signed=True), *columns, [len(t) for t in texts], packed]
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["batch", "doc_id", "lang", "trusted", "sizes", "packed"])
+
+
+def _texts(packed: bytes, sizes: list[int]) -> list[str]:
+    joined = pa.decompress(packed, sum(sizes), codec="zstd", asbytes=True)
+    ends = np.cumsum([0, *sizes])
+    return [joined[i:j].decode() for i, j in zip(ends, ends[1:])]
+
+
+def _batch_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.select(["batch", "trusted", "sizes", "packed"]).to_pylist():
+            rank, distinct, first = ngrams(_texts(r["packed"], r["sizes"]))
+            n = np.bincount(rank[np.repeat(np.array(r["trusted"], bool), np.diff(first))], minlength=len(distinct))
+            for i in range(0, len(distinct), 1 << 16):
+                part = distinct[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([r["batch"]] * len(part), pa.int64()), pa.array(np.arange(i, i + len(part)), pa.int32()), pa.array(part, pa.string()), pa.array(n[i : i + len(part)], pa.int64())], ["batch", "place", "gram", "n"])
+
+
+def probabilities(grams: DataFrame) -> DataFrame:
+    """grams(gram, n: its count in trusted texts), each once -> gram, p: probability of its last character given those before it."""
+    counts = grams.filter("n > 0")
+    tail = lambda order: F.substring("gram", ORDER - order + 1, order)
+    below = None
+    for order in range(1, ORDER + 1):
+        # counts of the highest order; below it, the number of different characters that come before a gram
+        c = counts if order == ORDER else counts.select(tail(order + 1).alias("g")).distinct().groupBy(F.substring("g", 2, order).alias("gram")).agg(F.count("*").alias("n"))
+        of = {r["n"]: r["g"] for r in c.filter("n <= 4").groupBy("n").agg(F.count("*").alias("g")).collect()}
+        y = of.get(1, 0) / max(1, of.get(1, 0) + 2 * of.get(2, 0))
+        d = [max(0.0, min(i, i - (i + 1) * y * of.get(i + 1, 0) / of[i])) if of.get(i) else 0.5 * i / 2 for i in (1, 2, 3)]
+        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        c = c.withColumn("cut", cut).withColumn("context", F.substring("gram", 1, order - 1))
+        contexts = c.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
+        contexts = F.broadcast(contexts) if order == 1 else contexts
+        wanted = grams.select(tail(order).alias("gram")).distinct().withColumn("context", F.substring("gram", 1, order - 1)).withColumn("suffix", F.substring("gram", 2, order - 1))
+        x = wanted.join(c.select("gram", "n", "cut"), "gram", "left").join(contexts, "context", "left")
+        x = x.withColumn("below", F.lit(1.0 / POINTS)) if order == 1 else x.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
+        p = F.coalesce((F.col("n") - F.col("cut")) / F.col("total"), F.lit(0.0)) + F.coalesce(F.col("freed") / F.col("total"), F.lit(1.0)) * F.col("below")
+        below = materialise(x.select("gram", p.alias("p")), "lm-p")
+    return below
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            rank, distinct, first = ngrams(_texts(r["packed"], r["sizes"]))
+            logp = np.zeros(len(distinct))
+            if distinct:
+                logp[np.array([x["place"] for x in r["found"]])] = np.log([x["p"] for x in r["found"]])
+            sums, n = np.concatenate(([0.0], np.cumsum(logp[rank]))), np.diff(first)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                ppl = np.exp(-(sums[first[1:]] - sums[first[:-1]]) / n)
+            yield pa.RecordBatch.from_arrays([pa.array(r["doc_id"], pa.int64()), pa.array(r["lang"], pa.string()), pa.array(r["trusted"], pa.bool_()), pa.array(ppl, mask=n == 0)], ["doc_id", "lang", "trusted", "perplexity"])
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, lang, trusted) -> the same without text, with perplexity by the model of the trusted ones."""
+    packed = materialise(docs.select("doc_id", "text", "lang", "trusted").mapInArrow(_pack, PACKED), "lm-packed")
+    own = materialise(packed.mapInArrow(_batch_grams, "batch long, place int, gram string, n long"), "lm-grams")
+    p = probabilities(materialise(own.groupBy("gram").agg(F.sum("n").alias("n")), "lm-counts"))
+    found = own.select("batch", "place", "gram").join(p, "gram").groupBy("batch").agg(F.collect_list(F.struct("place", "p")).alias("found"))
+    return packed.join(found, "batch", "left").select("doc_id", "lang", "trusted", "sizes", "packed", "found").mapInArrow(_score, "doc_id long, lang string, trusted boolean, perplexity double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -125,7 +215,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     good = bounded(materialise(good, "lm-trusted"))
     marked = docs.join(good, docs.doc_id == good["__id"], "left").select("doc_id", "text", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    scored = materialise(score(marked, model(marked.filter("trusted").select("text"))), "lm-scored")
+    scored = materialise(score(marked), "lm-scored")
     at = F.percentile_approx("perplexity", quantile, 10_000)
     trusted = scored.filter("trusted and perplexity is not null")
     own = trusted.groupBy("lang").agg(at.alias("own")).withColumnRenamed("lang", "__lang")

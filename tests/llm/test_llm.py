@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -322,3 +323,44 @@ def test_model_is_a_distribution(spark):
     texts = spark.createDataFrame([("the cat sat on the mat and the dog ran",), ("the end",)], "text string")
     p = np.exp(quality_lm.model(texts).astype(float)).reshape(-1, quality_lm.CLASSES).sum(axis=1)
     assert np.allclose(p, 1, atol=1e-3)
+
+
+def brute_kneser_ney(trusted):
+    """log-probability of the last character of a gram, by the definition."""
+    n = quality_lm.ORDER
+    windows = lambda t: [("\0" * (n - 1) + t)[i : i + n] for i in range(len(t))]
+    levels = {n: Counter(g for t in trusted for g in windows(t))}
+    for o in range(n - 1, 0, -1):
+        levels[o] = Counter(g[1:] for g in {g[-o - 1 :] for g in levels[n]})
+    cuts, sums = {}, {}
+    for o, c in levels.items():
+        of = Counter(c.values())
+        y = of[1] / max(1, of[1] + 2 * of[2])
+        cuts[o] = [max(0.0, min(i, i - (i + 1) * y * of[i + 1] / of[i])) if of[i] else i / 4 for i in (1, 2, 3)]
+        sums[o] = {}
+        for g, m in c.items():
+            total, freed = sums[o].get(g[:-1], (0, 0))
+            sums[o][g[:-1]] = total + m, freed + cuts[o][min(m, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / 0x110000
+        total, freed = sums[len(g)].get(g[:-1], (0, 0))
+        m = levels[len(g)][g]
+        return p(g[1:]) if not total else (m - cuts[len(g)][min(m, 3) - 1] if m else 0) / total + freed / total * p(g[1:])
+
+    return lambda t: float(np.exp(-np.mean([np.log(p(g)) for g in windows(t)])))
+
+
+def test_quality_of_real_characters(spark):
+    rng = random.Random(12)
+    vocab = "добрый вечер сегодня хорошая погода снова идти домой вместе".split()
+    rows = [(i, words(rng, 40, vocab), "ru", "a") for i in range(80)]
+    # letters that differ by 12 in code point, and digits
+    rows += [(100 + i, "".join(chr(ord(c) + 12 * rng.randint(-8, 8)) if c != " " else c for c in words(rng, 40, vocab)), "ru", "a") for i in range(20)]
+    rows += [(200, "год 1999", "ru", "a"), (201, "日本語 😀", "ru", "a")]
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_lm.judge(docs(spark, rows), labels).collect()}
+    want = brute_kneser_ney([t for i, t, _, _ in rows if i < 60])
+    assert all(np.isclose(got[i]["perplexity"], want(t), rtol=1e-6) for i, t, _, _ in rows)
+    assert sum(got[i]["kept"] for i in range(80)) >= 78 and not any(got[100 + i]["kept"] for i in range(20))
