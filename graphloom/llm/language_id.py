@@ -4,7 +4,7 @@ Characters are lower-cased, and anything but letters becomes a space; n-grams of
 features. The learned log-probability matrix (2^16 features by languages, so its size doesn't grow with the data) is broadcast, and
 each batch of whole texts is scored by gathering matrix rows and summing them per document.
 
-Training takes labelled rows whose crc32(doc_id) mod 4 is not 2, at most about SAMPLE of them, chosen by a hash of doc_id.
+Training counts all labelled rows whose crc32(doc_id) mod 4 is not 2, so a rare language is learned from each of its rows.
 Ties go to the language that sorts first. Text that is null or has no letter gets `und` and score 0, as does everything if no row
 is labelled. Rows with a null doc_id aren't learned from and are predicted; extra columns are ignored.
 """
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from .common import U, slices, table
 
 ORDERS, BITS, ALPHA = (1, 2, 3, 4), 16, 0.05
-SAMPLE = 20_000
 #: Characters scored at once.
 STEP = 1 << 19
 _K = U(0x9E3779B97F4A7C15)
@@ -71,24 +70,23 @@ def _count(langs: list[str]):
         for batch in batches:
             for part, texts in slices(batch, limit=STEP):
                 f, first, _ = features(texts)
-                for i, lang in enumerate(part.column("lang").to_pylist()):
-                    total[place[lang]] += np.bincount(f[first[i] : first[i + 1]].ravel(), minlength=(1 << BITS) + 1)
+                of = np.repeat([place[x] for x in part.column("lang").to_pylist()], np.diff(first))
+                for i in np.unique(of):
+                    total[i] += np.bincount(f[: len(of)][of == i].ravel(), minlength=(1 << BITS) + 1)
         lang, feature = np.nonzero(total[:, : 1 << BITS])
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(feature, pa.int32()), pa.array(total[lang, feature])], ["lang", "feature", "n"])
 
     return run
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """labelled(doc_id, text, lang) -> (languages, log-probabilities: a row per feature and one of zeros for blank grams)."""
     labelled = labelled.select("doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros(((1 << BITS) + 1, 0), np.float32)
-    share = min(1.0, sample / sum(sizes.values()))
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = chosen.mapInArrow(_count(langs), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
+    rows = labelled.mapInArrow(_count(langs), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     n = np.full((len(langs), 1 << BITS), ALPHA)
     n[rows["lang"], rows["feature"]] += rows["n"]
     logp = np.log(n / n.sum(axis=1, keepdims=True))

@@ -269,6 +269,19 @@ def test_language(spark):
     assert language_id.identify(docs(spark, [])).count() == 0
 
 
+def test_rare_language_is_learned_among_many_rows(spark):
+    often = spark.range(80_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "the and of").otherwise("der und nicht").alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    rare = spark.createDataFrame([(100_000 + i, "tänään sää", "fi") for i in range(2)], "doc_id long, text string, lang string")
+    langs, model = language_id.train(often.union(rare))
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(rare, langs, model).collect()}
+    assert langs == ["de", "en", "fi"] and set(got.values()) == {"fi"}
+    # every row counts: the features of an English text are each met 40,000 times
+    f = language_id.features([b"the and of"])[0].ravel()
+    f, times = np.unique(f[f < 1 << language_id.BITS], return_counts=True)
+    met = np.exp(model[f, langs.index("en")].astype(float) - model[: 1 << language_id.BITS, langs.index("en")].min()) * language_id.ALPHA
+    assert np.allclose(met, 40_000 * times, rtol=1e-3)
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [(i, words(rng, rng.randint(14, 40))) for i in range(20)] + [(99, None), (98, ""), (97, "two words")]
