@@ -15,21 +15,29 @@ from graphloom.llm.common import materialise, table
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised (those without any letter are rejected)."""
+    """Rows in whose text a language is recognised (those without any letter are rejected). Each row is judged by its own text:
+    rows with a null doc_id are judged too, and of a repeated doc_id only the rows without a language go."""
     known = language_id.train(docs.filter(~language_id.held_out()))
-    seen = language_id.predict(docs, *known).filter("lang_pred <> 'und'").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(seen, docs["doc_id"] == F.col("__id"), "left_semi")
+    return language_id.predict(docs, *known, carry=docs.columns).filter("lang_pred <> 'und'").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, docs["doc_id"] == F.col("__id"), "left_semi")
+    """One row of each group of near duplicates, that with the smallest doc_id (null comes last; equal doc_ids by a hash of all
+    columns). Rows, not doc_ids, are compared: rows of a repeated or null doc_id stay if their texts aren't near duplicates."""
+    ties = docs.withColumn("__tie", F.xxhash64(*docs.columns)).withColumn("__at", F.monotonically_increasing_id())
+    # numbers of rows in this order stand for doc_ids
+    rows = ties.orderBy(F.asc_nulls_last("doc_id"), "__tie", "__at").drop("__tie", "__at").withColumn("__row", F.monotonically_increasing_id())
+    rows = materialise(rows, "dedup-rows")
+    kept = near_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
-    return _clean.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Rows without passages of the benchmark. Each row is judged by its own text, whatever its doc_id."""
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "clean-rows")
+    keyed = rows.select(F.col("__row").alias("doc_id"), "text")
+    clean = _clean.decontaminate(keyed, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__row"))
+    return rows.join(clean, "__row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

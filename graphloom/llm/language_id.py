@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import U, slices, table
 
@@ -96,8 +97,11 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.vstack([out, prior[None, :].astype(np.float32)])
 
 
-def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, lang_pred, score: the posterior of the predicted language."""
+def predict(docs: DataFrame, langs: list[str], model: np.ndarray, carry: list[str] | None = None) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, lang_pred, score: the posterior of the predicted language. With `carry`, these columns of docs
+    take the place of doc_id."""
+    own = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id") if carry is None else docs.select(*carry)
+    names = own.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +124,10 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
                     post = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
                     for i in np.flatnonzero(has):
                         pred[i], score[i] = langs[best[i]], float(post[i])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(pred), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(pred), pa.array(score)], [*names, "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") if carry is None else docs.select(*{**dict.fromkeys(carry), "text": None})
+    return read.mapInArrow(run, StructType([*own.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out() -> Column:
