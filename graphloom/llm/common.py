@@ -71,7 +71,7 @@ class Words:
     """The words of some texts: 64-bit hashes, byte bounds, and the first word of each text in `first` (one more at the end)."""
 
     def __init__(self, texts: list[bytes]):
-        joined = b"\n".join(texts) + b"\n"
+        self.joined = joined = b"\n".join(texts) + b"\n"
         self.bytes = np.frombuffer(joined, np.uint8)
         ink = ~_IS_SPACE[self.bytes]
         edge = np.flatnonzero(np.diff(np.concatenate(([False], ink)).view(np.int8)))

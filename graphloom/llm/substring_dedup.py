@@ -2,29 +2,32 @@
 
 A window is 20 consecutive words of one document. Its minimiser is the least hash among the six-word grams in it, so equal
 windows have equal minimisers. Consecutive windows that share a minimiser form a super-k-mer, which travels as one packed
-string of words to the bucket of its minimiser; there each window is counted as the words it is, not as a hash.
-
-1. One narrow pass lists the super-k-mers as (minimiser, doc_id, start, windows). A minimiser with one place in the corpus
-   can't have a window that occurs twice, so only super-k-mers of repeated minimisers go on.
-2. Documents with such super-k-mers pack their words. Equal strings are merged on the map side (the earliest place stays), so a
-   passage that a third of all rows shares arrives once per task.
-3. Buckets cut the strings into windows and keep the earliest place of each. Minimisers with many super-k-mers are cut
-   before the exchange and dealt by window instead, so that no bucket holds an unbounded group.
-4. The earliest places return to their documents as bit masks; every other place of a window is a repeat, and its words go.
-
-Null text: no words. Rows with a null doc_id are left out; a repeated doc_id is one document per row, and which of its rows is
-the earlier one is not defined, so doc_id should be unique. Extra columns are ignored; an empty table gives an empty result.
+string of words to the bucket of its minimiser; there sorting counts each window as the words it is, not as a hash.
+
+1. Texts are packed into compressed batches of about 4 MB (words joined by one space), which are all that is shuffled later.
+2. Each batch lists its minimisers, each once with the number of its places. A minimiser with one place in the corpus can't have
+   a window that occurs twice, so only the others come back to their batches. A minimiser has a row per batch at most, however
+   many documents share it.
+3. Batches send the super-k-mers of these minimisers to their buckets; equal strings of a batch are sent once, with their earliest
+   place. Minimisers with more than HOT places are cut before that and dealt by window, so that no bucket holds an unbounded group.
+4. Buckets cut the strings into windows and keep the earliest place of each. The earliest places return to their batches as bit
+   masks; every other place of a window is a repeat, and its words go.
+
+Null text: no words. Documents come in the order of doc_id (null last); rows of one doc_id are documents of their own, in the
+order of a hash of their text, and equal rows in any order. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Words, as_long, materialise, slices, table
@@ -32,9 +35,10 @@ from .common import Words, as_long, materialise, slices, table
 WINDOW, GRAM = 20, 6
 #: Windows of a super-k-mer at most: longer runs (one phrase over and over) are cut, so that a mask fits in a long.
 RUN = 32
-#: Minimisers with more super-k-mers than this are dealt by window.
+#: Minimisers with more places than this are dealt by window.
 HOT = 200
-LISTED = "minimiser long, doc_id long, start int, windows int, places int"
+PACKED = "batch long, doc_id array<long>, tie array<long>, sizes array<int>, packed binary"
+SENT = "minimiser long, salt int, words string, last boolean, doc_id long, tie long, batch long, at int"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -64,110 +68,134 @@ def super_kmers(words: Words) -> tuple[np.ndarray, ...]:
     return text[first], at[first] - words.first[text[first]], windows, low[first], places
 
 
-def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of documents, in the order of documents within."""
+    number = TaskContext.get().partitionId() << 32
     for batch in batches:
         for part, texts in slices(batch):
-            text, start, windows, low, places = super_kmers(Words(texts))
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(as_long(low)), pa.array(ids[text], pa.int64()), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(places, pa.int32())],
-                ["minimiser", "doc_id", "start", "windows", "places"],
-            )
-
-
-def _digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+            ids = part.column("doc_id").to_pylist()
+            texts = [b" ".join(t.split()) for t in texts]
+            ties = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]
+            order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, ties[i]))
+            texts = [texts[i] for i in order]
+            row = (number, [ids[i] for i in order], [ties[i] for i in order], [len(t) for t in texts], pa.compress(b"".join(texts), codec="zstd", asbytes=True))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["batch", "doc_id", "tie", "sizes", "packed"])
+            number += 1
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]]]:
+    """Each packed batch with its texts."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            joined = pa.decompress(row["packed"], sum(row["sizes"]), codec="zstd", asbytes=True)
+            ends = np.cumsum([0, *row["sizes"]])
+            yield row, [joined[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents without pieces are done; the others carry their compressed text and their packed strings on."""
-    squeeze = zstandard.ZstdCompressor().compress
-    for batch in batches:
-        for part, texts in slices(batch):
-            rows = []
-            for i, t, pieces in zip(part.column("doc_id").to_pylist(), texts, part.column("pieces").to_pylist()):
-                w = t.split()
-                if pieces:
-                    packed = [(p["minimiser"], p["start"], p["windows"], b" ".join(w[p["start"] : p["start"] + p["windows"] + WINDOW - 1]).decode()) for p in pieces]
-                    rows.append((i, len(w), None, squeeze(t), packed))
-                else:
-                    rows.append((i, len(w), _digest(w), None, None))
-            cols = list(zip(*rows))
-            packs = pa.array([c and [dict(zip(("minimiser", "start", "windows", "words"), x)) for x in c] for c in cols[4]], pa.list_(pa.struct([("minimiser", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("words", pa.string())])))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary()), packs], ["doc_id", "n_words", "kept_sha256", "body", "packs"])
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row, texts in _rows(batches):
+        _, _, _, low, places = super_kmers(Words(texts))
+        distinct, which = np.unique(low, return_inverse=True)
+        n = np.bincount(which, places, len(distinct)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), row["batch"])), pa.array(as_long(distinct)), pa.array(n)], ["batch", "minimiser", "n"])
+
+
+def _places(words: Words, text: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return words.first[text] + start
+
+
+def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row, texts in _rows(batches):
+        words = Words(texts)
+        text, start, windows, low, _ = super_kmers(words)
+        at, low = _places(words, text, start), as_long(low)
+        hot = np.array(row["hot"] or [], np.int64)
+        cold = np.flatnonzero(np.isin(low, np.array(row["cold"] or [], np.int64)))
+        warm = np.flatnonzero(np.isin(low, hot))
+        n = windows[warm]
+        each = np.repeat(at[warm], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        for first, size, minimiser, own, salted in ((at[cold], windows[cold], low[cold], text[cold], False), (each, np.ones(len(each), np.int64), np.repeat(low[warm], n), np.repeat(text[warm], n), True)):
+            begin, stop = words.start[first], words.end[first + size + WINDOW - 2] if len(first) else first
+            strings = [words.joined[a:b] for a, b in zip(begin.tolist(), stop.tolist())]
+            # of equal strings the earliest stays
+            least = dict(zip(reversed(strings), range(len(strings) - 1, -1, -1)))
+            keep = np.fromiter(least.values(), np.int64, len(least))
+            salt = np.fromiter((1 + (zlib.crc32(w) & 0xFFFF) for w in least), np.int32, len(least)) if salted else np.zeros(len(least), np.int32)
+            ids, ties = pa.array(row["doc_id"], pa.int64()), pa.array(row["tie"], pa.int64())
+            doc, least = pa.array(own[keep]), list(least)
+            for i in range(0, len(keep), 1 << 16):
+                cut = slice(i, i + (1 << 16))
+                held = least[cut]
+                part = ids.take(doc[cut])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(minimiser[keep[cut]]), pa.array(salt[cut]), pa.array(held, pa.binary()).cast(pa.string()), part.is_null(), part, ties.take(doc[cut]), pa.array(np.full(len(held), row["batch"])), pa.array(first[keep[cut]], pa.int32())],
+                    ["minimiser", "salt", "words", "last", "doc_id", "tie", "batch", "at"],
+                )
+
+
+def _digest(text: bytes) -> str:
+    return hashlib.sha256(text).hexdigest()
 
 
 def _cut(batches: Iterator[pa.RecordBatch], keep_text: bool = False) -> Iterator[pa.RecordBatch]:
-    expand = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for part, bodies in slices(batch, "body", 1 << 20):
-            out = []
-            for t, runs, firsts in zip(map(expand, bodies), part.column("runs").to_pylist(), part.column("firsts").to_pylist()):
-                w = t.split()
-                repeat = np.zeros(len(w) + 1, bool)
-                for r in runs:
-                    repeat[r["start"] : r["start"] + r["windows"]] = True
-                for f in firsts or ():
-                    mask = f["mask"] & 0xFFFFFFFFFFFFFFFF
-                    for j in range(RUN):
-                        if mask >> j & 1:
-                            repeat[f["start"] + j] = False
-                edge = np.zeros(len(w) + WINDOW + 1, np.int64)
-                hit = np.flatnonzero(repeat)
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + WINDOW, -1)
-                gone = np.cumsum(edge)[: len(w)] > 0
-                kept = [x for x, g in zip(w, gone) if not g]
-                out.append((len(w), int(gone.sum()), b" ".join(kept).decode() if keep_text else _digest(kept)))
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            )
-
-
-def first_places(packs: DataFrame, hot: DataFrame) -> DataFrame:
-    """packs(minimiser, doc_id, start, words) -> the earliest place of each window, as doc_id, firsts: array of (start, mask)."""
-    place = F.min(F.struct("doc_id", "start")).alias("place")
-    merged = packs.groupBy("minimiser", "words").agg(place).join(hot.withColumn("hot", F.lit(True)), "minimiser", "left")
-    merged = materialise(merged.select("minimiser", "words", "place.doc_id", "place.start", F.coalesce("hot", F.lit(False)).alias("hot")), "sub-merged")
-    words = F.split("words", " ")
-
-    def cut(df: DataFrame) -> DataFrame:
-        df = df.select("minimiser", "doc_id", "start", words.alias("w"))
-        df = df.select("minimiser", "doc_id", "start", "w", F.explode(F.expr(f"sequence(0, size(w) - {WINDOW})")).alias("off"))
-        return df.select("minimiser", "doc_id", "start", "off", F.expr(f"array_join(slice(w, off + 1, {WINDOW}), ' ')").alias("window"))
-
-    earliest = F.min(F.struct("doc_id", (F.col("start") + F.col("off")).alias("at"), "start", "off")).alias("p")
-    cold = cut(merged.filter("not hot").repartition("minimiser")).groupBy("minimiser", "window").agg(earliest)
-    warm = cut(merged.filter("hot")).groupBy("minimiser", "window").agg(earliest)
-    bit = F.expr("bit_or(shiftleft(1L, p.off))").alias("mask")
-    masks = cold.groupBy("p.doc_id", "p.start").agg(bit).union(warm.groupBy("p.doc_id", "p.start").agg(bit))
-    return masks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("firsts"))
+    for row, texts in _rows(batches):
+        words = Words(texts)
+        text, start, windows, low, _ = super_kmers(words)
+        at = _places(words, text, start)
+        own = np.flatnonzero(np.isin(as_long(low), np.array((row["cold"] or []) + (row["hot"] or []), np.int64)))
+        # windows of repeated minimisers are repeats, but for the earliest ones
+        repeat = np.zeros(len(words.hash) + RUN + 1, np.int64)
+        np.add.at(repeat, at[own], 1)
+        np.add.at(repeat, at[own] + windows[own], -1)
+        repeat = np.cumsum(repeat) > 0
+        if row["firsts"]:
+            first = np.array([f["at"] for f in row["firsts"]], np.int64)
+            mask = np.array([f["mask"] for f in row["firsts"]], np.int64).view(np.uint64)
+            for j in range(RUN):
+                repeat[first[(mask >> np.uint64(j) & np.uint64(1)) > 0] + j] = False
+        edge = np.zeros(len(words.hash) + RUN + WINDOW + 2, np.int64)
+        hit = np.flatnonzero(repeat)
+        np.add.at(edge, hit, 1)
+        np.add.at(edge, hit + WINDOW, -1)
+        gone = np.cumsum(edge)[: len(words.hash)] > 0
+        removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[words.first])
+        kept = []
+        for i, t in enumerate(texts):
+            if removed[i]:
+                t = b" ".join(w for w, g in zip(t.split(), gone[words.first[i] : words.first[i + 1]].tolist()) if not g)
+            kept.append(t.decode() if keep_text else _digest(t))
+        yield pa.RecordBatch.from_arrays([pa.array(row["doc_id"], pa.int64()), pa.array(np.diff(words.first).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+
+def first_places(sent: DataFrame) -> DataFrame:
+    """Super-k-mers as SENT -> (batch, firsts: array of (at, mask)): the windows of each that are the earliest of their kind."""
+    bucket = sent.repartition("minimiser", "salt").withColumn("w", F.split("words", " ")).drop("words")
+    bucket = bucket.withColumn("off", F.explode(F.expr(f"sequence(0, size(w) - {WINDOW})")))
+    window = F.expr(f"array_join(slice(w, off + 1, {WINDOW}), ' ')").alias("window")
+    place = F.struct("last", "doc_id", "tie", "batch", (F.col("at") + F.col("off")).alias("first"), "at", "off").alias("place")
+    earliest = bucket.select("minimiser", "salt", window, place).groupBy("minimiser", "salt", "window").agg(F.min("place").alias("p"))
+    mask = F.expr("bit_or(shiftleft(1L, p.off))").alias("mask")
+    masks = earliest.groupBy("minimiser", "salt", F.col("p.batch").alias("batch"), F.col("p.at").alias("at")).agg(mask)
+    return masks.groupBy("batch").agg(F.collect_list(F.struct("at", "mask")).alias("firsts"))
 
 
 def _dedup(docs: DataFrame, keep_text: bool) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    listed = docs.mapInArrow(_list, LISTED)
-    counts = materialise(listed.groupBy("minimiser").agg(F.sum("places").alias("count")).filter("count > 1"), "sub-counts")
-    pieces = listed.join(counts.select("minimiser"), "minimiser").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "minimiser")).alias("pieces"))
-    packed = docs.join(pieces, "doc_id", "left").mapInArrow(
-        _pack, f"doc_id long, n_words long, kept_sha256 string, body binary, packs array<struct<minimiser: long, start: int, windows: int, words: string>>"
-    )
-    packed = materialise(packed, "sub-packed")
-    some = packed.filter("packs is not null")
-    packs = some.select("doc_id", F.explode("packs").alias("p")).select("doc_id", "p.minimiser", "p.start", "p.words")
-    firsts = first_places(packs, counts.filter(F.col("count") > HOT).select("minimiser"))
-    runs = some.select("doc_id", "body", F.expr("transform(packs, x -> struct(x.start, x.windows))").alias("runs"))
-    cut = runs.join(firsts, "doc_id", "left").mapInArrow(lambda b: _cut(b, keep_text), RESULT)
-    if keep_text:
-        rest = docs.join(packed.filter("packs is null").select("doc_id", "n_words"), "doc_id").select("doc_id", "n_words", F.lit(0).cast("long"), F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda x: x != ""), " "))
-        return cut.union(rest).withColumnRenamed("kept_sha256", "kept_text")
-    return cut.union(packed.filter("packs is null").select("doc_id", "n_words", F.lit(0).cast("long"), "kept_sha256"))
+    packed = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack, PACKED), "sub-packed")
+    listed = packed.mapInArrow(_list, "batch long, minimiser long, n long").withColumn("total", F.sum("n").over(Window.partitionBy("minimiser")))
+    of = lambda condition: F.collect_list(F.when(condition, F.col("minimiser")))
+    found = listed.filter("total > 1").groupBy("batch").agg(of(F.col("total") <= HOT).alias("cold"), of(F.col("total") > HOT).alias("hot"))
+    found = materialise(found, "sub-found")
+    sent = packed.join(found, "batch").mapInArrow(_send, SENT)
+    firsts = materialise(first_places(sent), "sub-firsts")
+    back = found.join(firsts, "batch", "left")
+    return packed.drop("tie").join(back, "batch", "left").mapInArrow(lambda b: _cut(b, keep_text), RESULT)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_removed, kept_text (the words that stay, joined by one space)."""
-    return _dedup(docs, True)
+    return _dedup(docs, True).withColumnRenamed("kept_sha256", "kept_text")
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:

@@ -118,6 +118,15 @@ def test_substrings_with_hot_minimisers(spark, corpus, monkeypatch):
     assert got == {i: b for i, (_, b, _) in want.items()}
 
 
+def test_substrings_of_null_and_repeated_doc_ids(spark):
+    rng = random.Random(9)
+    w = [words(rng, 30) for _ in range(4)]
+    rows = [(None, w[0] + " a", "en", "a"), (5, w[0] + " b", "en", "a"), (5, w[1], "en", "a"), (5, w[1], "en", "a"), (None, w[2], "en", "a"), (None, w[2], "en", "a"), (7, w[1] + " " + w[3], "en", None), (6, None, None, None)]
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.repeat_digests(docs(spark, rows)).collect())
+    # doc_id 5 comes before null and 7; of equal rows one stays whole
+    assert got == Counter([(None, 31, 30), (5, 31, 0), (5, 30, 0), (5, 30, 30), (None, 30, 0), (None, 30, 30), (7, 60, 30), (6, 0, 0)])
+
+
 TEXTS = ["", "Hello  world!\n\n It's 12345 done. ", " lead", "tail \t", "é\xa0ü  x", "a" * 5000, "word " * 400, "日本 語", "<|endoftext|> x"]
 
 
