@@ -67,6 +67,15 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 4 << 20) -> I
             start, held = i + 1, 0
 
 
+def squeeze(joined: bytes) -> bytes:
+    """Texts as they are stored and shuffled: zstd at a level that costs a tenth of the time of hashing their words."""
+    return pa.Codec("zstd", compression_level=6).compress(joined, asbytes=True)
+
+
+def expand(packed: bytes, size: int) -> bytes:
+    return pa.decompress(packed, size, codec="zstd", asbytes=True)
+
+
 class Words:
     """The words of some texts: 64-bit hashes, byte bounds, and the first word of each text in `first` (one more at the end)."""
 

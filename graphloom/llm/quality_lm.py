@@ -1,8 +1,8 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text (operator 9).
 
 The model is of order 4 over characters as they are (code points, nothing is folded), so its tables grow with the input. Texts are
-packed into batches of about STEP bytes. Each batch gives its distinct n-grams, with their counts in trusted texts (all of them,
-nothing is sampled). Joins of the count tables by n-gram, context and suffix give discounts, continuation counts, back-off weights and
+packed into batches of about STEP bytes. Each batch gives its distinct n-grams once, with their counts in trusted texts (all of
+them, nothing is sampled). Joins of the count tables by n-gram, context and suffix give discounts, continuation counts, back-off weights and
 the interpolated probability of every n-gram of the input; below order 1 all code points are equally likely. The probabilities go
 back to the batches by a join, and each batch sums them by document: perplexity = exp(-mean log-probability). No table is gathered
 on the driver or broadcast whole: the driver sees four counts of counts per order.
@@ -16,98 +16,23 @@ text is kept. Rows with a null doc_id are scored, never trusted. Extra columns a
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, slices, table
+from .common import bounded, expand, materialise, slices, squeeze, table
 
-ORDER, CLASSES = 4, 64
+ORDER = 4
 QUANTILE, MARGIN = 0.99, 1.05
-_CELLS = CLASSES**ORDER
-#: Bytes of text in a batch, and code points.
-STEP, POINTS = 8 << 20, 0x110000
+#: Bytes of text in a batch and in what is worked on at a time (more only for longer documents), and code points.
+STEP, PIECE, POINTS = 32 << 20, 2 << 20, 0x110000
 PACKED = "batch long, doc_id array<long>, lang array<string>, trusted array<boolean>, sizes array<int>, packed binary"
 
 
-@cache
-def _classes() -> np.ndarray:
-    """The class of every code point: 26 letters, 12 for other lower-case letters, 6 for capitals, digits, white space, and 16 for the rest.
-    Class 0 stands for the start of a text."""
-    out = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        x = chr(c)
-        if "a" <= x <= "z":
-            k = 1 + c - 97
-        elif x.isalpha():
-            k = 39 + c % 6 if x.isupper() else 27 + c % 12
-        elif x.isdigit():
-            k = 45
-        elif x.isspace():
-            k = 46 if x == " " else 47
-        else:
-            k = 48 + c % 16
-        out[c] = k
-    return out
-
-
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(cell of the four classes that end at each character, the first of each text with one more at the end)."""
-    pad = "\0" * (ORDER - 1)
-    texts = [t.decode() for t in texts]
-    codes = np.frombuffer((pad.join(texts) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)
-    k = np.where(codes == 0, 0, _classes()[codes]).astype(np.int32)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    k = np.concatenate((np.zeros(ORDER - 1, np.int32), k))
-    cell = np.zeros(len(k) - ORDER + 1, np.int32)
-    for j in range(ORDER):
-        cell = cell * CLASSES + k[j : len(k) - ORDER + 1 + j]
-    first = np.concatenate(([0], np.cumsum(sizes)))
-    text = np.repeat(np.arange(len(texts)), sizes)
-    return cell[np.arange(first[-1]) + text * (ORDER - 1)], first
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(_CELLS, np.int32)
-    for batch in batches:
-        for _, texts in slices(batch):
-            cell, n = np.unique(grams(texts)[0], return_counts=True)
-            total[cell] += n.astype(np.int32)
-    cell = np.flatnonzero(total)
-    for i in range(0, len(cell), 1 << 18):
-        part = cell[i : i + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["gram", "n"])
-
-
-def model(trusted: DataFrame) -> np.ndarray:
-    """trusted(text) -> log-probability of the last class of every cell given the three before it: a dense model over 64 classes of
-    characters, for small alphabets. Documents aren't scored by it."""
-    counts = materialise(trusted.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "lm-counts")
-    prob = np.full(CLASSES, 1 / CLASSES)
-    for order in range(1, ORDER + 1):
-        # counts of the highest order; below it, the number of different classes that come before a gram
-        c = counts if order == ORDER else counts.groupBy((F.col("gram") % CLASSES ** (order + 1)).alias("gram")).agg(F.count("*").alias("n_")).groupBy((F.col("gram") % CLASSES**order).alias("gram")).agg(F.count("*").alias("n"))
-        of = {r["n"]: r["g"] for r in c.filter("n <= 4").groupBy("n").agg(F.count("*").alias("g")).collect()}
-        y = of.get(1, 0) / max(1, of.get(1, 0) + 2 * of.get(2, 0))
-        d = [max(0.0, min(i, i - (i + 1) * y * of.get(i + 1, 0) / of[i])) if of.get(i) else 0.5 * i / 2 for i in (1, 2, 3)]
-        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        c = c.withColumn("cut", cut).withColumn("context", F.expr(f"gram div {CLASSES}"))
-        contexts = c.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-        rows = c.join(contexts, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("p")).toPandas()
-        back = contexts.select("context", (F.col("freed") / F.col("total")).alias("w")).toPandas()
-        weight = np.ones(CLASSES ** (order - 1), np.float32)
-        weight[back["context"]] = back["w"]
-        # a cell's lower-order cell is its own without the first class
-        prob = (weight[:, None] * np.tile(prob.reshape(-1, CLASSES), (CLASSES if order > 1 else 1, 1))).astype(np.float32).ravel()
-        prob[rows["gram"]] += rows["p"].to_numpy(np.float32)
-    return np.log(np.maximum(prob, 1e-9)).astype(np.float32)
-
-
 def _dense(key: np.ndarray, cells: int) -> tuple[np.ndarray, int]:
     """(rank of each key among the distinct ones, how many these are); keys are below `cells`."""
     if cells <= 1 << 24:
@@ -139,29 +64,53 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about STEP bytes of text. They are stored once, so their numbers and rows stay as they are."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def row() -> pa.RecordBatch:
+        ids, langs, trusted, texts = zip(*held)
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())
+        values = (number, ids, langs, trusted, [len(t) for t in texts], squeeze(b"".join(texts)))
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds)], ["batch", "doc_id", "lang", "trusted", "sizes", "packed"])
+
     for batch in batches:
-        for part, texts in slices(batch, limit=STEP):
-            columns = [part.column(c).to_pylist() for c in ("doc_id", "lang", "trusted")]
-            packed = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
-            row = [int.from_bytes(os.urandom(8), "little", signed=True), *columns, [len(t) for t in texts], packed]
-            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["batch", "doc_id", "lang", "trusted", "sizes", "packed"])
+        for part, texts in slices(batch):
+            held += zip(*(part.column(c).to_pylist() for c in ("doc_id", "lang", "trusted")), texts)
+            size += sum(map(len, texts))
+            if size >= STEP:
+                yield row()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield row()
 
 
-def _texts(packed: bytes, sizes: list[int]) -> list[str]:
-    joined = pa.decompress(packed, sum(sizes), codec="zstd", asbytes=True)
-    ends = np.cumsum([0, *sizes])
-    return [joined[i:j].decode() for i, j in zip(ends, ends[1:])]
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _pieces(row: dict) -> Iterator[tuple[slice, list[str]]]:
+    """Documents of a batch, some at a time."""
+    joined, ends, first = expand(row["packed"], sum(row["sizes"])), np.cumsum([0, *row["sizes"]]), 0
+    for i in range(len(row["sizes"])):
+        if i + 1 == len(row["sizes"]) or ends[i + 1] - ends[first] >= PIECE:
+            yield slice(first, i + 1), [joined[a:b].decode() for a, b in zip(ends[first : i + 1], ends[first + 1 : i + 2])]
+            first = i + 1
 
 
 def _batch_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.select(["batch", "trusted", "sizes", "packed"]).to_pylist():
-            rank, distinct, first = ngrams(_texts(r["packed"], r["sizes"]))
-            n = np.bincount(rank[np.repeat(np.array(r["trusted"], bool), np.diff(first))], minlength=len(distinct))
-            for i in range(0, len(distinct), 1 << 16):
-                part = distinct[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([r["batch"]] * len(part), pa.int64()), pa.array(np.arange(i, i + len(part)), pa.int32()), pa.array(part, pa.string()), pa.array(n[i : i + len(part)], pa.int64())], ["batch", "place", "gram", "n"])
+    for row in _rows(batches):
+        total = {}
+        for own, texts in _pieces(row):
+            rank, distinct, first = ngrams(texts)
+            n = np.bincount(rank[np.repeat(np.array(row["trusted"][own], bool), np.diff(first))], minlength=len(distinct))
+            for g, k in zip(distinct, n.tolist()):
+                total[g] = total.get(g, 0) + k
+        grams = sorted(total)
+        for i in range(0, len(grams), 1 << 16):
+            part = grams[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array([row["batch"]] * len(part), pa.int64()), pa.array(part, pa.string()), pa.array([total[g] for g in part], pa.int64())], ["batch", "gram", "n"])
 
 
 def probabilities(grams: DataFrame) -> DataFrame:
@@ -188,25 +137,25 @@ def probabilities(grams: DataFrame) -> DataFrame:
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            rank, distinct, first = ngrams(_texts(r["packed"], r["sizes"]))
-            logp = np.zeros(len(distinct))
-            if distinct:
-                logp[np.array([x["place"] for x in r["found"]])] = np.log([x["p"] for x in r["found"]])
-            sums, n = np.concatenate(([0.0], np.cumsum(logp[rank]))), np.diff(first)
+    for row in _rows(batches):
+        found = row["found"] or []
+        logp = dict(zip((x["gram"] for x in found), np.log(np.array([x["p"] for x in found], np.float64)).tolist()))
+        for own, texts in _pieces(row):
+            rank, distinct, first = ngrams(texts)
+            own_logp = np.array([logp[g] for g in distinct])
+            sums, n = np.concatenate(([0.0], np.cumsum(own_logp[rank]) if len(rank) else [])), np.diff(first)
             with np.errstate(invalid="ignore", divide="ignore"):
                 ppl = np.exp(-(sums[first[1:]] - sums[first[:-1]]) / n)
-            yield pa.RecordBatch.from_arrays([pa.array(r["doc_id"], pa.int64()), pa.array(r["lang"], pa.string()), pa.array(r["trusted"], pa.bool_()), pa.array(ppl, mask=n == 0)], ["doc_id", "lang", "trusted", "perplexity"])
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_id"][own], pa.int64()), pa.array(row["lang"][own], pa.string()), pa.array(row["trusted"][own], pa.bool_()), pa.array(ppl, mask=n == 0)], ["doc_id", "lang", "trusted", "perplexity"])
 
 
 def score(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, lang, trusted) -> the same without text, with perplexity by the model of the trusted ones."""
     packed = materialise(docs.select("doc_id", "text", "lang", "trusted").mapInArrow(_pack, PACKED), "lm-packed")
-    own = materialise(packed.mapInArrow(_batch_grams, "batch long, place int, gram string, n long"), "lm-grams")
+    own = materialise(packed.mapInArrow(_batch_grams, "batch long, gram string, n long"), "lm-grams")
     p = probabilities(materialise(own.groupBy("gram").agg(F.sum("n").alias("n")), "lm-counts"))
-    found = own.select("batch", "place", "gram").join(p, "gram").groupBy("batch").agg(F.collect_list(F.struct("place", "p")).alias("found"))
-    return packed.join(found, "batch", "left").select("doc_id", "lang", "trusted", "sizes", "packed", "found").mapInArrow(_score, "doc_id long, lang string, trusted boolean, perplexity double")
+    found = own.select("batch", "gram").join(p.select("gram", F.col("p").cast("float").alias("p")), "gram").groupBy("batch").agg(F.collect_list(F.struct("gram", "p")).alias("found"))
+    return packed.join(found, "batch", "left").mapInArrow(_score, "doc_id long, lang string, trusted boolean, perplexity double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, as_long, materialise, slices, table
+from .common import Words, as_long, expand, materialise, slices, squeeze, table
 
 WINDOW, GRAM = 20, 6
 #: Windows of a super-k-mer at most: longer runs (one phrase over and over) are cut, so that a mask fits in a long.
@@ -78,7 +78,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ties = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, ties[i]))
             texts = [texts[i] for i in order]
-            row = (number, [ids[i] for i in order], [ties[i] for i in order], [len(t) for t in texts], pa.compress(b"".join(texts), codec="zstd", asbytes=True))
+            row = (number, [ids[i] for i in order], [ties[i] for i in order], [len(t) for t in texts], squeeze(b"".join(texts)))
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["batch", "doc_id", "tie", "sizes", "packed"])
             number += 1
@@ -89,7 +89,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            joined = pa.decompress(row["packed"], sum(row["sizes"]), codec="zstd", asbytes=True)
+            joined = expand(row["packed"], sum(row["sizes"]))
             ends = np.cumsum([0, *row["sizes"]])
             yield row, [joined[a:b] for a, b in zip(ends, ends[1:])]
 

@@ -341,12 +341,6 @@ def test_quality(spark):
     assert all(r["kept"] == (r["perplexity"] is not None) for r in nothing)
 
 
-def test_model_is_a_distribution(spark):
-    texts = spark.createDataFrame([("the cat sat on the mat and the dog ran",), ("the end",)], "text string")
-    p = np.exp(quality_lm.model(texts).astype(float)).reshape(-1, quality_lm.CLASSES).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-3)
-
-
 def brute_kneser_ney(trusted):
     """log-probability of the last character of a gram, by the definition."""
     n = quality_lm.ORDER
@@ -386,3 +380,15 @@ def test_quality_of_real_characters(spark):
     want = brute_kneser_ney([t for i, t, _, _ in rows if i < 60])
     assert all(np.isclose(got[i]["perplexity"], want(t), rtol=1e-6) for i, t, _, _ in rows)
     assert sum(got[i]["kept"] for i in range(80)) >= 78 and not any(got[100 + i]["kept"] for i in range(20))
+
+
+def test_quality_of_batches_and_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i if i % 5 else None, words(rng, 12, VOCAB["en"]), "en", "a") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    got = lambda: sorted((r["doc_id"] or -1, round(r["perplexity"], 5)) for r in quality_lm.judge(docs(spark, rows).repartition(2), labels).collect())
+    want = got()
+    monkeypatch.setattr(quality_lm, "STEP", 200)
+    monkeypatch.setattr(quality_lm, "PIECE", 90)
+    assert got() == want and len(want) == 60
+    assert quality_lm.judge(docs(spark, []), labels).count() == 0
