@@ -120,6 +120,18 @@ class Words:
         return mix(h)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running_sums(sizes: Column) -> Column:
+    """Sums of an array of numbers up to each place, that place included. Step k adds what step k - 1 holds 2^k places before, so an array
+    of n takes n log n additions (no accumulator is copied for each element); short arrays skip all later steps."""
+    step = lambda a, far: F.when(F.size(a) > far, F.transform(a, lambda v, i: v + F.coalesce(F.get(a, i - far), F.lit(0)))).otherwise(a)
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(30))), sizes, step)
+
+
 def normal_tail(z: Column) -> Column:
     """P(Z > z) by a rational approximation of the normal distribution, error under 1e-7."""
     x = F.abs(z)

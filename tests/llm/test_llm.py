@@ -2,8 +2,10 @@
 long texts, ties, repeated rows, empty tables and columns whose names clash."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -182,6 +184,54 @@ def test_secrets(spark):
     assert secrets.digest(secrets.scan(docs(spark, []))).count() == 0
 
 
+def battery(v):
+    """The combined p-value of a base64 run, by the definition."""
+    k, n = 64, len(v)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = (sum(c * c for c in Counter(v).values()) * k / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    x = np.array([secrets.ALPHABETS["base64"].index(c) + 1 for c in v], float)
+    d = x - x.mean()
+    serial = abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * math.sqrt(n)
+    low = x <= k / 2
+    both = 2 * low.sum() * (n - low.sum())
+    turns = abs((low[1:] != low[:-1]).sum() - both / n) / math.sqrt(both * (both - n) / (n * n * (n - 1)))
+    t = -sum(math.log(max(1e-9, p)) for p in (tail(chi), 2 * tail(serial), 2 * tail(turns)))
+    return math.exp(-t) * (1 + t + t * t / 2)
+
+
+def test_added_spans_are_random_and_rare(spark):
+    rng = random.Random(8)
+    b64 = secrets.ALPHABETS["base64"]
+    parts = "get set user name from data base order item price list total check value index token count file path read write".split()
+    name = lambda: "".join(p if i == 0 else p.title() for i, p in enumerate(rng.choices(parts, k=7)))
+    # identifiers only: nothing, or next to nothing, is a secret
+    rows = [(i, " ".join(name() for _ in range(4)), "en", "a") for i in range(300)]
+    found = [r for r in secrets.scan(docs(spark, rows)).collect() if r["spans"]]
+    assert sum(len(r["spans"]) for r in found) <= 0.05 * 1200
+    # keys among identifiers and prose: the keys are found, and of what is found few are not keys
+    prose = lambda n: " ".join(rng.choice(parts) for _ in range(n))
+    keys = {i: "".join(rng.choices(b64, k=44)) for i in range(0, 300, 2)}
+    rows = [(i, f"{prose(60)} {name()} {keys[i] if i in keys else ''} {prose(9)}", "en", "a") for i in range(300)]
+    frame = docs(spark, rows)
+    got = {r["doc_id"]: [s["value"] for s in r["spans"] if s["kind"] == "random"] for r in secrets.scan(frame).collect()}
+    flagged = [(i, v) for i, vs in got.items() for v in vs]
+    assert sum(keys.get(i) == v for i, v in flagged) >= 0.85 * len(keys) and sum(keys.get(i) != v for i, v in flagged) <= 0.05 * len(flagged)
+    # what is added follows from the p-values and the cuts
+    runs = secrets.judged(secrets.found_in(frame))
+    accept = secrets.cuts(runs)
+    p = {r["span"]["value"]: (r["p"], r["stratum"]) for r in runs.filter("not decoy").collect()}
+    assert all(np.isclose(q, battery(v), rtol=1e-3, atol=1e-6) for v, (q, _) in p.items() if len(set(v)) > 2)
+    assert {v for _, v in flagged} == {v for v, (q, s) in p.items() if q >= accept.get(s, 2)}
+
+
+def test_secrets_of_a_very_long_text(spark):
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices("0123456789abcdef", k=32)) for _ in range(16000))
+    began = time.time()
+    row = secrets.digest(secrets.scan(docs(spark, [(1, text, "en", "a")]))).first()
+    assert row["n_hex"] == 16000 and time.time() - began < 60
+
+
 def test_mips(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, 16)).astype(np.float32)
