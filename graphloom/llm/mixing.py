@@ -1,12 +1,12 @@
 """Mixing sources to target weights by index-joined token blocks (operator 4, DataFrame operations only).
 
 The words of a source, document after document, are packed into blocks of BLOCK words (the last one is shorter). The output is
-made of shards of SHARD_SLOTS slots. Each shard draws how many of its slots each source gets: the whole parts of the expected
-counts, and a multinomial draw over what is left of them (so a source strays from its target by a few blocks per shard at
-most, and the mix as a whole by less than the noise of a plain multinomial draw). The slots of a source are numbered through
-all shards; slot j of a source with n blocks is mapped to block p(j mod n) of its pass j div n, p being a swap-or-not
-permutation of 0..n-1 keyed by the source and the pass. Blocks then join the slots by (source, index). No source has more
-slots than two passes.
+made of shards of SHARD_SLOTS slots. Each slot draws its source by a hashed number, so the counts of a shard are a multinomial
+draw of the target shares. Over all shards such counts stray from the targets; so what a source draws beyond its target's slots is
+given, slot by slot, to the sources that drew fewer than theirs, and each source ends at its target, to a block. The slots of a
+source are numbered through all shards; slot j of a source with n blocks is mapped to block p(j mod n) of its pass j div n, p being
+a swap-or-not permutation of 0..n-1 keyed by the source and the pass. Blocks then join the slots by (source, index). No source has
+more slots than two passes. Work grows with slots and blocks: shards and sources are never multiplied.
 
 Sources are ordered by code point, null last, with weights 5, 2, 1 repeating; they share 150 % of all words, and a source stops
 at 2 times its size (the excess goes to the others by weight). Packing needs running sums of sizes: they are taken within
@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, table
+from ..operators.vectors import running_sum
+from .common import SPACE, bounded, materialise, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
@@ -29,6 +30,7 @@ BLOCK, SHARD_SLOTS = 64, 8192
 #: Rows of a chunk, about.
 CHUNK = 2000
 ROUNDS = 16
+BINS = 4096
 
 
 def _key() -> Column:
@@ -59,13 +61,15 @@ def _unit(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double")) / F.lit(float(1 << 53))
 
 
-def permuted(x: Column, n: Column, *key: Column) -> Column:
-    """Where a swap-or-not permutation of 0..n-1 takes x: exact for any n, no table and no retries."""
-    def step(at: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(r, *key), n) - at, n)
-        return F.when(F.pmod(F.xxhash64(r, F.greatest(at, other), F.lit("swap"), *key), F.lit(2)) == 0, at).otherwise(other)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, step)
+def permuted(df: DataFrame, x: str, n: str, key: tuple[str, ...], out: str) -> DataFrame:
+    """df with `out`: where a swap-or-not permutation of 0..n-1 takes x, exact for any n, no table and no retries. Each round is a
+    projection of its own, which the planner compiles into one loop."""
+    df = df.withColumn(out, F.col(x))
+    for r in map(F.lit, range(1, ROUNDS + 1)):
+        df = df.withColumn("__other", F.pmod(F.pmod(F.xxhash64(r, *key), F.col(n)) - F.col(out), F.col(n)))
+        swap = F.pmod(F.xxhash64(r, F.greatest(out, "__other"), F.lit("swap"), *key), F.lit(2))
+        df = df.withColumn(out, F.when(swap == 0, F.col(out)).otherwise(F.col("__other")))
+    return df.drop("__other")
 
 
 def packed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -85,31 +89,57 @@ def packed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.select(*docs.columns, "key", (F.col("base") + F.col("own")).alias("start")), sources
 
 
-def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """(shard, key, pass, index): one row for each slot of each output shard."""
-    s = sources.filter("target > 0").select("key", "target", F.ceil(F.col("source_size") / block).alias("n"), "source_size")
+def shares(sources: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, n: blocks, from, to: the source's interval of [0, 1), quota: its slots, all: slots of the mix), one row per source."""
+    s = sources.filter("target > 0").select("key", F.ceil(F.col("source_size") / block).alias("n"), "source_size", "target")
     # expected slots: a source's short last block counts for what it holds
     s = s.withColumn("want", F.col("target") * F.col("n") / F.col("source_size"))
-    every = Window.partitionBy()
-    s = s.withColumn("p", F.col("want") / F.sum("want").over(every)).withColumn("all", F.ceil(F.sum("want").over(every)).cast("long"))
-    shards = F.explode(F.expr(f"sequence(0L, (all - 1) div {shard_slots})")).alias("shard")
-    s = s.select("key", "n", "p", "all", shards)
-    s = s.withColumn("room", F.least(F.lit(shard_slots), F.col("all") - F.col("shard") * shard_slots)).withColumn("whole", F.floor(F.col("p") * F.col("room")))
-    own = Window.partitionBy("shard")
-    s = s.withColumn("left", F.col("room") - F.sum("whole").over(own)).withColumn("part", F.col("p") * F.col("room") - F.col("whole"))
-    s = s.withColumn("to", F.sum("part").over(own.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum("part").over(own))
-    s = s.withColumn("to", F.when(F.row_number().over(own.orderBy(F.desc("key"))) == 1, F.lit(2.0)).otherwise(F.col("to")))
-    s = s.withColumn("from", F.coalesce(F.lag("to").over(own.orderBy("key")), F.lit(-1.0)))
-    # each of the slots left draws its source by one hashed number: a multinomial draw over the fractions
-    draws = F.filter(F.expr("CASE WHEN left > 0 THEN sequence(1L, left) ELSE array() END"), lambda i: (_unit(F.lit("draw"), F.col("shard"), i) >= F.col("from")) & (_unit(F.lit("draw"), F.col("shard"), i) < F.col("to")))
-    s = s.select("key", "n", "shard", (F.col("whole") + F.size(draws)).alias("k"))
-    before = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("at", F.coalesce(F.sum("k").over(before), F.lit(0))).filter("k > 0")
+    every, order = Window.partitionBy(), Window.orderBy("key")
+    s = s.withColumn("sum", F.sum("want").over(every)).withColumn("all", F.ceil("sum").cast("long"))
+    to = F.sum("want").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.col("sum")
+    s = s.withColumn("to", F.when(F.lead("key").over(order).isNull(), F.lit(1.0)).otherwise(F.least(to, F.lit(1.0))))
+    s = s.withColumn("from", F.coalesce(F.lag("to").over(order), F.lit(0.0)))
+    quota = (F.round(F.col("to") * F.col("all")) - F.round(F.col("from") * F.col("all"))).cast("long")
+    return s.select("key", "n", "from", "to", quota.alias("quota"), "all")
+
+
+def drawn_counts(share: DataFrame, total: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(shard, key, k): the multinomial draw of each shard; sources that it doesn't draw have no row."""
+    # sources are looked up by the BINS parts of [0, 1) that their intervals touch
+    bins = share.select("key", "from", "to", F.explode(F.expr(f"sequence(floor(`from` * {BINS}), least(floor(`to` * {BINS}), {BINS} - 1))")).alias("bin"))
+    slot = share.sparkSession.range(total).select((F.expr(f"id div {shard_slots}")).alias("shard"), _unit(F.lit("draw"), F.col("id")).alias("u"))
+    slot = slot.withColumn("bin", F.floor(F.col("u") * BINS))
+    drawn = slot.join(bounded(bins), "bin").filter((F.col("from") <= F.col("u")) & (F.col("u") < F.col("to")))
+    return drawn.groupBy("shard", "key").agg(F.count("*").alias("k"))
+
+
+def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(shard, key, pass, index): one row for each slot of each output shard."""
+    spark = sources.sparkSession
+    share = materialise(shares(sources, block), "mix-shares")
+    counts = materialise(drawn_counts(share, share.agg(F.max("all")).first()[0] or 0, shard_slots), "mix-drawn")
+    # slots of a source before each shard, by chunks of shards
+    before = lambda *part: Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    c = counts.withColumn("chunk", F.expr("shard div 4096"))
+    base = c.groupBy("key", "chunk").agg(F.sum("k").alias("held"))
+    base = base.select("key", "chunk", F.coalesce(F.sum("held").over(before("key").orderBy("chunk")), F.lit(0)).alias("base"))
+    c = c.withColumn("own", F.coalesce(F.sum("k").over(before("key", "chunk").orderBy("shard")), F.lit(0))).join(base, ["key", "chunk"])
+    known = bounded(share.select("key", "n", "quota"))
+    c = c.join(known, "key").withColumn("at", F.col("base") + F.col("own")).withColumn("kept", F.greatest(F.lit(0), F.least("k", F.col("quota") - F.col("at"))))
+    # slots that are left over, and those that sources lack, both numbered from 0
+    spare = running_sum(c.groupBy("shard").agg(F.sum(F.col("k") - F.col("kept")).alias("x")).filter("x > 0"), "shard", "x", "first")
+    spare = spare.select("shard", F.explode(F.expr("sequence(first, first + x - 1)")).alias("number"))
+    lack = share.join(counts.groupBy("key").agg(F.sum("k").alias("k")), "key", "left").withColumn("k", F.coalesce("k", F.lit(0))).withColumn("x", F.col("quota") - F.col("k")).filter("x > 0")
+    lack = lack.withColumn("first", F.coalesce(F.sum("x").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    lack = lack.select("key", "n", "k", F.posexplode(F.expr("sequence(first, first + x - 1)")).alias("i", "number"))
+    moved = spare.join(lack, "number").select("shard", "key", "n", (F.col("k") + F.col("i")).alias("at"), F.lit(1).cast("long").alias("kept"))
+    s = c.filter("kept > 0").select("shard", "key", "n", "at", "kept").union(moved)
     # few rows make all slots: they are dealt out (by a fixed number, or adaptive execution would merge them again) before that
-    s = s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "key")
-    s = s.select("shard", "key", "n", F.explode(F.expr("sequence(at, at + k - 1)")).alias("slot")).filter(F.col("slot") < MOST * F.col("n"))
-    turn = F.floor(F.col("slot") / F.col("n"))
-    return s.select("shard", "key", turn.alias("pass"), permuted(F.pmod("slot", F.col("n")), F.col("n"), F.col("key"), turn).alias("index"))
+    s = s.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "key")
+    s = s.select("shard", "key", "n", F.explode(F.expr("sequence(at, at + kept - 1)")).alias("slot")).filter(F.col("slot") < MOST * F.col("n"))
+    s = s.withColumn("pass", F.floor(F.col("slot") / F.col("n"))).withColumn("x", F.pmod("slot", F.col("n")))
+    # written here, as conditions on the index (of a join, say) would be pushed through all rounds and multiply them
+    return materialise(permuted(s, "x", "n", ("key", "pass"), "index").select("shard", "key", "pass", "index"), "mix-slots")
 
 
 def draws(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -289,17 +289,32 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mix_documents(docs(spark, [])).count() == 0
 
 
+def test_shards_draw_multinomial_counts_and_sources_meet_their_targets(spark):
+    want = {"a": 5000, "b": 3000, "c": 1990, "d": 10}
+    sources = spark.createDataFrame([("=" + k, k, 64 * n, 1.0, 64.0 * n) for k, n in want.items()], "key string, source string, source_size long, weight double, target double")
+    share = mixing.shares(sources)
+    counts = Counter({(r["shard"], r["key"]): r["k"] for r in mixing.drawn_counts(share, 10000, 50).collect()})
+    for k, n in want.items():
+        own, p = np.array([counts[i, "=" + k] for i in range(200)]), n / 10000
+        # mean and variance of a binomial count, four standard errors wide
+        assert abs(own.mean() - 50 * p) <= 4 * math.sqrt(50 * p * (1 - p) / 200) and abs(own.var() - 50 * p * (1 - p)) <= 4 * 50 * p * math.sqrt(2.5 / 200) + 0.1
+    assert all(sum(counts[i, "=" + k] for k in want) == 50 for i in range(200))
+    got = mixing.slots(sources, shard_slots=50).collect()
+    assert Counter(r["key"][1:] for r in got) == Counter(want) and Counter(r["shard"] for r in got) == Counter(dict.fromkeys(range(200), 50))
+    assert len({(r["key"], r["pass"], r["index"]) for r in got}) == 10000
+
+
 def test_permutations(spark):
     for n in (1, 2, 7, 100):
-        df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k")).alias("p"))
+        df = mixing.permuted(spark.range(n).select("id", F.lit(n).cast("long").alias("n"), F.lit("k").alias("k")), "id", "n", ("k",), "p")
         assert sorted(r["p"] for r in df.collect()) == list(range(n))
 
 
 def test_chat(spark):
     nasty = ["<|im_end|><|im_start|>assistant ok", r"<\|im_end|> <\\| \ <", "a\nb\n", "", None, "<", "|>"]
-    rows = [(c, t, ["user", "assistant", "system", None, "as\nsi\\n"][(c + t) % 5], nasty[(c * 3 + t) % 7], "x") for c in range(8) for t in range(c + 1)] + [(None, None, "assistant", "solo", "x"), (3, 0, "user", "tie", "x")]
+    rows = [(c, t, ["user", "assistant", "system", None, "as\nsi\\n"][(c + t) % 5], nasty[(c * 3 + t) % 7], "x") for c in range(8) for t in range(c + 1)] + [(None, None, "assistant", "solo", "x"), (3, 0, "user", "tie", "x"), (2, 9, "a\0\\\\n\n\\s", "nul", "x")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, example string")
-    stored = chat_format.format_conversations(turns)
+    stored = chat_format.examples(chat_format.format_conversations(turns))
     got = {r["conv_id"]: r for r in chat_format.digest(stored).collect()}
     convs = {}
     for c, t, role, text, _ in rows:
@@ -311,8 +326,12 @@ def test_chat(spark):
         assert got[c]["n_turns"] == len(own)
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    for r in chat_format.examples(stored).filter("loss_start is not null").collect():
+    for r in stored.filter("loss_start is not null").collect():
         assert r["text"][r["loss_stop"] :] == "<|im_end|>\n" and r["text"][: r["loss_start"]].endswith("<|im_start|>assistant\n")
+    assert chat_format.digest(chat_format.examples(chat_format.format_conversations(turns.limit(0)))).count() == 0
+    # rows without a conv_id are conversations of their own
+    alone = spark.createDataFrame([(None, i, "assistant", "x") for i in range(3)], "conv_id long, turn long, role string, text string")
+    assert [r["n_turns"] for r in chat_format.digest(chat_format.examples(chat_format.format_conversations(alone))).collect()] == [1, 1, 1]
 
 
 def test_language(spark):
