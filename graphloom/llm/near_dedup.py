@@ -6,14 +6,17 @@ words as one shingle below five). Two documents are linked when 100 * |A & B| >=
 1. Per document, in one narrow pass: 32 bands of 4 MinHash samples, and an odd sketch: 2048 more samples (the least hash of each of
    2048 ranges) each flip one of 2048 bits, so that the XOR of two sketches has a population count that tells how many samples
    differ, and so the similarity.
-2. Documents with equal sets share a class; only class representatives go on.
+2. Documents with equal fingerprints are compared with the smallest of them on full sets; where the sets are equal, only that
+   representative goes on.
 3. Within a bucket each member meets the bucket's hub, the member whose buckets are largest in all (that with the fewest edits, in
    a group of edited copies). Sketches screen these pairs, four standard deviations wide, and full sets decide.
 4. In buckets whose members then lie in several components, members outside of the largest one are joined with all members, so
-   that every remaining pair of a bucket across components is met too. No pair within a component is ever made.
+   that every remaining pair of a bucket across components is met too. No pair within a component is ever made. The members of
+   a bucket are dealt out in blocks of about PER_SALT, each block with its own copy of those outside.
 
-Null text and blank text: empty set, linked with nothing. Rows with a null doc_id are left out. Repeated doc_ids give repeated
-rows; extra columns are ignored; an empty table gives an empty result.
+Null text and blank text: empty set, linked with nothing. A row with a null doc_id is compared as all others are; it comes last
+in its component, and component_id is null where no row has a doc_id (the first row is kept then). doc_ids are below 2^62. Repeated
+doc_ids give repeated rows; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ BINS, BITS = 2048, 2048
 #: Standard deviations of the estimate within which a pair is confirmed on full sets.
 DEVIATIONS = 4.0
 PER_SALT = 256
+#: Rows without a doc_id are numbered from here on.
+NAMELESS = 1 << 62
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 _BAND_OF = (np.arange(SAMPLES, dtype=np.uint64) // U(ROWS) + U(1)) * U(0xA24BAED4963EE407)
 SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, filled int, sketch array<long>"
@@ -111,34 +116,44 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64())))], ["doc_id", "n_shingles", "f1", "f2", "bands", "filled", "sketch"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], equal: bool = False) -> Iterator[pa.RecordBatch]:
+    """The pairs that are linked, or whose sets are equal, by full sets."""
     for batch in batches:
         for part, left in slices(batch, "text_a"):
             right = [t or b"" for t in part.column("text_b").cast(pa.binary()).to_pylist()]
             keep = []
             for a, b in zip(shingle_sets(left), shingle_sets(right)):
+                if equal:
+                    keep.append(np.array_equal(a, b))
+                    continue
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(bool(both) and 100 * both >= 75 * (len(a) + len(b) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["u", "v"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs(a, b), b the side that may occur in very many pairs -> the confirmed links (u, v)."""
+def _links(pairs: DataFrame, texts: DataFrame, equal: bool = False) -> DataFrame:
+    """pairs(a, b), b the side that may occur in very many pairs -> the confirmed links (or equal sets), as (u, v)."""
     degree = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
     salted = pairs.join(degree, "b").select("a", "b", F.expr("cast(pmod(xxhash64(a), salts) as int)").alias("salt"))
     copies = texts.join(degree.withColumnRenamed("b", "doc_id"), "doc_id").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
     near = salted.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(copies, ["b", "salt"])
-    return materialise(near.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "u long, v long"), "dedup-links")
+    return materialise(near.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _confirm(b, equal), "u long, v long"), "dedup-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.monotonically_increasing_id())
+    docs = docs.select(key.alias("doc_id"), "text")
     signed = materialise(docs.mapInArrow(_sign, SIGNED), "dedup-signed")
-    classes = signed.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = signed.select("doc_id", "f1", "f2", "n_shingles").join(classes, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    classes = signed.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("b"), F.count("*").alias("members")).filter("members > 1")
+    # written first: a join of two plain exchanges is one whose hot keys adaptive execution can split
+    classes = materialise(classes.drop("members"), "dedup-classes")
+    alike = materialise(signed.select(F.col("doc_id").alias("a"), "f1", "f2", "n_shingles").join(classes, ["f1", "f2", "n_shingles"]).filter("a <> b").select("a", "b").distinct(), "dedup-alike")
+    ends = alike.select(F.col("a").alias("doc_id")).union(alike.select("b")).distinct()
+    equal = _links(alike, docs.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), True).select(F.col("u").alias("doc_id"), F.col("v").alias("rep"))
+    member = signed.select("doc_id", "n_shingles").join(equal, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    reps = signed.filter("n_shingles > 0").join(equal, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     reps = materialise(reps.select(F.col("doc_id").alias("id"), "bands", F.col("n_shingles").alias("n"), F.col("filled").alias("k"), F.col("sketch").alias("s")), "dedup-reps")
     named = lambda x: reps.select(F.col("id").alias(x), *(F.col(c).alias(c + x) for c in "nks"))
 
@@ -156,23 +171,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     placed = shared.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     held = placed.groupBy("bucket", "component").agg(F.count("*").alias("held"))
-    mixed = held.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("held", "component")).alias("most")).filter("parts > 1")
-    placed = placed.join(mixed.select("bucket", F.col("most.component").alias("major")), "bucket").withColumn("major", F.expr("component = major"))
+    mixed = held.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("held", "component")).alias("most"), F.ceil(F.sum("held") / PER_SALT).cast("int").alias("salts")).filter("parts > 1")
+    placed = placed.join(mixed.select("bucket", "salts", F.col("most.component").alias("major")), "bucket").withColumn("major", F.expr("component = major"))
     placed = materialise(placed.join(reps.select("id", "n", "k", "s", "bands"), "id"), "dedup-rest")
-    side = lambda df, i: df.select("bucket", F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("major").alias(f"major{i}"), *(F.col(c).alias(c + i) for c in "nks"), F.col("bands").alias(f"bands{i}"))
+    side = lambda df, i: df.select("bucket", "salt", F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("major").alias(f"major{i}"), *(F.col(c).alias(c + i) for c in "nks"), F.col("bands").alias(f"bands{i}"))
     # members of a bucket's largest component aren't set against each other: the rest meets them and itself
-    x, y = side(placed.filter("not major"), "a"), side(placed, "b")
+    x = side(placed.filter("not major").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))), "a")
+    y = side(placed.withColumn("salt", F.expr("cast(pmod(xxhash64(id), salts) as int)")), "b")
     once = F.col("majorb") | (F.col("a") > F.col("b"))
     alike = F.least("na", "nb") * 4 >= F.greatest("na", "nb") * 3
     # a pair with several buckets in common is made in the least of them
     first = F.array_min(F.array_intersect("bandsa", "bandsb")) == x.bucket
-    rest = x.join(y, (x.bucket == y.bucket) & (F.col("ca") != F.col("cb")) & once & alike & _screen("a", "b") & first).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = x.join(y, (x.bucket == y.bucket) & (x.salt == y.salt) & (F.col("ca") != F.col("cb")) & once & alike & _screen("a", "b") & first).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = _links(materialise(rest.join(done, ["a", "b"], "left_anti"), "dedup-more"), texts)
     label = components(links.union(more))
-    return member.join(label.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "rep")).alias("kept")
-    )
+    done = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
+    return done.select(named("doc_id").alias("doc_id"), "n_shingles", named("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
 
 
 def op8_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,14 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_without_doc_ids(spark):
+    rng = random.Random(2)
+    a, b = words(rng, 50), words(rng, 50)
+    rows = [(None, a, "en", "a"), (9, a + " x", "en", "a"), (None, a, "en", "a"), (None, b, "en", "a"), (None, b, "en", "a"), (4, None, "en", "a"), (None, None, "en", "a")]
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs(spark, rows)).collect())
+    assert got == Counter([(None, 9, False), (9, 9, True), (None, 9, False), (None, None, True), (None, None, False), (4, 4, True), (None, None, True)])
+
+
 def test_components_of_a_long_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long")
     assert {r["component"] for r in components.components(path).collect()} == {0}
