@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.vectors import fold_vectors
+
 EPS = 1e-5
 
 
@@ -52,11 +54,16 @@ def argmax(h: Column) -> Column:
     return (F.array_position(h, F.array_max(h)) - 1).cast("int")
 
 
+def batch_statistics(x: DataFrame, width: int, vec: str = "h") -> DataFrame:
+    """One row: the mean and the biased variance of each element."""
+    both = fold_vectors(x, None, width, lambda c: F.struct(F.avg(c).alias("mu"), F.var_pop(c).alias("va")), vec)
+    return both.select(F.transform("h", lambda s: s.mu).alias("mu"), F.transform("h", lambda s: s.va).alias("va"))
+
+
 def batch_norm(x: DataFrame, width: int, eps: float = EPS) -> DataFrame:
     """(h - mean) / sqrt(variance + eps) per element over all vertices; statistics are one row, so their size is bounded."""
-    stats = x.agg(F.array(*[F.avg(F.col("h")[i]) for i in range(width)]).alias("mu"), F.array(*[F.var_pop(F.col("h")[i]) for i in range(width)]).alias("va"))
     z = F.zip_with(F.zip_with("h", "mu", lambda a, b: a - b), "va", lambda a, v: a / F.sqrt(v + eps))
-    return x.join(F.broadcast(stats)).withColumn("h", z).drop("mu", "va")
+    return x.join(F.broadcast(batch_statistics(x, width))).withColumn("h", z).drop("mu", "va")
 
 
 def keep_mask(seed: int, epoch: int, layer: int, rate: float) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import Graph
-from .vectors import dot, fold_vectors, over_vertices, scale, sum_vectors
+from .vectors import dot, fold_vectors, over_vertices, scale, sum_vectors, zeros
 
 
 def at(edges: DataFrame, x: DataFrame, end: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def at(edges: DataFrame, x: DataFrame, end: str, name: str) -> DataFrame:
     return edges.join(x.select(F.col("vid").alias(end), F.col("h").alias(name)), end)
 
 
+def with_totals(edges: DataFrame, **folds: Column) -> DataFrame:
+    """The edges with aggregates over the in-edges of their dst. They are combined on the map side and joined back, so a hub's edges are
+    never gathered in one task (adaptive execution splits its side of the join)."""
+    return edges.join(edges.groupBy("dst").agg(*(c.alias(k) for k, c in folds.items())), "dst")
+
+
 class Scatter:
     """m = vector of src, of dst, or both, one after the other; ends: "src", "dst" or "both"."""
 
@@ -55,7 +61,7 @@ class GatherSum:
 class GatherExtreme:
     """y[dst] = element-wise min or max of m, with the edge that gave it. from_zero starts at 0 instead of the first message.
 
-    Edges are told apart by (src, dst); the smallest src wins ties."""
+    The smallest src wins ties; of repeated edges one takes the gradient, so that it counts once."""
 
     def __init__(self, graph: Graph, width: int, kind: str = "max", from_zero: bool = False):
         self.graph, self.width, self.kind, self.from_zero = graph, width, kind, from_zero
@@ -77,24 +83,22 @@ class GatherExtreme:
     def backward(self, m: DataFrame, g: DataFrame) -> DataFrame:
         took = self.sources(m).join(g.select(F.col("vid").alias("dst"), "h"), "dst")
         hit = F.transform(F.arrays_zip("from", "h"), lambda z: F.when(z["from"] == F.col("src"), z.h).otherwise(0.0))
-        return self.graph.edges.join(took, "dst").select("src", "dst", hit.alias("m"))
+        first = F.row_number().over(Window.partitionBy("src", "dst").orderBy("dst")) == 1
+        edges = self.graph.edges.withColumn("__first", first).join(took, "dst")
+        return edges.select("src", "dst", F.when(F.col("__first"), hit).otherwise(zeros(self.width)).alias("m"))
 
 
 class EdgeSoftmax:
     """Softmax of a scalar score (src, dst, s) over the in-edges of each dst: (src, dst, a)."""
 
-    @property
-    def _own(self):
-        return Window.partitionBy("dst")
-
     def forward(self, s: DataFrame) -> DataFrame:
-        e = s.withColumn("e", F.exp(F.col("s") - F.max("s").over(self._own)))
-        return e.select("src", "dst", (F.col("e") / F.sum("e").over(self._own)).alias("a"))
+        e = with_totals(s, __top=F.max("s")).withColumn("e", F.exp(F.col("s") - F.col("__top"))).select("src", "dst", "e")
+        return with_totals(e, __sum=F.sum("e")).select("src", "dst", (F.col("e") / F.col("__sum")).alias("a"))
 
     def backward(self, ag: DataFrame) -> DataFrame:
         """(src, dst, a, g) -> (src, dst, s)."""
-        mean = F.sum(F.col("a") * F.col("g")).over(self._own)
-        return ag.select("src", "dst", (F.col("a") * (F.col("g") - mean)).alias("s"))
+        e = with_totals(ag, __mean=F.sum(F.col("a") * F.col("g")))
+        return e.select("src", "dst", (F.col("a") * (F.col("g") - F.col("__mean"))).alias("s"))
 
 
 class Aggregate:

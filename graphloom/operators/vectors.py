@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors up to this width are summed by one aggregate per element in a single row per key; wider ones go through the long form.
+#: Vectors up to this width are folded by one aggregate per element in a single row per key; wider ones in parts of this width.
 WIDE = 256
 
 
@@ -27,14 +27,22 @@ def zeros(width: int) -> Column:
 def sum_vectors(m: DataFrame, key: str, width: int, vec: str = "m", weight: Column | None = None) -> DataFrame:
     """(key, h): the (weighted) sum of vectors per key, combined on the map side."""
     w = F.lit(1.0) if weight is None else weight
-    if width <= WIDE:
-        return m.groupBy(key).agg(F.array(*[F.sum(w * F.col(vec)[i]) for i in range(width)]).alias("h"))
-    long = m.select(key, w.alias("__w"), F.posexplode(vec).alias("dim", "val"))
-    return to_vectors(long.groupBy(key, "dim").agg(F.sum(F.col("__w") * F.col("val")).alias("val")), key)
+    return fold_vectors(m.withColumn("__w", w), key, width, lambda c: F.sum(F.col("__w") * c), vec)
 
 
-def fold_vectors(m: DataFrame, key: str, width: int, fold, vec: str = "m") -> DataFrame:
-    return m.groupBy(key).agg(F.array(*[fold(F.col(vec)[i]) for i in range(width)]).alias("h"))
+def fold_vectors(m: DataFrame, key: str | None, width: int, fold, vec: str = "m") -> DataFrame:
+    """(key, h): an aggregate of each element per key, or over all rows without a key. An edge with a wide vector becomes a row for
+    each part of it, never one for each element."""
+    keys = [key] if key else []
+    whole = lambda v, n: F.array(*[fold(v[i]) for i in range(n)])
+    if width <= WIDE:
+        return m.groupBy(*keys).agg(whole(F.col(vec), width).alias("h"))
+    starts = F.transform(F.sequence(F.lit(1), F.lit(width), F.lit(WIDE)), lambda i: F.slice(vec, i, F.lit(WIDE)))
+    parts = m.select(*[c for c in m.columns if c != vec], F.posexplode(starts).alias("__part", "__v"))
+    # elements that the last part lacks fold to null, and are cut off
+    parts = parts.groupBy(*keys, "__part").agg(F.array(*[fold(F.get("__v", F.lit(i))) for i in range(WIDE)]).alias("h"))
+    joined = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__part", "h"))), lambda p: p.h))
+    return parts.groupBy(*keys).agg(F.slice(joined, 1, width).alias("h"))
 
 
 def over_vertices(vertices: DataFrame, x: DataFrame, key: str, width: int) -> DataFrame:

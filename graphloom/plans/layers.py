@@ -6,56 +6,93 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nn
 from ..operators.graph import Graph
-from ..operators.messages import Aggregate, at
-from ..operators.vectors import add, dot, over_vertices, scale, sum_vectors, zeros
+from ..operators.messages import Aggregate, at, with_totals
+from ..operators.vectors import add, dot, fold_vectors, over_vertices, scale, sum_vectors
+from ..sources.shared import cut, discard
+
+
+def literal(v) -> Column:
+    """A vector of the driver's as an array of numbers in the plan."""
+    return F.array(*[F.lit(float(a)) for a in v])
 
 
 def with_gradient(x: DataFrame, g: DataFrame) -> DataFrame:
     return x.join(g.select("vid", F.col("h").alias("g")), "vid")
 
 
-def outer_sum(xg: DataFrame, rows: int, cols: int) -> np.ndarray:
-    """The sum of x^T g over all vertices: a product per batch, a sum per partition, and partitions' sums on the driver."""
+def outer_sums(frames: list[tuple[DataFrame, int, int]]) -> list[np.ndarray]:
+    """The sum of h^T g over the rows of each frame (h, g), all in one job: a product per batch, a sum per partition, and the partitions'
+    sums on the driver, which holds the weights of the same shapes."""
+    sizes = [(r, c) for _, r, c in frames]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((rows, cols))
+        total = {}
         for b in batches:
-            if b.num_rows:
-                x, g = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in ("h", "g"))
-                total += x.T @ g
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["s"])
-
-    parts = xg.select("h", "g").mapInArrow(run, "s array<double>")
-    long = parts.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(rows * cols)
-    for r in long:
-        out[r["i"]] = r["v"]
-    return out.reshape(rows, cols)
+            tags = b.column("tag").to_numpy()
+            for tag in np.unique(tags).tolist():
+                own = b.filter(pa.array(tags == tag))
+                x, g = (own.column(c).flatten().to_numpy().reshape(own.num_rows, -1) for c in ("h", "g"))
+                total[tag] = total.get(tag, 0.0) + x.T @ g
+        for tag, s in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([tag], pa.int32()), pa.array([s.ravel()], pa.list_(pa.float64()))], ["tag", "s"])
+
+    tagged = [f.select(F.lit(i).alias("tag"), "h", "g") for i, (f, _, _) in enumerate(frames)]
+    every = tagged[0]
+    for t in tagged[1:]:
+        every = every.union(t)
+    long = every.mapInArrow(run, "tag int, s array<double>").select("tag", F.posexplode("s").alias("i", "v"))
+    out = [np.zeros(r * c) for r, c in sizes]
+    for r in long.groupBy("tag", "i").agg(F.sum("v").alias("v")).collect():
+        out[r["tag"]][r["i"]] = r["v"]
+    return [o.reshape(s) for o, s in zip(out, sizes)]
 
 
 class Layer:
+    #: Whether what comes out of the forward and of the backward pass is worth a table while training.
+    cuts = (False, False)
+
     def __init__(self):
         self.weights: dict[str, np.ndarray] = {}
-        self.grads: dict[str, np.ndarray] = {}
+        #: Frames (h, g) whose summed products are the gradients of the weights.
+        self.pending: dict[str, DataFrame] = {}
 
     def forward(self, x: DataFrame, training: bool = True) -> DataFrame:
         raise NotImplementedError
 
-    def backward(self, g: DataFrame) -> DataFrame:
+    def backward(self, g: DataFrame, wanted: bool = True) -> DataFrame:
+        """The gradient of the input, given that of the output. Where it isn't wanted, only those of weights are."""
         raise NotImplementedError
 
     def layers(self) -> list[Layer]:
         return [self]
 
+    def learned(self) -> list[Layer]:
+        return [p for p in self.layers() if p.weights]
+
+    @property
+    def grads(self) -> dict[str, np.ndarray]:
+        return gradients([self])[0]
+
     def release(self) -> None:
         """Let go of what was kept for the backward pass."""
 
 
+def gradients(layers: list[Layer]) -> list[dict[str, np.ndarray]]:
+    """The gradients of all weights after a backward pass, by one job."""
+    names = [(i, k) for i, p in enumerate(layers) for k in p.pending]
+    shape = lambda w: (w.shape[0], w.shape[1] if w.ndim > 1 else 1)
+    out = [{} for _ in layers]
+    if names:
+        for (i, k), s in zip(names, outer_sums([(layers[i].pending[k], *shape(layers[i].weights[k])) for i, k in names])):
+            out[i][k] = s.reshape(layers[i].weights[k].shape)
+    return out
+
+
 class Linear(Layer):
     def __init__(self, w: np.ndarray):
         super().__init__()
@@ -65,8 +102,8 @@ class Linear(Layer):
         self.x = x
         return nn.linear(x, self.weights["w"])
 
-    def backward(self, g):
-        self.grads = {"w": outer_sum(with_gradient(self.x, g), *self.weights["w"].shape)}
+    def backward(self, g, wanted=True):
+        self.pending = {"w": with_gradient(self.x, g)}
         return nn.linear(g, self.weights["w"].T)
 
 
@@ -75,7 +112,7 @@ class Relu(Layer):
         self.x = x
         return x.select("vid", nn.relu(F.col("h")).alias("h"))
 
-    def backward(self, g):
+    def backward(self, g, wanted=True):
         return with_gradient(self.x, g).select("vid", F.zip_with("h", "g", lambda v, d: F.when(v > 0, d).otherwise(0.0)).alias("h"))
 
 
@@ -94,31 +131,54 @@ class Dropout(Layer):
         self.epoch += training
         return self._drop(x)
 
-    def backward(self, g):
+    def backward(self, g, wanted=True):
         return self._drop(g)
 
 
+class Elementwise(Layer):
+    """A function of the caller's, applied to each element, and its slope: both take and give a column."""
+
+    def __init__(self, function, slope):
+        super().__init__()
+        self.function, self.slope = function, slope
+
+    def forward(self, x, training=True):
+        self.x = x
+        return x.select("vid", F.transform("h", self.function).alias("h"))
+
+    def backward(self, g, wanted=True):
+        return with_gradient(self.x, g).select("vid", F.zip_with("h", "g", lambda v, d: self.slope(v) * d).alias("h"))
+
+
 class BatchNorm(Layer):
+    """Statistics are two numbers per element: they are worked out once in the forward pass and are literals from then on."""
+
+    cuts = (False, True)
+
     def __init__(self, width: int):
         super().__init__()
         self.width = width
 
     def forward(self, x, training=True):
-        self.x = x
-        return nn.batch_norm(x, self.width)
+        row = nn.batch_statistics(x, self.width).first()
+        self.spread = np.sqrt(np.array(row["va"] or [0.0] * self.width, float) + nn.EPS)
+        mean = np.array(row["mu"] or [0.0] * self.width, float)
+        self.z = x.select("vid", F.zip_with(F.zip_with("h", literal(mean), lambda a, m: a - m), literal(self.spread), lambda a, s: a / s).alias("h"))
+        return self.z
 
-    def backward(self, g):
-        n = self.width
-        xg = with_gradient(nn.batch_norm(self.x, n), g)
-        x = self.x.agg(F.array(*[F.var_pop(F.col("h")[i]) for i in range(n)]).alias("va"))
-        sums = xg.agg(F.array(*[F.avg(F.col("g")[i]) for i in range(n)]).alias("mg"), F.array(*[F.avg(F.col("g")[i] * F.col("h")[i]) for i in range(n)]).alias("mgz"))
-        z = F.transform(F.arrays_zip("h", "g", "mg", "mgz", "va"), lambda a: (a.g - a.mg - a.h * a.mgz) / F.sqrt(a.va + nn.EPS))
-        return xg.join(F.broadcast(sums)).join(F.broadcast(x)).select("vid", z.alias("h"))
+    def backward(self, g, wanted=True):
+        xg = with_gradient(self.z, g)
+        sums = lambda v: fold_vectors(v, None, self.width, lambda c: F.avg(c), "m").first()["h"] or [0.0] * self.width
+        mg, mgz = sums(xg.select(F.col("g").alias("m"))), sums(xg.select(F.zip_with("g", "h", lambda a, b: a * b).alias("m")))
+        table = F.arrays_zip(F.col("h"), F.col("g"), literal(mg).alias("mg"), literal(mgz).alias("mgz"), literal(self.spread).alias("s"))
+        return xg.select("vid", F.transform(table, lambda a: (a["g"] - a["mg"] - a["h"] * a["mgz"]) / a["s"]).alias("h"))
 
 
 class Gather(Layer):
     """A graph aggregation as a layer."""
 
+    cuts = (True, True)
+
     def __init__(self, op: Aggregate):
         super().__init__()
         self.op = op
@@ -126,7 +186,7 @@ class Gather(Layer):
     def forward(self, x, training=True):
         return self.op.forward(x)
 
-    def backward(self, g):
+    def backward(self, g, wanted=True):
         return self.op.backward(g)
 
 
@@ -134,69 +194,72 @@ class Attention(Layer):
     """y = sum over in-edges of softmax(leaky(al . h_src + ar . h_dst)) * h_src. The score is split by end, so edges carry one number of
     each end instead of both vectors."""
 
+    cuts = (True, True)
+
     def __init__(self, graph: Graph, al: np.ndarray, ar: np.ndarray):
         super().__init__()
         self.graph, self.width = graph, len(al)
         self.weights = {"al": al, "ar": ar}
 
     def _scores(self, x):
-        lit = lambda v: F.array(*[F.lit(float(a)) for a in v])
-        p = x.select("vid", dot(F.col("h"), lit(self.weights["al"])).alias("pl"), dot(F.col("h"), lit(self.weights["ar"])).alias("pr"))
+        p = x.select("vid", dot(F.col("h"), literal(self.weights["al"])).alias("pl"), dot(F.col("h"), literal(self.weights["ar"])).alias("pr"))
         e = self.graph.edges.join(p.select(F.col("vid").alias("src"), "pl"), "src").join(p.select(F.col("vid").alias("dst"), "pr"), "dst")
-        own = Window.partitionBy("dst")
-        e = e.withColumn("z", F.col("pl") + F.col("pr")).withColumn("s", nn.leaky(F.col("z")))
-        e = e.withColumn("e", F.exp(F.col("s") - F.max("s").over(own)))
-        return e.select("src", "dst", "z", (F.col("e") / F.sum("e").over(own)).alias("w"))
+        e = e.select("src", "dst", (F.col("pl") + F.col("pr")).alias("z"))
+        e = with_totals(e, top=F.max(nn.leaky(F.col("z")))).withColumn("e", F.exp(nn.leaky(F.col("z")) - F.col("top"))).select("src", "dst", "z", "e")
+        return with_totals(e, all=F.sum("e")).select("src", "dst", "z", (F.col("e") / F.col("all")).alias("w"))
 
     def forward(self, x, training=True):
         self.x = x
         return Aggregate(self.graph, self.width, self._scores(x)).forward(x)
 
-    def backward(self, g):
+    def backward(self, g, wanted=True):
         e = at(at(self._scores(self.x), self.x, "src", "hs"), g, "dst", "gd")
-        own = Window.partitionBy("dst")
-        e = e.withColumn("ga", dot(F.col("hs"), F.col("gd")))
-        e = e.withColumn("gs", F.col("w") * (F.col("ga") - F.sum(F.col("w") * F.col("ga")).over(own)))
-        e = e.withColumn("gz", F.when(F.col("z") > 0, F.col("gs")).otherwise(F.col("gs") * 0.2))
-        al, ar = (F.array(*[F.lit(float(a)) for a in self.weights[k]]) for k in ("al", "ar"))
+        e = with_totals(e.withColumn("ga", dot(F.col("hs"), F.col("gd"))).drop("hs"), mean=F.sum(F.col("w") * F.col("ga")))
+        e = e.withColumn("gs", F.col("w") * (F.col("ga") - F.col("mean")))
+        e = e.withColumn("gz", F.when(F.col("z") > 0, F.col("gs")).otherwise(F.col("gs") * 0.2)).select("src", "dst", "w", "gz", "gd")
+        by = lambda end: e.groupBy(F.col(end).alias("vid")).agg(F.sum("gz").alias("q")).join(self.x, "vid").select("h", F.array("q").alias("g"))
+        self.pending = {"al": by("src"), "ar": by("dst")}
+        al, ar = (literal(self.weights[k]) for k in ("al", "ar"))
         to_src = e.select(F.col("src").alias("vid"), add(scale(F.col("gd"), F.col("w")), scale(al, F.col("gz"))).alias("m"))
         to_dst = e.select(F.col("dst").alias("vid"), scale(ar, F.col("gz")).alias("m"))
-        sums = e.groupBy("src").agg(F.sum("gz").alias("q")).select(F.col("src").alias("vid"), "q").join(self.x, "vid")
-        dsts = e.groupBy("dst").agg(F.sum("gz").alias("q")).select(F.col("dst").alias("vid"), "q").join(self.x, "vid")
-        self.grads = {k: outer_sum(d.select("h", F.array("q").alias("g")), self.width, 1).ravel() for k, d in (("al", sums), ("ar", dsts))}
         return over_vertices(self.graph.vertices, sum_vectors(to_src.union(to_dst), "vid", self.width), "vid", self.width)
 
 
 class Chain(Layer):
-    """Layers one after another. What comes out of a layer that shuffles is kept until `release` while training, as the backward
-    pass comes back to it; a lost executor's part is worked out anew."""
+    """Layers one after another. While training, what comes out of a layer that shuffles is written to the shared folder until `release`,
+    as the backward pass comes back to it: plans stay as short as the way to the last table. The layers between are worked out anew
+    from there, which also makes them free to keep. A first layer without weights isn't run again for an input it has seen."""
 
     def __init__(self, *steps: Layer):
         super().__init__()
-        self.steps, self.held = steps, []
-
-    def _keep(self, step: Layer, x: DataFrame) -> DataFrame:
-        if isinstance(step, (Gather, BatchNorm, Attention, Sum, Linear)):
-            x = x.persist()
-            self.held.append(x)
-        return x
+        self.steps, self.held, self.first = steps, [], None
 
     def forward(self, x, training=True):
-        for s in self.steps:
-            x = s.forward(x, training)
-            if training:
-                x = self._keep(s, x)
+        for i, s in enumerate(self.steps):
+            if not (training and s.cuts[0]):
+                x = s.forward(x, training)
+            elif i or s.learned():
+                x = cut(s.forward(x, training), held=self.held)
+            else:
+                if self.first is None or self.first[0] is not x:
+                    self.first = x, cut(s.forward(x, training))
+                x = self.first[1]
         return x
 
-    def backward(self, g):
-        for s in reversed(self.steps):
-            g = self._keep(s, s.backward(g))
+    def backward(self, g, wanted=True):
+        for i in reversed(range(len(self.steps))):
+            s = self.steps[i]
+            below = wanted or any(p.learned() for p in self.steps[:i])
+            if not below and not s.learned():
+                break
+            g = s.backward(g, below)
+            if below and s.cuts[1]:
+                g = cut(g, held=self.held)
         return g
 
     def release(self):
-        for x in self.held:
-            x.unpersist()
-        self.held = []
+        if self.held:
+            discard(SparkSession.active(), self.held)
         for s in self.steps:
             s.release()
 
@@ -204,9 +267,43 @@ class Chain(Layer):
         return [x for s in self.steps for x in s.layers()]
 
 
+class Recomputed(Layer):
+    """A layer that keeps its input only: its forward pass is run again when the backward pass comes to it."""
+
+    cuts = (True, True)
+
+    def __init__(self, inner: Layer):
+        super().__init__()
+        self.inner = inner
+
+    def _epochs(self) -> list[int]:
+        return [p.epoch for p in self.inner.layers() if isinstance(p, Dropout)]
+
+    def forward(self, x, training=True):
+        self.x, self.drawn = x, self._epochs()
+        out = self.inner.forward(x, training)
+        self.inner.release()
+        return out
+
+    def backward(self, g, wanted=True):
+        # dropout draws what it drew before
+        for p, epoch in zip((p for p in self.inner.layers() if isinstance(p, Dropout)), self.drawn):
+            p.epoch = epoch
+        self.inner.forward(self.x, True)
+        return self.inner.backward(g, wanted)
+
+    def release(self):
+        self.inner.release()
+
+    def layers(self):
+        return self.inner.layers()
+
+
 class Sum(Layer):
     """Branches over the same input, added up."""
 
+    cuts = (True, True)
+
     def __init__(self, *branches: Layer):
         super().__init__()
         self.branches = branches
@@ -220,8 +317,9 @@ class Sum(Layer):
     def forward(self, x, training=True):
         return self._sum([b.forward(x, training) for b in self.branches])
 
-    def backward(self, g):
-        return self._sum([b.backward(g) for b in self.branches])
+    def backward(self, g, wanted=True):
+        parts = [b.backward(g, wanted) for b in self.branches]
+        return self._sum(parts) if wanted else None
 
     def release(self):
         for b in self.branches:
@@ -235,7 +333,7 @@ class Same(Layer):
     def forward(self, x, training=True):
         return x
 
-    def backward(self, g):
+    def backward(self, g, wanted=True):
         return g
 
 
@@ -244,18 +342,15 @@ class LogSoftmax(Layer):
         self.x = x
         return x.select("vid", nn.log_softmax(F.col("h")).alias("h"))
 
-    def backward(self, g):
+    def backward(self, g, wanted=True):
         y = with_gradient(self.x.select("vid", nn.log_softmax(F.col("h")).alias("h")), g)
         total = F.aggregate("g", F.lit(0.0), lambda s, v: s + v)
         return y.withColumn("t", total).select("vid", F.zip_with("h", "g", lambda v, d: d - F.exp(v) * F.col("t")).alias("h"))
 
 
-def loss_gradient(out: DataFrame, truth: DataFrame, train: int = 0) -> DataFrame:
-    """The gradient of the mean negative log-likelihood over the rows of the training mask; out holds log-probabilities."""
-    n = truth.filter(F.col("mask") == train).count()
+def loss_gradient(out: DataFrame, truth: DataFrame, train: int = 0, n: int | None = None) -> DataFrame:
+    """The gradient of the mean negative log-likelihood over the n rows of the training mask; out holds log-probabilities."""
+    n = truth.filter(F.col("mask") == train).count() if n is None else n
     rows = out.join(truth.select("vid", "label", "mask"), "vid")
     hit = F.transform("h", lambda v, i: F.when((F.col("mask") == train) & (i == F.col("label").cast("int")), -1.0 / max(n, 1)).otherwise(0.0))
     return rows.select("vid", hit.alias("h"))
-
-
-__all__ = ["Attention", "BatchNorm", "Chain", "Dropout", "Gather", "Layer", "Linear", "LogSoftmax", "Relu", "Same", "Sum", "loss_gradient", "outer_sum", "zeros"]

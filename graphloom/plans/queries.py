@@ -13,21 +13,25 @@ from ..functions.optim import SGD, Adam
 from ..operators import messages as M
 from ..operators import sampling
 from ..operators.graph import Graph, owner_of, partition_bounds
-from ..operators.vectors import scale, to_long, zeros
+from ..operators.vectors import fold_vectors, scale, to_long
+from ..sources import generators
 from ..sources import tables as T
-from . import models, training
-from .layers import Attention, Chain, Gather, Linear, Relu
+from ..sources.edge_files import read_binary, write_binary
+from ..sources.shared import new_path
+from ..sources.vertex_files import Config, write_vertices
+from . import models, runner, training
+from .layers import Chain
 
 W64 = T.WIDTH
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-#: Common table expressions of the graph: n vertices, edges e0 (plain), e (with loops), et (thin), degrees, weights, features f.
+#: Common table expressions of the graph: n vertices, edges e0 and et (plain), e (with loops), degrees, weights, features f.
 PREFIX = """
 WITH n AS (SELECT count(*) AS n FROM embeddings), v AS (SELECT vec_id AS vid, CAST(label AS BIGINT) AS label, CAST(vec_id % 3 AS INTEGER) AS mask FROM embeddings),
 e0 AS (SELECT DISTINCT o_custkey % n AS src, o_orderkey % n AS dst FROM orders, n),
 e AS (SELECT src, dst FROM e0 WHERE src <> dst UNION ALL SELECT vid, vid FROM v),
-et AS (SELECT src, dst FROM e0 WHERE src % 3 <> 0 AND dst % 5 <> 0),
+et AS (SELECT src, dst FROM e0),
 od AS (SELECT src, count(*) AS od FROM e GROUP BY src), idg AS (SELECT dst, count(*) AS idg FROM e GROUP BY dst),
 w AS (SELECT e.src, e.dst, 1 / (sqrt(od) * sqrt(idg)) AS w FROM e JOIN od ON od.src = e.src JOIN idg ON idg.dst = e.dst),
 f AS (SELECT vec_id AS vid, CAST(unnest(embedding) AS DOUBLE) AS val, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim FROM embeddings),
@@ -58,10 +62,6 @@ def features(s: SparkSession, d: str) -> DataFrame:
     return T.vertices(s, d).select("vid", "h")
 
 
-def head(x: DataFrame, width: int) -> DataFrame:
-    return x.select("vid", F.slice("h", 1, width).alias("h"))
-
-
 # sources and preparation
 
 query("edge_scan", "SELECT src, dst FROM e0")(lambda s, d: T.plain_graph(s, d).edges)
@@ -88,10 +88,10 @@ query(
 
 # structure
 
-query("out_degree", "SELECT vid, coalesce(c, 0) AS degree FROM v LEFT JOIN (SELECT src, count(*) AS c FROM et GROUP BY src) ON src = vid")(lambda s, d: T.thin_graph(s, d).degrees("src"))
-query("in_degree", "SELECT vid, coalesce(c, 0) AS degree FROM v LEFT JOIN (SELECT dst, count(*) AS c FROM et GROUP BY dst) ON dst = vid")(lambda s, d: T.thin_graph(s, d).degrees("dst"))
+query("out_degree", "SELECT vid, coalesce(c, 0) AS degree FROM v LEFT JOIN (SELECT src, count(*) AS c FROM et GROUP BY src) ON src = vid")(lambda s, d: T.plain_graph(s, d).degrees("src"))
+query("in_degree", "SELECT vid, coalesce(c, 0) AS degree FROM v LEFT JOIN (SELECT dst, count(*) AS c FROM et GROUP BY dst) ON dst = vid")(lambda s, d: T.plain_graph(s, d).degrees("dst"))
 query("degree_clamped", "SELECT vid, greatest(coalesce(c, 0), 1) AS degree FROM v LEFT JOIN (SELECT dst, count(*) AS c FROM et GROUP BY dst) ON dst = vid")(
-    lambda s, d: T.thin_graph(s, d).degrees("dst").select("vid", F.greatest("degree", F.lit(1)).cast("long").alias("degree"))
+    lambda s, d: T.plain_graph(s, d).degrees("dst").select("vid", F.greatest("degree", F.lit(1)).cast("long").alias("degree"))
 )
 query("norm_weight", "SELECT src, dst, round(w, 6) + 0.0 AS w FROM w")(lambda s, d: T.graph(s, d).norm_weights.select("src", "dst", rounded("w").alias("w")))
 query("const_weight", "SELECT src, dst, 1.0::DOUBLE AS w FROM e")(lambda s, d: T.graph(s, d).weights(lambda a, b: F.lit(1.0)))
@@ -99,22 +99,22 @@ query("custom_weight", "SELECT src, dst, round((src % 7 + 1) / (dst % 5 + 1), 6)
     lambda s, d: T.graph(s, d).weights(lambda a, b: (a % 7 + 1) / (b % 5 + 1)).select("src", "dst", rounded("w").alias("w"))
 )
 _OFFSETS = "SELECT vid, CAST(coalesce(sum(coalesce(c, 0)) OVER (ORDER BY vid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM v LEFT JOIN (SELECT {0}, count(*) AS c FROM et GROUP BY {0}) ON {0} = vid"
-query("csc_offsets", _OFFSETS.format("dst"))(lambda s, d: T.thin_graph(s, d).offsets("dst"))
-query("csr_offsets", _OFFSETS.format("src"))(lambda s, d: T.thin_graph(s, d).offsets("src"))
+query("csc_offsets", _OFFSETS.format("dst"))(lambda s, d: T.plain_graph(s, d).offsets("dst"))
+query("csr_offsets", _OFFSETS.format("src"))(lambda s, d: T.plain_graph(s, d).offsets("src"))
 query("edge_ids", "SELECT src, dst, row_number() OVER (ORDER BY dst, src) - 1 AS eid FROM e")(lambda s, d: T.graph(s, d).edge_ids())
-query("mirror_index", "SELECT src AS vid, row_number() OVER (ORDER BY src) - 1 AS slot FROM (SELECT DISTINCT src FROM et)")(lambda s, d: T.thin_graph(s, d).mirrors())
-query("mirror_semijoin", "SELECT DISTINCT CAST(dst // 100 AS BIGINT) AS p, src AS vid FROM et")(lambda s, d: T.thin_graph(s, d).mirrored_at(lambda v: F.floor(v / 100)))
+query("mirror_index", "SELECT src AS vid, row_number() OVER (ORDER BY src) - 1 AS slot FROM (SELECT DISTINCT src FROM et)")(lambda s, d: T.plain_graph(s, d).mirrors())
+query("mirror_semijoin", "SELECT DISTINCT CAST(dst // 100 AS BIGINT) AS p, src AS vid FROM et")(lambda s, d: T.plain_graph(s, d).mirrored_at(lambda v: F.floor(v / 100)))
 query("chunk_edge_counts", "SELECT CAST(src // 100 AS BIGINT) AS psrc, CAST(dst // 100 AS BIGINT) AS pdst, count(*) AS edges FROM e GROUP BY ALL")(lambda s, d: T.graph(s, d).chunks(lambda v: F.floor(v / 100)))
 query("owner_lookup", "SELECT vid, CASE WHEN vid >= 300 THEN 3 WHEN vid >= 200 THEN 2 WHEN vid >= 64 THEN 1 ELSE 0 END AS part FROM v")(lambda s, d: T.vertices(s, d).select("vid", owner_of([0, 64, 200, 300, 1 << 40])(F.col("vid")).alias("part")))
 query(
     "degree_histogram",
     ", d AS (SELECT vid, coalesce(c, 0) AS c FROM v LEFT JOIN (SELECT src, count(*) AS c FROM et GROUP BY src) ON src = vid), b AS (SELECT CASE WHEN c = 0 THEN -1 ELSE CAST(floor(log2(c)) AS INTEGER) END AS bucket, count(*) AS vertices FROM d GROUP BY 1) SELECT bucket, vertices, round(vertices * 100.0 / sum(vertices) OVER (), 6) + 0.0 AS share FROM b",
-)(lambda s, d: T.thin_graph(s, d).degree_histogram().withColumn("share", rounded("share")))
+)(lambda s, d: T.plain_graph(s, d).degree_histogram().withColumn("share", rounded("share")))
 query("max_avg_degree", ", d AS (SELECT vid, coalesce(c, 0) AS c FROM v LEFT JOIN (SELECT dst, count(*) AS c FROM et GROUP BY dst) ON dst = vid) SELECT max(c) AS max_degree, CAST(floor(sum(c) / count(*)) AS BIGINT) AS mean_degree FROM d")(
-    lambda s, d: T.thin_graph(s, d).degree_summary("dst").select("max_degree", "mean_degree")
+    lambda s, d: T.plain_graph(s, d).degree_summary("dst").select("max_degree", "mean_degree")
 )
 query("max_degree_vertex", ", d AS (SELECT vid, coalesce(c, 0) AS c FROM v LEFT JOIN (SELECT dst, count(*) AS c FROM et GROUP BY dst) ON dst = vid) SELECT vid, c AS degree FROM d ORDER BY c DESC, vid LIMIT 1")(
-    lambda s, d: T.thin_graph(s, d).degree_summary("dst").select("vid", F.col("max_degree").alias("degree"))
+    lambda s, d: T.plain_graph(s, d).degree_summary("dst").select("vid", F.col("max_degree").alias("degree"))
 )
 query("active_filter", "SELECT src, dst FROM e WHERE src % 4 <> 1 AND dst % 4 <> 1")(lambda s, d: T.graph(s, d).active(F.col("vid") % 4 != 1).edges)
 query("vertex_map_reduce", "SELECT round(sum(val * val), 6) + 0.0 AS total FROM f WHERE vid % 4 <> 1")(
@@ -122,23 +122,17 @@ query("vertex_map_reduce", "SELECT round(sum(val * val), 6) + 0.0 AS total FROM
 )
 query("hash_partition", "SELECT vid * 7919 % 1000003 % 8 AS part, count(*) AS vertices FROM v GROUP BY 1")(lambda s, d: T.vertices(s, d).groupBy((F.col("vid") * 7919 % 1000003 % 8).alias("part")).agg(F.count("*").alias("vertices")))
 
-# scatters: 8 features, as an edge tensor has a row per edge and element
-
-_F8 = "(SELECT * FROM f WHERE dim < 8)"
-
-
-def _x8(s, d):
-    return head(features(s, d), 8)
+# scatters
 
 
 def _m(x: DataFrame) -> DataFrame:
     return long(x, "src", "dst", vec="m")
 
 
-query("scatter_src", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM e JOIN {_F8} f ON f.vid = src")(lambda s, d: _m(M.Scatter(T.graph(s, d), 8).forward(_x8(s, d))))
-query("scatter_dst", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM e JOIN {_F8} f ON f.vid = dst")(lambda s, d: _m(M.Scatter(T.graph(s, d), 8, "dst").forward(_x8(s, d))))
-query("scatter_src_dst", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM e JOIN {_F8} f ON f.vid = src UNION ALL SELECT src, dst, CAST(dim + 8 AS INTEGER), round(val, 6) + 0.0 FROM e JOIN {_F8} f ON f.vid = dst")(
-    lambda s, d: _m(M.Scatter(T.graph(s, d), 8, "both").forward(_x8(s, d)))
+query("scatter_src", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM e JOIN f ON f.vid = src")(lambda s, d: _m(M.Scatter(T.graph(s, d), W64).forward(features(s, d))))
+query("scatter_dst", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM e JOIN f ON f.vid = dst")(lambda s, d: _m(M.Scatter(T.graph(s, d), W64, "dst").forward(features(s, d))))
+query("scatter_src_dst", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM e JOIN f ON f.vid = src UNION ALL SELECT src, dst, CAST(dim + 64 AS INTEGER), round(val, 6) + 0.0 FROM e JOIN f ON f.vid = dst")(
+    lambda s, d: _m(M.Scatter(T.graph(s, d), W64, "both").forward(features(s, d)))
 )
 
 #: An edge gradient that SQL and Spark can both write down: element i of edge (src, dst).
@@ -155,15 +149,15 @@ def _fill(inner: str, width: int) -> str:
 
 _DIMS = "(SELECT CAST(unnest(range({0})) AS INTEGER) AS dim)"
 for _end in ("src", "dst"):
-    query(f"scatter_{_end}_bwd", _fill(f"SELECT {_end} AS vid, dim, sum({_G}) AS val FROM et, {_DIMS.format(8)} GROUP BY 1, 2", 8))(
-        lambda s, d, end=_end: long(M.Scatter(T.thin_graph(s, d), 8, end).backward(_edge_gradient(T.thin_graph(s, d), 8)))
+    query(f"scatter_{_end}_bwd", _fill(f"SELECT {_end} AS vid, dim, sum({_G}) AS val FROM et, {_DIMS.format(64)} GROUP BY 1, 2", W64))(
+        lambda s, d, end=_end: long(M.Scatter(T.plain_graph(s, d), W64, end).backward(_edge_gradient(T.plain_graph(s, d), W64)))
     )
 query(
     "scatter_src_dst_bwd",
-    _fill(f"SELECT vid, dim, sum(val) AS val FROM (SELECT src AS vid, dim, {_G} AS val FROM et, {_DIMS.format(8)} UNION ALL SELECT dst, dim, (src * 3 + dst * 5 + (dim + 8) * 7) % 11 - 5 FROM et, {_DIMS.format(8)}) GROUP BY 1, 2", 8),
-)(lambda s, d: long(M.Scatter(T.thin_graph(s, d), 8, "both").backward(_edge_gradient(T.thin_graph(s, d), 16))))
-query("dep_neighbor", f"SELECT vid, dim, round(val, 6) + 0.0 AS val FROM {_F8} f WHERE vid IN (SELECT src FROM et)")(lambda s, d: long(M.dependencies(T.thin_graph(s, d), _x8(s, d))))
-query("dep_neighbor_bwd", _fill(f"SELECT src AS vid, dim, sum({_G}) AS val FROM et, {_DIMS.format(8)} GROUP BY 1, 2", 8))(lambda s, d: long(M.Scatter(T.thin_graph(s, d), 8).backward(_edge_gradient(T.thin_graph(s, d), 8))))
+    _fill(f"SELECT vid, dim, sum(val) AS val FROM (SELECT src AS vid, dim, {_G} AS val FROM et, {_DIMS.format(64)} UNION ALL SELECT dst, dim, (src * 3 + dst * 5 + (dim + 64) * 7) % 11 - 5 FROM et, {_DIMS.format(64)}) GROUP BY 1, 2", W64),
+)(lambda s, d: long(M.Scatter(T.plain_graph(s, d), W64, "both").backward(_edge_gradient(T.plain_graph(s, d), 2 * W64))))
+query("dep_neighbor", f"SELECT vid, dim, round(val, 6) + 0.0 AS val FROM f WHERE vid IN (SELECT src FROM et)")(lambda s, d: long(M.dependencies(T.plain_graph(s, d), features(s, d))))
+query("dep_neighbor_bwd", _fill(f"SELECT src AS vid, dim, sum({_G}) AS val FROM et, {_DIMS.format(64)} GROUP BY 1, 2", W64))(lambda s, d: long(M.Scatter(T.plain_graph(s, d), W64).backward(_edge_gradient(T.plain_graph(s, d), W64))))
 _IDS = "(SELECT vid AS pos, (vid * 37 + 11) % (SELECT n FROM n) AS vid FROM v)"
 
 
@@ -172,33 +166,33 @@ def _ids(s, d):
     return v.select(F.col("vid").alias("pos"), ((F.col("vid") * 37 + 11) % v.count()).alias("vid"))
 
 
-query("feature_gather", f"SELECT pos, dim, round(val, 6) + 0.0 AS val FROM {_IDS} i JOIN {_F8} f ON f.vid = i.vid")(lambda s, d: long(M.by_position(_ids(s, d), _x8(s, d)), "pos"))
+query("feature_gather", f"SELECT pos, dim, round(val, 6) + 0.0 AS val FROM {_IDS} i JOIN f ON f.vid = i.vid")(lambda s, d: long(M.by_position(_ids(s, d), features(s, d)), "pos"))
 query("label_gather", f"SELECT pos, label FROM {_IDS} i JOIN v ON v.vid = i.vid")(lambda s, d: M.by_position(_ids(s, d), T.vertices(s, d)).select("pos", "label"))
 query("slice_concat", "SELECT vid, CAST(dim - 32 AS INTEGER) AS dim, round(val, 6) + 0.0 AS val FROM f WHERE dim >= 32 UNION ALL SELECT vid, CAST(dim + 32 AS INTEGER), round(val, 6) + 0.0 FROM f WHERE dim < 32")(
     lambda s, d: long(features(s, d).select("vid", F.concat(F.slice("h", 33, 32), F.slice("h", 1, 32)).alias("h")))
 )
 
-# gathers, over the thin graph so that some vertices have no edges
+# gathers, over the graph without loops
 
-query("agg_sum", _fill(f"SELECT dst AS vid, dim, sum(val) AS val FROM et JOIN {_F8} f ON f.vid = src GROUP BY 1, 2", 8))(
-    lambda s, d: long(M.GatherSum(g := T.thin_graph(s, d), 8).forward(M.Scatter(g, 8).forward(_x8(s, d))))
+query("agg_sum", _fill(f"SELECT dst AS vid, dim, sum(val) AS val FROM et JOIN f ON f.vid = src GROUP BY 1, 2", W64))(
+    lambda s, d: long(M.GatherSum(g := T.plain_graph(s, d), W64).forward(M.Scatter(g, W64).forward(features(s, d))))
 )
-query("agg_sum_bwd", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM et JOIN {_F8} f ON f.vid = dst")(lambda s, d: _m(M.GatherSum(T.thin_graph(s, d), 8).backward(_x8(s, d))))
+query("agg_sum_bwd", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM et JOIN f ON f.vid = dst")(lambda s, d: _m(M.GatherSum(T.plain_graph(s, d), W64).backward(features(s, d))))
 for _k, _zero in (("min", "least"), ("max", "greatest")):
-    query(f"agg_{_k}", _fill(f"SELECT dst AS vid, dim, {_k}(val) AS val FROM et JOIN {_F8} f ON f.vid = src GROUP BY 1, 2", 8))(
-        lambda s, d, k=_k: long(M.GatherExtreme(g := T.thin_graph(s, d), 8, k).forward(M.Scatter(g, 8).forward(_x8(s, d))))
+    query(f"agg_{_k}", _fill(f"SELECT dst AS vid, dim, {_k}(val) AS val FROM et JOIN f ON f.vid = src GROUP BY 1, 2", W64))(
+        lambda s, d, k=_k: long(M.GatherExtreme(g := T.plain_graph(s, d), W64, k).forward(M.Scatter(g, W64).forward(features(s, d))))
     )
-    query(f"agg_{_k}_compat", _fill(f"SELECT dst AS vid, dim, {_zero}({_k}(val), 0) AS val FROM et JOIN {_F8} f ON f.vid = src GROUP BY 1, 2", 8))(
-        lambda s, d, k=_k: long(M.GatherExtreme(g := T.thin_graph(s, d), 8, k, True).forward(M.Scatter(g, 8).forward(_x8(s, d))))
+    query(f"agg_{_k}_compat", _fill(f"SELECT dst AS vid, dim, {_zero}({_k}(val), 0) AS val FROM et JOIN f ON f.vid = src GROUP BY 1, 2", W64))(
+        lambda s, d, k=_k: long(M.GatherExtreme(g := T.plain_graph(s, d), W64, k, True).forward(M.Scatter(g, W64).forward(features(s, d))))
     )
-    query(f"agg_arg{_k}", f"SELECT dst, dim, src AS \"from\" FROM (SELECT dst, dim, src, row_number() OVER (PARTITION BY dst, dim ORDER BY val {'ASC' if _k == 'min' else 'DESC'}, src) AS r FROM et JOIN {_F8} f ON f.vid = src) WHERE r = 1")(
-        lambda s, d, k=_k: to_long(M.GatherExtreme(g := T.thin_graph(s, d), 8, k).sources(M.Scatter(g, 8).forward(_x8(s, d))), "dst", "from").withColumnRenamed("val", "from")
+    query(f"agg_arg{_k}", f"SELECT dst, dim, src AS \"from\" FROM (SELECT dst, dim, src, row_number() OVER (PARTITION BY dst, dim ORDER BY val {'ASC' if _k == 'min' else 'DESC'}, src) AS r FROM et JOIN f ON f.vid = src) WHERE r = 1")(
+        lambda s, d, k=_k: to_long(M.GatherExtreme(g := T.plain_graph(s, d), W64, k).sources(M.Scatter(g, W64).forward(features(s, d))), "dst", "from").withColumnRenamed("val", "from")
     )
     query(
         f"agg_{_k}_bwd",
-        f", a AS (SELECT dst, dim, src, row_number() OVER (PARTITION BY dst, dim ORDER BY val {'ASC' if _k == 'min' else 'DESC'}, src) AS r FROM et JOIN {_F8} f ON f.vid = src) SELECT a.src, a.dst, a.dim, CASE WHEN r = 1 THEN round(val, 6) + 0.0 ELSE 0.0 END AS val FROM a JOIN {_F8} f ON f.vid = a.dst AND f.dim = a.dim",
-    )(lambda s, d, k=_k: _m(M.GatherExtreme(g := T.thin_graph(s, d), 8, k).backward(M.Scatter(g, 8).forward(_x8(s, d)), _x8(s, d))))
-query("agg_unweighted", _fill("SELECT dst AS vid, dim, sum(val) AS val FROM et JOIN f ON f.vid = src GROUP BY 1, 2", W64))(lambda s, d: long(M.Aggregate(T.thin_graph(s, d), W64).forward(features(s, d))))
+        f", a AS (SELECT dst, dim, src, row_number() OVER (PARTITION BY dst, dim ORDER BY val {'ASC' if _k == 'min' else 'DESC'}, src) AS r FROM et JOIN f ON f.vid = src) SELECT a.src, a.dst, a.dim, CASE WHEN r = 1 THEN round(val, 6) + 0.0 ELSE 0.0 END AS val FROM a JOIN f ON f.vid = a.dst AND f.dim = a.dim",
+    )(lambda s, d, k=_k: _m(M.GatherExtreme(g := T.plain_graph(s, d), W64, k).backward(M.Scatter(g, W64).forward(features(s, d)), features(s, d))))
+query("agg_unweighted", _fill("SELECT dst AS vid, dim, sum(val) AS val FROM et JOIN f ON f.vid = src GROUP BY 1, 2", W64))(lambda s, d: long(M.Aggregate(T.plain_graph(s, d), W64).forward(features(s, d))))
 query("norm_agg", "SELECT dst AS vid, dim, round(sum(w * val), 6) + 0.0 AS val FROM w JOIN f ON f.vid = src GROUP BY 1, 2")(lambda s, d: long(M.norm_aggregate(T.graph(s, d), W64).forward(features(s, d))))
 query("norm_agg_bwd", "SELECT src AS vid, dim, round(sum(w * val), 6) + 0.0 AS val FROM w JOIN f ON f.vid = dst GROUP BY 1, 2")(lambda s, d: long(M.norm_aggregate(T.graph(s, d), W64).backward(features(s, d))))
 
@@ -218,15 +212,16 @@ query("weighted_agg_bwd_w", "SELECT src, dst, round(sum(a.val * b.val), 6) + 0.0
 query("supply_weighted_agg", "SELECT dst AS vid, round(sum(w * (src % 10)), 6) + 0.0 AS val FROM sup GROUP BY dst")(
     lambda s, d: T.supply(s, d).groupBy(F.col("dst").alias("vid")).agg(rounded(F.sum(F.col("w") * (F.col("src") % 10))).alias("val"))
 )
-query("partial_sums", "SELECT dim, round(sum(val), 6) + 0.0 AS val FROM f GROUP BY dim")(lambda s, d: features(s, d).agg(F.array(*[F.sum(F.col("h")[i]) for i in range(W64)]).alias("h")).select(F.posexplode("h").alias("dim", "v")).select("dim", rounded("v").alias("val")))
+query("partial_sums", "SELECT dim, round(sum(val), 6) + 0.0 AS val FROM f GROUP BY dim")(lambda s, d: fold_vectors(features(s, d), None, W64, F.sum, "h").select(F.posexplode("h").alias("dim", "v")).select("dim", rounded("v").alias("val")))
 
 # softmax over the in-edges of a vertex
 
-_SM = ", sc AS (SELECT src, dst, val AS s FROM e JOIN f ON f.vid = src AND f.dim = 0), ex AS (SELECT src, dst, exp(s - max(s) OVER (PARTITION BY dst)) AS x FROM sc), sm AS (SELECT src, dst, x / sum(x) OVER (PARTITION BY dst) AS a FROM ex) "
+_SM = ", fs AS (SELECT vid, sum(val) AS s FROM f GROUP BY vid), sc AS (SELECT src, dst, s FROM e JOIN fs ON fs.vid = src), ex AS (SELECT src, dst, exp(s - max(s) OVER (PARTITION BY dst)) AS x FROM sc), sm AS (SELECT src, dst, x / sum(x) OVER (PARTITION BY dst) AS a FROM ex) "
 
 
 def _scores(s, d):
-    return M.Scatter(T.graph(s, d), 1).forward(head(features(s, d), 1)).select("src", "dst", F.col("m")[0].alias("s"))
+    total = features(s, d).select("vid", F.array(F.aggregate("h", F.lit(0.0), lambda a, v: a + v)).alias("h"))
+    return M.Scatter(T.graph(s, d), 1).forward(total).select("src", "dst", F.col("m")[0].alias("s"))
 
 
 query("edge_softmax", _SM + "SELECT src, dst, round(a, 6) + 0.0 AS a FROM sm")(lambda s, d: M.EdgeSoftmax().forward(_scores(s, d)).select("src", "dst", rounded("a").alias("a")))
@@ -313,10 +308,10 @@ query("two_hop_sample", _HOPS + "SELECT batch_id, hop, dst, src FROM hops")(_hop
 query("relabel", _HOPS + "SELECT batch_id, src AS vid, row_number() OVER (PARTITION BY batch_id ORDER BY p) - 1 AS local FROM (SELECT batch_id, src, min(dst * 1000000 + src) AS p FROM h0 GROUP BY 1, 2)")(
     lambda s, d: sampling.relabel(_hops(s, d).filter("hop = 0").withColumn("pos", F.col("dst") * 1000000 + F.col("src")), "pos", "src", ("batch_id",))
 )
-query("minibatch_agg", _HOPS + f"SELECT h.batch_id, h.dst AS vid, dim, round(sum(w.w * val), 6) + 0.0 AS val FROM h0 h JOIN w ON w.src = h.src AND w.dst = h.dst JOIN {_F8} f ON f.vid = h.src GROUP BY 1, 2, 3")(
+query("minibatch_agg", _HOPS + f"SELECT h.batch_id, h.dst AS vid, dim, round(sum(w.w * val), 6) + 0.0 AS val FROM h0 h JOIN w ON w.src = h.src AND w.dst = h.dst JOIN f ON f.vid = h.src GROUP BY 1, 2, 3")(
     lambda s, d: long(
-        _hops(s, d).filter("hop = 0").join(T.graph(s, d).norm_weights, ["src", "dst"]).join(_x8(s, d).withColumnRenamed("vid", "src"), "src")
-        .groupBy("batch_id", F.col("dst").alias("vid")).agg(F.array(*[F.sum(F.col("w") * F.col("h")[i]) for i in range(8)]).alias("h")),
+        _hops(s, d).filter("hop = 0").join(T.graph(s, d).norm_weights, ["src", "dst"]).join(features(s, d).withColumnRenamed("vid", "src"), "src")
+        .groupBy("batch_id", F.col("dst").alias("vid")).agg(F.array(*[F.sum(F.col("w") * F.col("h")[i]) for i in range(W64)]).alias("h")),
         "batch_id", "vid",
     )
 )
@@ -376,16 +371,8 @@ query("commnet_layer", _final(_re(_plus(_mul(_agg("f"), 64, 32), _mul("f", 64, 3
 # training and partitioning: loops and files, which SQL can't say
 
 
-def _fixed(g: Graph) -> Graph:
-    """The graph with its tables and weights written once, as every epoch reads them."""
-    own = Graph(training.cut(g.vertices), training.cut(g.edges))
-    own.__dict__["norm_weights"] = training.cut(own.norm_weights)
-    return own
-
-
 def _train(build, sizes: list[int], s: SparkSession, d: str, epochs: int = 2) -> DataFrame:
-    g, v = T.graph(s, d), T.vertices(s, d)
-    g = _fixed(g)
+    g, v = runner.training_graph(T.graph(s, d)), T.vertices(s, d)
     return training.train(build(g, sizes), v.select("vid", "h"), v.select("vid", "label", "mask"), epochs)
 
 
@@ -395,10 +382,47 @@ for _name, _sizes in (("gcn", [64, 16, 10]), ("gcn_eager", [64, 16, 10]), ("gat"
 
 @query("train_gcn_sampled")
 def _sampled(s: SparkSession, d: str) -> DataFrame:
-    g, v = T.graph(s, d), T.vertices(s, d)
-    g = _fixed(g)
-    size = max(1, v.count() // 6)
-    return training.train_sampled(lambda own: models.gcn(own, [64, 16, 10], norm=False), g, v.select("vid", "h"), v.select("vid", "label", "mask"), size, [5, 10], 1)
+    g, v = runner.training_graph(T.graph(s, d)), T.vertices(s, d)
+    return training.train_sampled(lambda own: models.gcn(own, [64, 16, 10], norm=False), g, v.select("vid", "h"), v.select("vid", "label", "mask"), 64, [5, 10], 1)
+
+
+def _measured(x: str) -> str:
+    """Accuracy and loss by mask of log-probabilities x."""
+    return (
+        f", lp0 AS {x}, am AS (SELECT vid, dim FROM (SELECT vid, dim, row_number() OVER (PARTITION BY vid ORDER BY val DESC, dim) AS r FROM lp0) WHERE r = 1)"
+        " SELECT mask, count(*) AS n, CAST(sum(CASE WHEN am.dim = label THEN 1 ELSE 0 END) AS BIGINT) AS correct, round(avg(CASE WHEN am.dim = label THEN 1.0 ELSE 0.0 END), 4) + 0.0 AS accuracy, round(avg(-lp0.val), 4) + 0.0 AS loss"
+        " FROM v JOIN am ON am.vid = v.vid JOIN lp0 ON lp0.vid = v.vid AND lp0.dim = v.label GROUP BY mask"
+    )
+
+
+# the files of a configuration are written from the tables, features with four decimals, and its first epoch is measured
+@query("config_run", ", f4 AS (SELECT vid, dim, round(val, 4) AS val FROM f)" + _measured(_lsm(_mul(_agg(_re(_mul(_bn(_agg("f4")), 64, 16))), 16, 10, 1))))
+def _config(s: SparkSession, d: str) -> DataFrame:
+    v, where = T.vertices(s, d), new_path(s, "config")
+    write_binary(T.graph(s, d).edges, f"{where}/edges")
+    write_vertices(v, f"{where}/features")
+    v.select(F.concat_ws(" ", "vid", "label")).write.text(f"{where}/labels")
+    v.select(F.concat_ws(" ", "vid", F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), F.col("mask") + 1))).write.text(f"{where}/masks")
+    lines = {"ALGORITHM": "GCNCPU", "VERTICES": v.count(), "LAYERS": "64-16-10", "EPOCHS": 1, "DROP_RATE": 0.0, "EDGE_FILE": f"{where}/edges", "FEATURE_FILE": f"{where}/features", "LABEL_FILE": f"{where}/labels", "MASK_FILE": f"{where}/masks"}
+    config = Config.parse("\n".join(f"{k}:{x}" for k, x in lines.items()))
+    out = runner.run(s, config, init=nn.fixed_weight)
+    return out.select("mask", "n", "correct", rounded("accuracy", 4).alias("accuracy"), rounded("loss", 4).alias("loss"))
+
+
+# synthetic graphs, of as many vertices as there are embeddings
+
+_N = "(SELECT n FROM n)"
+query("chain_graph", f"SELECT vid AS src, vid + k AS dst FROM v, (SELECT unnest([-1, 1]) AS k) WHERE vid + k BETWEEN 0 AND {_N} - 1")(lambda s, d: generators.chain(s, T.vertices(s, d).count()).edges)
+query("segment_graph", f", z AS (SELECT n // 10 AS z FROM n) SELECT vid AS src, vid + k AS dst FROM v, z, (SELECT unnest([-1, 1]) AS k) WHERE vid < z * 10 AND vid + k BETWEEN 0 AND z * 10 - 1 AND vid // z = (vid + k) // z")(
+    lambda s, d: generators.segments(s, T.vertices(s, d).count(), 10).edges
+)
+query("clique_graph", ", z AS (SELECT n // 10 AS z FROM n) SELECT a.vid AS src, b.vid AS dst FROM v a JOIN z ON true JOIN v b ON a.vid // z = b.vid // z AND a.vid <> b.vid WHERE a.vid < z * 10 AND b.vid < z * 10")(
+    lambda s, d: generators.cliques(s, T.vertices(s, d).count(), 10).edges
+)
+query(
+    "random_graph",
+    f"SELECT vid AS src, CAST((vid + 1 + ((vid * 7907 + 1) % 1000003 + j * 7919) % ({_N} - 1)) % {_N} AS BIGINT) AS dst FROM v, (SELECT unnest(range(1, 9)) AS j) WHERE j <= 1 + (vid * 104729 + 1) % 1000003 % 8",
+)(lambda s, d: generators.random_graph(s, T.vertices(s, d).count(), 8).edges)
 
 
 @query("partition_offsets")
@@ -409,14 +433,9 @@ def _bounds(s: SparkSession, d: str) -> DataFrame:
 
 @query("binary_edge_roundtrip", "SELECT src, dst FROM e")
 def _binary(s: SparkSession, d: str) -> DataFrame:
-    from ..sources import edge_files
-
-    return edge_files.read_binary(s, edge_files.write_binary(T.graph(s, d).edges))
+    return read_binary(s, write_binary(T.graph(s, d).edges))
 
 
 @query("checkpoint_roundtrip", "SELECT vid, dim, round(val, 6) + 0.0 AS val FROM f")
 def _checkpoint(s: SparkSession, d: str) -> DataFrame:
     return long(training.cut(features(s, d)))
-
-
-__all__ = ["QUERIES", "SQL", "Attention", "Gather", "Linear", "Relu", "zeros"]

@@ -2,75 +2,81 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nn
 from ..functions.optim import Adam
 from ..operators.graph import Graph
-from .layers import Layer, loss_gradient
+from ..operators.sampling import expand, seed_batches
+from ..sources.shared import cut, discard
+from .layers import Layer, gradients, loss_gradient
+
+MEASURED = "mask int, n long, correct long, accuracy double, loss double"
+
 
+def measure(out: DataFrame, truth: DataFrame) -> list[tuple]:
+    """(mask, n, correct, accuracy, loss) of log-probabilities, by mask, in one pass."""
+    seen = out.join(truth, "vid")
+    hit = (nn.argmax(F.col("h")) == F.col("label")).cast("long")
+    loss = F.avg(-F.col("h")[F.col("label").cast("int")])
+    rows = seen.groupBy("mask").agg(F.count("*").alias("n"), F.sum(hit).alias("correct"), F.avg(hit.cast("double")).alias("accuracy"), loss.alias("loss"))
+    return [tuple(r) for r in rows.orderBy("mask").collect()]
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the session's shared folder and read again, so that plans don't grow with epochs and lost executors only cost a read."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{where.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def step(model: Layer, optimiser, out: DataFrame, truth: DataFrame, n: int) -> None:
+    """One update of the weights from the outputs of a forward pass over the n rows of mask 0."""
+    model.backward(loss_gradient(out, truth, n=n), wanted=False)
+    layers = model.learned()
+    flat = lambda kind: {(i, k): v for i, own in enumerate(kind) for k, v in own.items()}
+    for (i, k), w in optimiser.update(flat([p.weights for p in layers]), flat(gradients(layers))).items():
+        layers[i].weights[k] = w
+    model.release()
 
 
 def train(model: Layer, x: DataFrame, truth: DataFrame, epochs: int, optimiser=None) -> DataFrame:
     """x(vid, h), truth(vid, label, mask) -> (epoch, mask, n, correct, accuracy, loss), measured before each update; mask 0 trains."""
-    spark, optimiser, rows = x.sparkSession, optimiser or Adam(), []
-    x = cut(x)
+    spark, optimiser, rows, held = x.sparkSession, optimiser or Adam(), [], []
+    x, truth = cut(x), cut(truth)
+    n = truth.filter("mask = 0").count()
     for epoch in range(epochs):
-        out = cut(model.forward(x, training=True))
-        seen = out.join(truth, "vid")
-        loss = nn.nll(seen.filter("mask = 0")).first()["loss"]
-        rows += [(epoch, r["mask"], r["n"], r["correct"], r["accuracy"], loss) for r in nn.accuracy(seen).orderBy("mask").collect()]
-        model.backward(loss_gradient(out, truth))
-        layers = [p for p in model.layers() if p.weights]
-        flat = lambda kind: {(i, k): v for i, p in enumerate(layers) for k, v in getattr(p, kind).items()}
-        for (i, k), w in optimiser.update(flat("weights"), flat("grads")).items():
-            layers[i].weights[k] = w
-        model.release()
-    return spark.createDataFrame(rows, "epoch int, mask int, n long, correct long, accuracy double, loss double")
+        out = cut(model.forward(x, training=True), held=held)
+        rows += [(epoch, *r) for r in measure(out, truth)]
+        step(model, optimiser, out, truth, n)
+        discard(spark, held)
+    return spark.createDataFrame(rows, f"epoch int, {MEASURED}")
 
 
 def train_sampled(build, graph: Graph, x: DataFrame, truth: DataFrame, batch_size: int, fanouts: list[int], epochs: int, optimiser=None) -> DataFrame:
     """Mini-batches: hops are sampled for consecutive batches of training vertices, and the model runs on the union of a batch's hops with
-    the weights of the whole graph. build(graph) -> model; its weights carry over from batch to batch."""
-    from ..operators.sampling import expand, seed_batches
+    the weights of the whole graph. build(graph) -> model; its weights carry over from batch to batch. After each epoch the model is
+    measured on the whole graph. (epoch, batch, mask, n, correct, accuracy, loss); batch is null where the whole graph is measured."""
+    spark, optimiser, kept, rows, held = x.sparkSession, optimiser or Adam(), None, [], []
+    batches = cut(seed_batches(truth.filter("mask = 0").select("vid"), batch_size))
+    hops = expand(graph.edges, batches, fanouts).select("batch_id", "src", "dst").distinct()
+    # rows of a batch lie together, so that a batch reads its own part of the files only
+    near = lambda df: cut(df.repartitionByRange("batch_id").sortWithinPartitions("batch_id"))
+    edges = near(hops.join(graph.norm_weights.dropDuplicates(["src", "dst"]), ["src", "dst"]))
+    ends = edges.select("batch_id", F.col("src").alias("vid")).union(edges.select("batch_id", "dst")).union(batches.select("batch_id", "vid")).distinct()
+    marked = ends.join(batches.withColumn("seed", F.lit(True)), ["batch_id", "vid"], "left").join(x, "vid").join(truth.select("vid", "label"), "vid")
+    vertices = near(marked.select("batch_id", "vid", "h", "label", F.when(F.col("seed"), 0).otherwise(3).alias("mask")))
+    sizes = {r["batch_id"]: r["n"] for r in batches.groupBy("batch_id").agg(F.count("*").alias("n")).collect()}
+
+    def carried(model: Layer) -> Layer:
+        for layer, w in zip(model.learned(), kept or []):
+            layer.weights = w
+        return model
 
-    optimiser, kept, rows = optimiser or Adam(), None, []
-    seeds = truth.filter("mask = 0").select("vid")
-    batches = cut(seed_batches(seeds, batch_size))
-    hops = cut(expand(graph.edges, batches, fanouts))
-    weights = cut(graph.norm_weights.dropDuplicates(["src", "dst"]))
-    n = batches.agg(F.max("batch_id")).first()[0]
     for epoch in range(epochs):
-        for b in range(0 if n is None else n + 1):
-            e = cut(hops.filter(F.col("batch_id") == b).select("src", "dst").distinct().join(weights, ["src", "dst"]))
-            seen = batches.filter(F.col("batch_id") == b).select("vid")
-            ids = e.select(F.col("src").alias("vid")).union(e.select(F.col("dst").alias("vid"))).union(seen).distinct()
-            own = Graph(cut(ids), e.select("src", "dst"))
-            own.__dict__["norm_weights"] = e
-            model = build(own)
-            if kept is not None:
-                for layer, w in zip([p for p in model.layers() if p.weights], kept):
-                    layer.weights = w
-            xb, tb = x.join(own.vertices, "vid", "left_semi"), truth.join(seen, "vid", "left_semi")
-            out = cut(model.forward(xb, training=True))
-            loss = nn.nll(out.join(tb, "vid")).first()["loss"]
-            model.backward(loss_gradient(out, truth.join(own.vertices, "vid", "left_semi").join(seen.withColumn("s", F.lit(1)), "vid", "left").withColumn("mask", F.when(F.col("s") == 1, 0).otherwise(3))))
-            layers = [p for p in model.layers() if p.weights]
-            flat = lambda kind: {(i, k): v for i, p in enumerate(layers) for k, v in getattr(p, kind).items()}  # noqa: E731, B023
-            for (i, k), w in optimiser.update(flat("weights"), flat("grads")).items():
-                layers[i].weights[k] = w
-            model.release()
-            kept = [p.weights for p in layers]
-            rows.append((epoch, b, loss))
-    return x.sparkSession.createDataFrame(rows, "epoch int, batch long, loss double")
+        for b, n in sorted(sizes.items()):
+            e, v = edges.filter(F.col("batch_id") == b), vertices.filter(F.col("batch_id") == b)
+            own = Graph(v.select("vid"), e.select("src", "dst"))
+            own.__dict__["norm_weights"] = e.select("src", "dst", "w")
+            model, marks = carried(build(own)), v.select("vid", "label", "mask")
+            out = cut(model.forward(v.select("vid", "h"), training=True), held=held)
+            rows += [(epoch, b, *r) for r in measure(out, marks.filter("mask = 0"))]
+            step(model, optimiser, out, marks, n)
+            discard(spark, held)
+            kept = [p.weights for p in model.learned()]
+        rows += [(epoch, None, *r) for r in measure(carried(build(graph)).forward(x, training=False), truth)]
+    return spark.createDataFrame(rows, f"epoch int, batch long, {MEASURED}")

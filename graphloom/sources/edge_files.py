@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from .shared import new_path
+
 RECORD = np.dtype([("src", "<u4"), ("dst", "<u4")])
 #: Records of a read task, and of one of its batches.
 TASK, BATCH = 1 << 24, 1 << 18
@@ -42,7 +44,9 @@ class EdgeReader(DataSourceReader):
         infos = [info] if info.type == fs.FileType.File else [x for x in files.get_file_info(fs.FileSelector(where)) if x.is_file and not x.base_name.startswith(("_", "."))]
         out = []
         for x in sorted(infos, key=lambda x: x.path):
-            n = x.size // RECORD.itemsize
+            n, rest = divmod(x.size, RECORD.itemsize)
+            if rest:
+                raise ValueError(f"{x.path} ends within a record: {x.size} bytes")
             out += [Range(x.path, i, min(TASK, n - i)) for i in range(0, n, TASK)]
         return out or [Range(where, 0, 0)]
 
@@ -77,7 +81,11 @@ class EdgeWriter(DataSourceArrowWriter):
         with files.open_output_stream(f"{where}/_tasks/{name}") as f:
             for b in batches:
                 e = np.empty(b.num_rows, RECORD)
-                e["src"], e["dst"] = b.column("src").to_numpy(), b.column("dst").to_numpy()
+                for c in ("src", "dst"):
+                    ids = b.column(c).to_numpy()
+                    if len(ids) and not 0 <= ids.min() <= ids.max() < 1 << 32:
+                        raise ValueError(f"{c} must be from 0 to 2^32 - 1")
+                    e[c] = ids
                 f.write(e.tobytes())
         return Written(name)
 
@@ -117,7 +125,7 @@ def write_binary(edges: DataFrame, path: str | None = None) -> str:
     """Write edges and return the path; without one, a new folder in the session's shared one."""
     spark = edges.sparkSession
     spark.dataSource.register(Edges)
-    path = path or f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/edges-{uuid.uuid4().hex}"
+    path = path or new_path(spark, "edges")
     edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).write.format("edges").mode("append").save(path)
     return path
 

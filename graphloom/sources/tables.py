@@ -33,12 +33,6 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return plain_graph(spark, sf_dir).with_self_loops()
 
 
-def thin_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The plain graph without sources divisible by 3 and targets divisible by 5: it has vertices without in-edges, and isolated ones."""
-    g = plain_graph(spark, sf_dir)
-    return Graph(g.vertices, g.edges.filter("src % 3 <> 0 and dst % 5 <> 0"))
-
-
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, w): quantity from each supplier to each part; parts are numbered after suppliers."""
     n = read(spark, sf_dir, "supplier").count()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of a mask file and their numbers; anything else is 3.
@@ -31,16 +31,14 @@ def read_vertices(spark: SparkSession, features: str, labels: str, masks: str |
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """(vid, value): line numbers from 0 in file order, by partition counts and places within partitions."""
-    placed = lines.select("value", F.monotonically_increasing_id().alias("__m"))
-    placed = placed.select("value", F.shiftright("__m", 33).alias("__p"), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)).alias("__i"))
-    counts = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count("*").alias("n")).collect()}
-    at, base = 0, []
-    for p in sorted(counts):
-        base.append((p, at))
-        at += counts[p]
-    offsets = lines.sparkSession.createDataFrame(base, "__p long, __b long")
-    return placed.join(F.broadcast(offsets), "__p").select((F.col("__b") + F.col("__i")).alias("vid"), "value")
+    """(vid, value) of a text source: line numbers from 0, in the order of file names and of places within files. Lines are counted by
+    block of a file, as tasks read blocks in any order; only one row per block is sorted as a whole."""
+    block = [F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__s")]
+    placed = lines.select("value", *block, F.monotonically_increasing_id().alias("__m"))
+    blocks = placed.groupBy("__f", "__s").agg(F.min("__m").alias("__first"), F.count("*").alias("__n"))
+    before = Window.orderBy("__f", "__s").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    return placed.join(blocks, ["__f", "__s"]).select((F.col("__b") + F.col("__m") - F.col("__first")).alias("vid"), "value")
 
 
 def read_numbered(spark: SparkSession, features: str, labels: str, splits: dict[str, str]) -> DataFrame:

@@ -26,7 +26,7 @@ def loss(out, truth):
     return -np.mean([h[r["vid"]][r["label"]] for r in y])
 
 
-@pytest.mark.parametrize("name", ["gcn", "gat", "commnet"])
+@pytest.mark.parametrize("name", ["gcn", "gcn_eager", "gat", "gin", "commnet"])
 def test_gradients(setup, name):
     g, x, truth = setup
     model = models.MODELS[name](g, [3, 2])
