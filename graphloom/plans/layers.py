@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import nn
 from ..operators.graph import Graph
 from ..operators.messages import Aggregate, at, with_totals
-from ..operators.vectors import add, dot, fold_vectors, over_vertices, scale, sum_vectors
+from ..operators.vectors import add, dot, over_vertices, scale, sum_vectors
 from ..sources.shared import cut, discard
 
 
@@ -161,15 +161,14 @@ class BatchNorm(Layer):
 
     def forward(self, x, training=True):
         row = nn.batch_statistics(x, self.width).first()
-        self.spread = np.sqrt(np.array(row["va"] or [0.0] * self.width, float) + nn.EPS)
-        mean = np.array(row["mu"] or [0.0] * self.width, float)
+        mean, self.spread = np.array(row["mu"]), np.sqrt(np.array(row["va"]) + nn.EPS)
         self.z = x.select("vid", F.zip_with(F.zip_with("h", literal(mean), lambda a, m: a - m), literal(self.spread), lambda a, s: a / s).alias("h"))
         return self.z
 
     def backward(self, g, wanted=True):
         xg = with_gradient(self.z, g)
-        sums = lambda v: fold_vectors(v, None, self.width, lambda c: F.avg(c), "m").first()["h"] or [0.0] * self.width
-        mg, mgz = sums(xg.select(F.col("g").alias("m"))), sums(xg.select(F.zip_with("g", "h", lambda a, b: a * b).alias("m")))
+        means = nn.batch_statistics(xg.select(F.concat("g", F.zip_with("g", "h", lambda a, b: a * b)).alias("h")), 2 * self.width).first()["mu"]
+        mg, mgz = means[: self.width], means[self.width :]
         table = F.arrays_zip(F.col("h"), F.col("g"), literal(mg).alias("mg"), literal(mgz).alias("mgz"), literal(self.spread).alias("s"))
         return xg.select("vid", F.transform(table, lambda a: (a["g"] - a["mg"] - a["h"] * a["mgz"]) / a["s"]).alias("h"))
 
