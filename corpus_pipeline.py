@@ -23,7 +23,8 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, that with the smallest doc_id (null comes last; equal doc_ids by a hash of all
-    columns). Rows, not doc_ids, are compared: rows of a repeated or null doc_id stay if their texts aren't near duplicates."""
+    columns). Rows, not doc_ids, are compared: rows of a repeated or null doc_id stay if their texts aren't near duplicates, and so
+    do all rows without words."""
     ties = docs.withColumn("__tie", F.xxhash64(*docs.columns)).withColumn("__at", F.monotonically_increasing_id())
     # numbers of rows in this order stand for doc_ids
     rows = ties.orderBy(F.asc_nulls_last("doc_id"), "__tie", "__at").drop("__tie", "__at").withColumn("__row", F.monotonically_increasing_id())
@@ -33,20 +34,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without passages of the benchmark. Each row is judged by its own text, whatever its doc_id."""
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "clean-rows")
-    keyed = rows.select(F.col("__row").alias("doc_id"), "text")
-    clean = _clean.decontaminate(keyed, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__row"))
-    return rows.join(clean, "__row", "left_semi").select(*docs.columns)
+    """Rows without passages of the benchmark. Each row is judged by its own text, whatever its doc_id; rows without text stay."""
+    return _clean.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words of the mix, by document and pass."""
+    """The words of the mix, by row and pass. Sources that are above their target lose blocks of words, others are taken up to
+    twice; rows without words go. A row is a document of its own, whatever its doc_id; a null source is a source."""
     return mixing.mix_documents(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The index of the token shards: doc_id, start, n_tokens, ids_crc32."""
+    """The index of the token shards: doc_id, start, n_tokens, ids_crc32, a row for each row of docs. A null doc_id sorts first, rows
+    of one doc_id by text; null and empty texts hold the end id only."""
     return repair_tokens.read_tokens(repair_tokens.write_tokens(docs))
 
 

@@ -13,7 +13,8 @@ The benchmark is taken in parts of at most PART_WORDS words, each small enough t
 passes. Result rows: one per document and item with a passage whose similarity is at least THRESHOLD.
 
 Null or empty texts and items match nothing. Items of fewer than GRAM words are one seed: they match where they occur whole. Rows
-with a null id are left out; repeated doc_ids are scored per row and the best passage stays. Extra columns are ignored.
+with a null doc_id are scored as all others are (as items without an item_id are not); rows of one doc_id, or of none, are scored
+per row, and the best passage of each item stays. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +35,6 @@ PART_WORDS = 500_000
 _EDGE = b".,;:!?\"'()[]{}<>*&%$#|-_"
 
 
-def clean(text: bytes) -> list[bytes]:
-    return [x for x in (w.strip(_EDGE) for w in text.decode().lower().encode().split()) if x]
-
-
 class Cleaned(Words):
     """Words of lower-cased texts without the punctuation around them, found on the bytes."""
 
@@ -47,16 +44,11 @@ class Cleaned(Words):
     def _hash(self, joined: bytes) -> np.ndarray:
         edge = np.zeros(256, bool)
         edge[list(_EDGE)] = True
-        for _ in range(64):
-            trim = (self.start < self.end) & edge[self.bytes[np.minimum(self.start, len(joined) - 1)]]
-            if not trim.any():
-                break
-            self.start = self.start + trim
-        for _ in range(64):
-            trim = (self.start < self.end) & edge[self.bytes[self.end - 1]]
-            if not trim.any():
-                break
-            self.end = self.end - trim
+        # the first byte that stays from each place on, and the last one up to it
+        place = np.where(edge[self.bytes], len(joined), np.arange(len(joined))).astype(np.int32)
+        onward = np.minimum.accumulate(place[::-1])[::-1]
+        upto = np.maximum.accumulate(np.where(place == len(joined), -1, place))
+        self.start, self.end = np.minimum(onward[np.minimum(self.start, len(joined) - 1)], self.end), np.maximum(upto[self.end - 1] + 1, self.start)
         kept = self.end > self.start
         self.first = np.concatenate(([0], np.cumsum(kept)))[self.first]
         self.start, self.end = self.start[kept], self.end[kept]
@@ -209,7 +201,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, similarity, score, end_word (words of the document up
     to the end of the copy)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
     words = items.select(F.sum(F.size(F.split("text", "\\s+"))).alias("n")).first()["n"] or 0
     parts = -(-words // PART_WORDS)
@@ -230,9 +222,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without those of contaminated documents. Rows with a null doc_id stay."""
-    hit = bounded(materialise(contaminated(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct(), "contaminated"))
-    return docs.join(hit, docs["doc_id"] == F.col("__hit"), "left_anti")
+    """The rows of docs, all columns, without those that hold a passage. Each row is judged by its own text, whatever its doc_id."""
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "clean-rows")
+    hit = contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__row")).distinct()
+    return rows.join(bounded(materialise(hit, "contaminated")), "__row", "left_anti").select(*docs.columns)
 
 
 def op7_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

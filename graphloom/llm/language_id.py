@@ -6,7 +6,7 @@ each batch of whole texts is scored by gathering matrix rows and summing them pe
 
 Training counts all labelled rows whose crc32(doc_id) mod 4 is not 2, so a rare language is learned from each of its rows.
 Ties go to the language that sorts first. Text that is null or has no letter gets `und` and score 0, as does everything if no row
-is labelled. Rows with a null doc_id aren't learned from and are predicted; extra columns are ignored.
+is labelled. Rows with a null doc_id aren't learned from nor held out, and are predicted; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, carry: list[st
 
 
 def held_out() -> Column:
-    return F.expr("pmod(crc32(cast(doc_id as string)), 4) = 2")
+    return F.coalesce(F.expr("pmod(crc32(cast(doc_id as string)), 4) = 2"), F.lit(False))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -166,15 +166,15 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: for each document and pass one row with the words of its drawn blocks, joined by one space, and
-    n_chars counted anew; other columns stay. The draw is that of mix(). Documents of which nothing is drawn go, and rows that
-    are equal in doc_id, text and source count once."""
+    n_chars counted anew; other columns stay. The draw is that of mix(). Rows of which nothing is drawn go, as those without words
+    do; a row is a document of its own, whatever its doc_id, and equal rows are drawn from one by one."""
     given = docs.columns
-    docs = materialise(docs.withColumn("__row", F.xxhash64("doc_id", "text", "source")).withColumn("__size", n_words(F.col("text"))), "mix-docs")
-    sized = docs.select("doc_id", "source", F.col("__size").alias("size"), "__row").dropDuplicates(["__row"])
-    _, _, pieces = draws(sized)
+    ids = docs.withColumn("__hash", F.xxhash64("doc_id", "text", "source")).withColumn("__row", F.monotonically_increasing_id())
+    docs = materialise(ids.withColumn("__size", n_words(F.col("text"))), "mix-docs")
+    _, _, pieces = draws(docs.select("doc_id", "source", F.col("__size").alias("size"), "__hash", "__row"))
     drawn = pieces.groupBy("__row", "pass").agg(F.sort_array(F.collect_list(F.struct("piece_from", "piece_words"))).alias("__pieces")).drop("pass")
     words = F.filter(F.split("text", SPACE), lambda w: w != "")
-    both = docs.dropDuplicates(["__row"]).join(drawn, "__row")
+    both = docs.join(drawn, "__row")
     # the words are an argument of the outer function, so that a text is split once and not for each of its pieces
     cut = lambda own: F.array_join(F.flatten(F.transform("__pieces", lambda p: F.slice(own, p.piece_from.cast("int") + 1, p.piece_words.cast("int")))), " ")
     text = F.transform(F.array(words), cut)[0]

@@ -1,8 +1,12 @@
 """The pipeline's decisions by row: null and repeated doc_ids, beside brute force."""
 
 import random
+import zlib
 from collections import Counter
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 
 
@@ -40,3 +44,35 @@ def test_rows_are_judged_by_row(spark, tmp_path):
     # run() writes documents of the three stages only, and nothing of a row they drop
     ids = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert ids <= {r[0] for r in want}
+
+
+def test_mixing_and_token_stages_by_row(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(n))
+    rows = [(i if i % 7 else None, text(rng.randint(1, 90)), "en", rng.choice(["a", "b", None]), 0) for i in range(200)]
+    rows += [(3, rows[3][1], "en", rows[3][3], 0), (3, text(30), "en", "a", 0), (9, None, "en", "a", 0), (None, "", "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    twice = [sorted((r["doc_id"] or -1, r["source"] or "", r["text"], r["n_chars"]) for r in stages["mix_sources"](spark, docs, "").collect()) for _ in range(2)]
+    assert twice[0] == twice[1] and all(len(t) == n for _, _, t, n in twice[0])
+    # each drawn row holds words of one of its rows in their order, and no source has more than twice its words
+    own = {}
+    for i, t, _, s, _ in rows:
+        own.setdefault((i or -1, s or ""), []).append((t or "").split())
+
+    def within(part, whole):
+        left = iter(whole)
+        return all(w in left for w in part)
+
+    assert all(any(within(t.split(), w) for w in own[i, s]) for i, s, t, _ in twice[0])
+    for s in ("a", "b", ""):
+        assert sum(len(t.split()) for _, x, t, _ in twice[0] if x == s) <= 2 * sum(len(w) for (_, x), ws in own.items() if x == s for w in ws)
+    index = stages["token_output"](spark, docs, "").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [coder.encode(t or "", add_special_tokens=False).ids + [0] for _, t, *_ in order]
+    want = Counter((r[0], sum(map(len, ids[:k])), len(x), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in x))) for k, (r, x) in enumerate(zip(order, ids)))
+    assert Counter((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in index) == want
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[3:]:
+        assert stage(spark, empty, "").count() == 0
