@@ -3,7 +3,7 @@
 Vectors are cut into parts of two dimensions, and each part is coded by one of 16 centres, four bits. Codes and centres minimise
 an anisotropic loss: the part of the error that is parallel to the vector counts ETA times as much as the rest, since it is what
 shifts large inner products. Centres are fitted on a bounded sample (at most about SAMPLE vectors): k-means per part, then turns
-of coordinate descent over codes and a weighted least-squares fit of all centres.
+of coordinate descent over codes and a weighted least-squares fit of the centres, part by part.
 
 Every vector is indexed. Queries come in blocks, and vectors in blocks; each pair of blocks is one row that a task scans: table
 lookups over four-bit codes score all pairs, and the best CANDIDATES of a query in a block get exact inner products in double
@@ -29,7 +29,7 @@ from .common import materialise, table
 
 K, EVERY = 20, 20
 PART, CENTRES, ETA = 2, 16, 4.0
-SAMPLE, TURNS = 8192, 4
+SAMPLE, TURNS, SWEEPS = 8192, 4, 3
 BLOCK, QUERIES, CANDIDATES = 4096, 1024, 240
 
 
@@ -76,24 +76,33 @@ def fit(x: np.ndarray) -> np.ndarray:
             for d in range(PART):
                 sums = np.bincount(near, xs[:, m, d], CENTRES)
                 centres[m, size > 0, d] = sums[size > 0] / size[size > 0]
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    width = parts * CENTRES * PART
     for _ in range(TURNS):
-        code = _codes(x, centres)
-        # minimise sum |x - Cz|^2 + (ETA - 1) (u.(x - Cz))^2 over all centres at once
-        a, b = np.zeros((width, width)), np.zeros(width)
-        at = ((np.arange(parts) * CENTRES + code)[:, :, None] * PART + np.arange(PART)).reshape(n, -1)
-        a[np.arange(width), np.arange(width)] += np.bincount(at.ravel(), minlength=width)
-        b += np.bincount(at.ravel(), x.ravel(), width)
-        for i in range(0, n, 1024):
-            z = np.zeros((len(at[i : i + 1024]), width))
-            np.put_along_axis(z, at[i : i + 1024], unit[i : i + 1024], 1)
-            a += (ETA - 1) * z.T @ z
-            b += (ETA - 1) * z.T @ (unit[i : i + 1024] * x[i : i + 1024]).sum(1)
-        a[np.arange(width), np.arange(width)] += 1e-6
-        moved = np.linalg.solve(a, b).reshape(parts, CENTRES, PART)
-        used = np.bincount(at[:, ::PART].ravel() // PART, minlength=parts * CENTRES).reshape(parts, CENTRES) > 0
-        centres[used] = moved[used]
+        centres = refit(x, _codes(x, centres), centres)
+    return centres
+
+
+def refit(x: np.ndarray, code: np.ndarray, centres: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
+    """Centres with less of the anisotropic loss for these codes: sum |x - c|^2 + (ETA - 1) (u.(x - c))^2 is minimised over one part at
+    a time, where each centre has a system of PART equations of its own, so memory is that of x whatever the number of dimensions."""
+    n, parts = code.shape
+    centres = centres.copy()
+    xs = x.reshape(n, parts, PART)
+    us = (x / np.linalg.norm(x, axis=1, keepdims=True)).reshape(n, parts, PART)
+    along = lambda m: ((xs[:, m] - centres[m, code[:, m]]) * us[:, m]).sum(1)
+    total = sum(along(m) for m in range(parts))
+    for _ in range(sweeps):
+        for m in range(parts):
+            u, own = us[:, m], code[:, m]
+            rest = total - along(m)
+            goal = (ETA - 1) * (rest + (u * xs[:, m]).sum(1))
+            sums = lambda w: np.bincount(own, w, CENTRES)
+            size = np.bincount(own, minlength=CENTRES)
+            a = np.stack([np.stack([sums((ETA - 1) * u[:, d] * u[:, e]) for e in range(PART)], -1) for d in range(PART)], -2)
+            a += (size[:, None, None] + 1e-6) * np.eye(PART)
+            b = np.stack([sums(xs[:, m, d] + goal * u[:, d]) for d in range(PART)], -1)
+            moved = np.linalg.solve(a, b[..., None])[..., 0]
+            centres[m, size > 0] = moved[size > 0]
+            total = rest + along(m)
     return centres
 
 

@@ -91,6 +91,14 @@ def test_components_of_a_long_path(spark):
     assert {r["component"] for r in components.components(path).collect()} == {0}
 
 
+def test_components_of_hot_ids(spark):
+    star = [(0, i) for i in range(1, 1500)] + [(i, 9000) for i in range(5000, 6500)]
+    edges = spark.createDataFrame([*star, (20000, 20001), (20001, 1499)], "u long, v long")
+    got = {r["id"]: r["component"] for r in components.components(edges).collect()}
+    want = {i: 0 for i in [*range(1500), 20000, 20001]} | {i: 5000 for i in [*range(5000, 6500), 9000]}
+    assert got == want
+
+
 def test_screen_lets_links_through():
     rng = np.random.default_rng(0)
     s = np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64))
@@ -256,6 +264,31 @@ def test_mips(spark):
     assert mips.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_centres_meet_the_dense_least_squares_fit():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 6))
+    start = rng.normal(size=(3, mips.CENTRES, mips.PART))
+    code = mips._codes(x, start)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def loss(c):
+        left = x - c[np.arange(3), code].reshape(len(x), -1)
+        return (left**2).sum() + (mips.ETA - 1) * ((left * unit).sum(1) ** 2).sum()
+
+    # the dense system: one equation for each element of a vector, and one for each vector along itself
+    width, weight = 3 * mips.CENTRES * mips.PART, np.sqrt(mips.ETA - 1)
+    one = np.zeros((600, 6, width))
+    for m in range(3):
+        for d in range(mips.PART):
+            one[np.arange(600), m * mips.PART + d, (m * mips.CENTRES + code[:, m]) * mips.PART + d] = 1
+    along = weight * np.einsum("nd,ndw->nw", unit, one)
+    dense = np.linalg.lstsq(np.concatenate([one.reshape(-1, width), along]), np.concatenate([x.ravel(), weight * (x * unit).sum(1)]), rcond=None)[0]
+    best = loss(dense.reshape(start.shape))
+    losses = [loss(mips.refit(x, code, start, n)) for n in (1, 3, 40)]
+    assert loss(start) > losses[0] >= losses[1] >= losses[2]
+    assert abs(losses[2] - best) < 1e-3 * best
+
+
 def test_mips_finds_all_of_a_group_of_near_copies(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(3000, 64))
