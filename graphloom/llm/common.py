@@ -16,6 +16,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 U = np.uint64
+HOT = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,6 +133,13 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has one row a key and in `n` the number of rows with that key, of `total` in all. Keys that hold
+    more than one row in HOT, fewer than HOT keys, are broadcast, so that no task takes all rows of such a key; the rest is shuffled."""
+    hot = F.broadcast(keyed.filter(F.col("n") > total // HOT + 256))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(keyed, key))
+
+
 def bounded(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
     """df with a broadcast hint if it is counted to be small, df itself (a shuffled join) otherwise. For thin rows only."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

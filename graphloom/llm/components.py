@@ -5,25 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_by_key, materialise
 
 
 def _both(e: DataFrame) -> DataFrame:
     return e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _lowest(e: DataFrame) -> DataFrame:
+    return e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+
+def _large(e: DataFrame, edges: int) -> DataFrame:
     """Every neighbour above u is tied to the smallest neighbour of u."""
     s = _both(e)
-    low = s.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    return s.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = _lowest(s).withColumn("m", F.least("m", "u"))
+    return join_by_key(s, low, "u", 2 * edges).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(e: DataFrame) -> DataFrame:
-    """Edges point down; u and its lower neighbours are tied to the smallest of them."""
+def _small(e: DataFrame, edges: int | None = None) -> DataFrame:
+    """Edges point down; u and its lower neighbours are tied to the smallest of them. A u with very many lower neighbours is only
+    dealt out where the number of edges is given: once they are tied to one, few are left."""
     d = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    low = d.groupBy("u").agg(F.min("v").alias("m"))
-    tied = d.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = _lowest(d)
+    found = d.join(low, "u") if edges is None else join_by_key(d, low, "u", edges)
+    tied = found.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.union(low.select("u", F.col("m").alias("v")))
 
 
@@ -31,10 +37,10 @@ def components(links: DataFrame) -> DataFrame:
     """links(u, v) -> (id, component): every linked id with the smallest id that it reaches. Self links, repeats and
     nulls are ignored; no links give an empty table."""
     e = links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v")
-    e = materialise(_small(e).distinct(), "cc")
+    e = materialise(_small(e, e.count()).distinct(), "cc")
     seen = None
     while True:
-        e = materialise(_small(_large(e).distinct()).distinct(), "cc")
+        e = materialise(_small(_large(e, seen[0] if seen else e.count()).distinct()).distinct(), "cc")
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(pmod(xxhash64(v, u), 1000003))")).first()
         if now == seen:
             break

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, Words, as_long, materialise, mix, slices, table
+from .common import U, Words, as_long, join_by_key, materialise, mix, slices, table
 from .components import components
 
 SHINGLE, SAMPLES, ROWS = 5, 128, 4
@@ -37,6 +37,8 @@ BINS, BITS = 2048, 2048
 #: Standard deviations of the estimate within which a pair is confirmed on full sets.
 DEVIATIONS = 4.0
 PER_SALT = 256
+#: Pairs that are confirmed with one copy of a text.
+PER_TEXT = 64
 #: Rows without a doc_id are numbered from here on.
 NAMELESS = 1 << 62
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -134,8 +136,8 @@ def _confirm(batches: Iterator[pa.RecordBatch], equal: bool = False) -> Iterator
 
 def _links(pairs: DataFrame, texts: DataFrame, equal: bool = False) -> DataFrame:
     """pairs(a, b), b the side that may occur in very many pairs -> the confirmed links (or equal sets), as (u, v)."""
-    degree = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
-    salted = pairs.join(degree, "b").select("a", "b", F.expr("cast(pmod(xxhash64(a), salts) as int)").alias("salt"))
+    degree = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / PER_TEXT).cast("int"))
+    salted = join_by_key(pairs, degree, "b", pairs.count()).select("a", "b", F.expr("cast(pmod(xxhash64(a), salts) as int)").alias("salt"))
     copies = texts.join(degree.withColumnRenamed("b", "doc_id"), "doc_id").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
     near = salted.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(copies, ["b", "salt"])
     return materialise(near.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _confirm(b, equal), "u long, v long"), "dedup-links")
