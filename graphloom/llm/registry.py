@@ -6,8 +6,6 @@ from . import chat_format, decontaminate, language_id, mips, mixing, near_dedup,
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     return {
         "op1_repair_tokens": repair_tokens.op1_repair_tokens,
         "op2_randomness_secrets": secrets.op2_randomness_secrets,
@@ -19,7 +17,6 @@ def queries() -> dict:
         "op8_odd_sketch_dedup": near_dedup.op8_odd_sketch_dedup,
         "op9_kneser_ney_quality": quality_lm.op9_kneser_ney_quality,
         "op10_super_kmer_dedup": substring_dedup.op10_super_kmer_dedup,
-        "pipeline": corpus_pipeline.run,
     }
 
 
