@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, mips, mixing, near_dedup, quality_lm, repair_tokens, secrets, substring_dedup
+from . import chat_format, collocations, decontaminate, hard_negatives, language_id, mips, mixing, near_dedup, quality_lm, repair_tokens, secrets, substring_dedup
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_odd_sketch_dedup": near_dedup.op8_odd_sketch_dedup,
         "op9_kneser_ney_quality": quality_lm.op9_kneser_ney_quality,
         "op10_super_kmer_dedup": substring_dedup.op10_super_kmer_dedup,
+        "op11_sketch_collocations": collocations.op11_sketch_collocations,
+        "op13_sorted_hard_negatives": hard_negatives.op13_sorted_hard_negatives,
     }
 
 
@@ -25,4 +27,6 @@ def oracle_sql() -> dict:
         "op5_prefix_targets": chat_format.ORACLE,
         "op8_odd_sketch_dedup": near_dedup.ORACLE,
         "op10_super_kmer_dedup": substring_dedup.ORACLE,
+        "op11_sketch_collocations": collocations.ORACLE,
+        "op13_sorted_hard_negatives": hard_negatives.ORACLE,
     }
