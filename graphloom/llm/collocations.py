@@ -13,7 +13,7 @@ lang. Phrases are contiguous words of one piece, up to LONGEST of them.
    (exact up to counts of 10^16). The lowest-scoring cut counts, of equals the first.
 4. Phrases inside of a longer one that holds half of their occurrences are dropped, and each lang's best by score, count and bytes kept.
 
-The sketch grows with the texts: a cell for each 16 bytes, 2^26 a row at most (16 MB of bitmaps are broadcast, and a task holds
+The sketch grows with the texts: a cell for each 32 bytes, 2^26 a row at most (16 MB of bitmaps are broadcast, and a task holds
 128 MB). Beyond that more rare phrases reach the second pass, which then moves more, with the same result.
 
 Null texts are empty, a null lang is `und`. Rows are counted as they come: repeated rows count again, doc_id and other columns are not
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from .common import U, Words, expand, materialise, mix, squeeze, table
 
 LONGEST, LEAST, BEST, COVER = 3, 10, 2000, 50
-ROWS, BYTES_PER_CELL, FEWEST, MOST = 2, 16, 16, 26
+ROWS, BYTES_PER_CELL, FEWEST, MOST = 2, 32, 16, 26
 #: Cells of a block of a sketch, as a power of two.
 PART = 16
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Groups of a lang in which its best phrases are found before they meet.
 DEALT = 256
 _BREAK, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
