@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, collocations, decontaminate, hard_negatives, language_id, mips, mixing, near_dedup, quality_lm, repair_tokens, secrets, substring_dedup
+from . import chat_format, collocations, decontaminate, hard_negatives, html_wrappers, language_id, mips, mixing, near_dedup, quality_lm, repair_tokens, secrets, substring_dedup
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_kneser_ney_quality": quality_lm.op9_kneser_ney_quality,
         "op10_super_kmer_dedup": substring_dedup.op10_super_kmer_dedup,
         "op11_sketch_collocations": collocations.op11_sketch_collocations,
+        "op12_host_wrappers": html_wrappers.op12_host_wrappers,
         "op13_sorted_hard_negatives": hard_negatives.op13_sorted_hard_negatives,
     }
 
