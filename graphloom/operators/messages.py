@@ -6,6 +6,8 @@ that of its input. Vertices without edges get zeros.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,16 +91,29 @@ class GatherExtreme:
 
 
 class EdgeSoftmax:
-    """Softmax of a scalar score (src, dst, s) over the in-edges of each dst: (src, dst, a)."""
+    """Softmax of scores (src, dst, s) over the in-edges of each dst: (src, dst, a). Scores are numbers or, where a width is given, arrays,
+    each column of which has a softmax of its own. Largest scores and sums are combined on the map side."""
+
+    def __init__(self, width: int | None = None):
+        self.width = width
+
+    def _joined(self, edges: DataFrame, value: Column, fold, name: str) -> DataFrame:
+        """The edges with an aggregate of `value` over those of their dst."""
+        if self.width is None:
+            return with_totals(edges, **{name: fold(value)})
+        return edges.join(fold_vectors(edges.select("dst", value.alias("m")), "dst", self.width, fold).withColumnRenamed("h", name), "dst")
+
+    def _each(self, a: str, b: str, op: Callable[[Column, Column], Column]) -> Column:
+        return op(F.col(a), F.col(b)) if self.width is None else F.zip_with(a, b, op)
 
     def forward(self, s: DataFrame) -> DataFrame:
-        e = with_totals(s, __top=F.max("s")).withColumn("e", F.exp(F.col("s") - F.col("__top"))).select("src", "dst", "e")
-        return with_totals(e, __sum=F.sum("e")).select("src", "dst", (F.col("e") / F.col("__sum")).alias("a"))
+        e = self._joined(s, F.col("s"), F.max, "__top").select("src", "dst", self._each("s", "__top", lambda x, t: F.exp(x - t)).alias("e"))
+        return self._joined(e, F.col("e"), F.sum, "__sum").select("src", "dst", self._each("e", "__sum", lambda x, t: x / t).alias("a"))
 
     def backward(self, ag: DataFrame) -> DataFrame:
-        """(src, dst, a, g) -> (src, dst, s)."""
-        e = with_totals(ag, __mean=F.sum(F.col("a") * F.col("g")))
-        return e.select("src", "dst", (F.col("a") * (F.col("g") - F.col("__mean"))).alias("s"))
+        """(src, dst, a, g) -> (src, dst, s): a (g - sum of a g over the edges of the dst), column by column."""
+        e = self._joined(ag, self._each("a", "g", lambda a, g: a * g), F.sum, "__mean").withColumn("__d", self._each("g", "__mean", lambda g, m: g - m))
+        return e.select("src", "dst", self._each("a", "__d", lambda a, d: a * d).alias("s"))
 
 
 class Aggregate:

@@ -10,10 +10,12 @@ def edge_hash(seed: int) -> Column:
     return (F.col("src") * 7919 + F.col("dst") * 104729 + seed) % 1000003
 
 
-def sample_neighbours(edges: DataFrame, fanout: int, seed: int = 0, group: tuple[str, ...] = ()) -> DataFrame:
-    """At most `fanout` in-edges of each dst (per group, if columns are given), drawn without replacement."""
+def sample_neighbours(edges: DataFrame, fanout: int, seed: int = 0, group: tuple[str, ...] = (), rank: str | None = None) -> DataFrame:
+    """At most `fanout` in-edges of each dst (per group, if columns are given), drawn without replacement. The order of the draws, from 1,
+    is kept as a column if `rank` names one."""
     own = Window.partitionBy(*group, "dst").orderBy(edge_hash(seed), "src")
-    return edges.withColumn("__r", F.row_number().over(own)).filter(F.col("__r") <= fanout).drop("__r")
+    drawn = edges.withColumn(rank or "__r", F.row_number().over(own)).filter(F.col(rank or "__r") <= fanout)
+    return drawn if rank else drawn.drop("__r")
 
 
 def seed_batches(seeds: DataFrame, size: int, chunk: int = 1 << 16) -> DataFrame:

@@ -24,16 +24,16 @@ def zeros(width: int) -> Column:
     return F.array_repeat(F.lit(0.0), width)
 
 
-def sum_vectors(m: DataFrame, key: str, width: int, vec: str = "m", weight: Column | None = None) -> DataFrame:
+def sum_vectors(m: DataFrame, key: str | Sequence[str], width: int, vec: str = "m", weight: Column | None = None) -> DataFrame:
     """(key, h): the (weighted) sum of vectors per key, combined on the map side."""
     w = F.lit(1.0) if weight is None else weight
     return fold_vectors(m.withColumn("__w", w), key, width, lambda c: F.sum(F.col("__w") * c), vec)
 
 
-def fold_vectors(m: DataFrame, key: str | None, width: int, fold, vec: str = "m") -> DataFrame:
-    """(key, h): an aggregate of each element per key, or over all rows without a key. An edge with a wide vector becomes a row for
+def fold_vectors(m: DataFrame, key: str | Sequence[str] | None, width: int, fold, vec: str = "m") -> DataFrame:
+    """(key, h): an aggregate of each element per key (one column or several), or over all rows without a key. An edge with a wide vector becomes a row for
     each part of it, never one for each element."""
-    keys = [key] if key else []
+    keys = [key] if isinstance(key, str) else list(key or ())
     whole = lambda v, n: F.array(*[fold(v[i]) for i in range(n)])
     if width <= WIDE:
         return m.groupBy(*keys).agg(whole(F.col(vec), width).alias("h"))

@@ -10,6 +10,7 @@ from ..functions.nn import fixed_weight
 from ..operators.graph import Graph
 from ..operators.messages import norm_aggregate
 from .layers import Attention, BatchNorm, Chain, Dropout, Gather, Layer, Linear, LogSoftmax, Relu, Same, Sum
+from .tape import Recorded, attention
 
 Init = Callable[[int, int, int], np.ndarray]
 
@@ -53,12 +54,24 @@ def gcn_planned(graph: Graph, sizes: list[int], init: Init = fixed_weight) -> La
     return Chain(*steps, LogSoftmax())
 
 
-def gat(graph: Graph, sizes: list[int], init: Init = fixed_weight) -> Layer:
-    """h = x W; y = relu(attention over in-edges)."""
+def gat(graph: Graph, sizes: list[int], init: Init = fixed_weight, heads: int = 1) -> Layer:
+    """h = x W; y = relu(attention over in-edges). Several heads share out the elements of h; the last layer has one."""
+    steps: list[Layer] = []
+    for i, (a, b, last) in enumerate(_pairs(sizes)):
+        att = init(2 * b, 1, i).ravel()
+        if heads > 1 and not last:
+            steps += [Recorded(graph, a, {"w": init(a, b, i), "al": att[:b], "ar": att[b:]}, attention(heads)), Relu()]
+        else:
+            steps += [Linear(init(a, b, i)), Attention(graph, att[:b], att[b:]), Relu()]
+    return Chain(*steps, LogSoftmax())
+
+
+def gat_recorded(graph: Graph, sizes: list[int], init: Init = fixed_weight) -> Layer:
+    """The same as gat(), from a program whose gradients are derived."""
     steps: list[Layer] = []
     for i, (a, b, _) in enumerate(_pairs(sizes)):
         att = init(2 * b, 1, i).ravel()
-        steps += [Linear(init(a, b, i)), Attention(graph, att[:b], att[b:]), Relu()]
+        steps += [Recorded(graph, a, {"w": init(a, b, i), "al": att[:b], "ar": att[b:]}, attention()), Relu()]
     return Chain(*steps, LogSoftmax())
 
 
@@ -79,4 +92,8 @@ def commnet(graph: Graph, sizes: list[int], init: Init = fixed_weight) -> Layer:
     return Chain(*steps, LogSoftmax())
 
 
-MODELS = {"gcn": gcn, "gcn_eager": gcn_eager, "gat": gat, "gin": gin, "commnet": commnet}
+def gat_heads(graph: Graph, sizes: list[int], init: Init = fixed_weight) -> Layer:
+    return gat(graph, sizes, init, heads=2)
+
+
+MODELS = {"gcn": gcn, "gcn_eager": gcn_eager, "gat": gat, "gat_recorded": gat_recorded, "gat_heads": gat_heads, "gin": gin, "commnet": commnet}

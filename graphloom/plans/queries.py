@@ -12,6 +12,7 @@ from ..functions import nn
 from ..functions.optim import SGD, Adam
 from ..operators import messages as M
 from ..operators import sampling
+from ..operators.blocks import BlockAggregate, numbered_seeds, sample_blocks, sources_of
 from ..operators.graph import Graph, owner_of, partition_bounds
 from ..operators.vectors import fold_vectors, scale, to_long
 from ..sources import generators
@@ -19,7 +20,7 @@ from ..sources import tables as T
 from ..sources.edge_files import read_binary, write_binary
 from ..sources.shared import new_path
 from ..sources.vertex_files import Config, write_vertices
-from . import models, runner, training
+from . import models, runner, sampled, training
 from .layers import Chain
 
 W64 = T.WIDTH
@@ -139,8 +140,12 @@ query("scatter_src_dst", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM
 _G = "(src * 3 + dst * 5 + dim * 7) % 11 - 5"
 
 
+def _edge_numbers(width: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: ((F.col("src") * 3 + F.col("dst") * 5 + i * 7) % 11 - 5).cast("double"))
+
+
 def _edge_gradient(g: Graph, width: int) -> DataFrame:
-    return g.edges.select("src", "dst", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: ((F.col("src") * 3 + F.col("dst") * 5 + i * 7) % 11 - 5).cast("double")).alias("m"))
+    return g.edges.select("src", "dst", _edge_numbers(width).alias("m"))
 
 
 def _fill(inner: str, width: int) -> str:
@@ -229,6 +234,19 @@ query("edge_softmax_bwd", _SM + ", g AS (SELECT src, dst, a, (src * 3 + dst * 5)
     lambda s, d: M.EdgeSoftmax().backward(M.EdgeSoftmax().forward(_scores(s, d)).withColumn("g", (F.col("src") * 3 + F.col("dst") * 5) % 11 - 5)).select("src", "dst", rounded("s").alias("s"))
 )
 
+_SM8 = ", sc AS (SELECT src, dst, dim, val AS s FROM e JOIN f ON f.vid = src WHERE dim < 8), ex AS (SELECT src, dst, dim, exp(s - max(s) OVER (PARTITION BY dst, dim)) AS x FROM sc), sm AS (SELECT src, dst, dim, x / sum(x) OVER (PARTITION BY dst, dim) AS a FROM ex) "
+
+
+def _columns(s, d):
+    """Eight scores of each edge."""
+    return M.Scatter(T.graph(s, d), 8).forward(features(s, d).withColumn("h", F.slice("h", 1, 8))).withColumnRenamed("m", "s")
+
+
+query("edge_softmax_columns", _SM8 + "SELECT src, dst, dim, round(a, 6) + 0.0 AS val FROM sm")(lambda s, d: long(M.EdgeSoftmax(8).forward(_columns(s, d)), "src", "dst", vec="a"))
+query("edge_softmax_columns_bwd", _SM8 + f", g AS (SELECT src, dst, dim, a, {_G} AS g FROM sm) SELECT src, dst, dim, round(a * (g - sum(a * g) OVER (PARTITION BY dst, dim)), 6) + 0.0 AS val FROM g")(
+    lambda s, d: long(M.EdgeSoftmax(8).backward(M.EdgeSoftmax(8).forward(_columns(s, d)).withColumn("g", _edge_numbers(8))), "src", "dst", vec="s")
+)
+
 # dense layers
 
 _WT = "(SELECT i, j, sqrt(6.0 / ({0} + {1})) * sin(0.37 * i + 0.11 * j + 0.5 * {2}) AS w FROM (SELECT CAST(unnest(range({0})) AS INTEGER) AS i), (SELECT CAST(unnest(range({1})) AS INTEGER) AS j))"
@@ -309,12 +327,76 @@ query("relabel", _HOPS + "SELECT batch_id, src AS vid, row_number() OVER (PARTIT
     lambda s, d: sampling.relabel(_hops(s, d).filter("hop = 0").withColumn("pos", F.col("dst") * 1000000 + F.col("src")), "pos", "src", ("batch_id",))
 )
 query("minibatch_agg", _HOPS + f"SELECT h.batch_id, h.dst AS vid, dim, round(sum(w.w * val), 6) + 0.0 AS val FROM h0 h JOIN w ON w.src = h.src AND w.dst = h.dst JOIN f ON f.vid = h.src GROUP BY 1, 2, 3")(
-    lambda s, d: long(
-        _hops(s, d).filter("hop = 0").join(T.graph(s, d).norm_weights, ["src", "dst"]).join(features(s, d).withColumnRenamed("vid", "src"), "src")
-        .groupBy("batch_id", F.col("dst").alias("vid")).agg(F.array(*[F.sum(F.col("w") * F.col("h")[i]) for i in range(W64)]).alias("h")),
-        "batch_id", "vid",
+    lambda s, d: _block_sum(s, d, lambda op, x: op.forward(x), "src", "dst")
+)
+query("minibatch_agg_bwd", _HOPS + "SELECT h.batch_id, h.src AS vid, dim, round(sum(w.w * val), 6) + 0.0 AS val FROM h0 h JOIN w ON w.src = h.src AND w.dst = h.dst JOIN f ON f.vid = h.dst GROUP BY 1, 2, 3")(
+    lambda s, d: _block_sum(s, d, lambda op, g: op.backward(g), "dst", "src")
+)
+_LOCAL = (
+    ", sb AS (SELECT CAST((row_number() OVER (ORDER BY vid) - 1) // 64 AS BIGINT) AS batch_id, vid FROM v WHERE mask = 0), sl AS (SELECT batch_id, vid, row_number() OVER (PARTITION BY batch_id ORDER BY vid) - 1 AS local FROM sb)"
+    + "".join(
+        f", d{i} AS (SELECT * FROM (SELECT batch_id, e.dst, e.src, local AS dst_local, row_number() OVER (PARTITION BY batch_id, e.dst ORDER BY {_H.format(i)}, e.src) AS r FROM e JOIN {front} ON vid = e.dst) WHERE r <= {fanout}),"
+        f" n{i} AS (SELECT batch_id, src AS vid, row_number() OVER (PARTITION BY batch_id ORDER BY min(dst_local * {fanout} + r)) - 1 AS local FROM d{i} GROUP BY 1, 2),"
+        f" b{i} AS (SELECT d{i}.batch_id, {i} AS hop, dst, src, dst_local, local AS src_local FROM d{i} JOIN n{i} ON n{i}.batch_id = d{i}.batch_id AND n{i}.vid = d{i}.src)"
+        for i, front, fanout in ((0, "sl", 5), (1, "n0", 10))
     )
-)
+    + " "
+)
+query("sampled_blocks", _LOCAL + "SELECT b.batch_id, hop, b.dst, b.src, dst_local, src_local, round(w, 6) + 0.0 AS w FROM (SELECT * FROM b0 UNION ALL SELECT * FROM b1) b JOIN w ON w.src = b.src AND w.dst = b.dst")(
+    lambda s, d: _blocks(s, d).withColumn("w", rounded("w"))
+)
+# one pass over all batches with fixed weights: layer 0 walks hop 1, layer 1 hop 0, and the gradients walk back
+_SAMPLED = (
+    _HOPS
+    + f", p0 AS (SELECT i, j, w AS p FROM {_wt(64, 16)} k), p1 AS (SELECT i, j, w AS p FROM {_wt(16, 10, 1)} k)"
+    + ", y1 AS (SELECT batch_id, h.dst AS vid, dim, sum(w.w * val) AS val FROM h1 h JOIN w ON w.src = h.src AND w.dst = h.dst JOIN f ON f.vid = h.src GROUP BY 1, 2, 3)"
+    + ", z1 AS (SELECT batch_id, vid, j AS dim, sum(val * p) AS val FROM y1 JOIN p0 ON i = dim GROUP BY 1, 2, 3)"
+    + ", y0 AS (SELECT h.batch_id, h.dst AS vid, dim, sum(w.w * greatest(val, 0)) AS val FROM h0 h JOIN w ON w.src = h.src AND w.dst = h.dst JOIN z1 ON z1.batch_id = h.batch_id AND z1.vid = h.src GROUP BY 1, 2, 3)"
+    + ", z0 AS (SELECT batch_id, vid, j AS dim, sum(val * p) AS val FROM y0 JOIN p1 ON i = dim GROUP BY 1, 2, 3)"
+    + ", t0 AS (SELECT batch_id, vid, dim, val - max(val) OVER (PARTITION BY batch_id, vid) AS val FROM z0)"
+    + ", o0 AS (SELECT batch_id, vid, dim, val - ln(sum(exp(val)) OVER (PARTITION BY batch_id, vid)) AS val FROM t0) "
+)
+query("minibatch_logits", _SAMPLED + "SELECT batch_id, vid, dim, round(val, 4) + 0.0 AS val FROM o0")(lambda s, d: long(sampled.outputs(_packed(s, d), _fixed()), "batch_id", "vid", digits=4))
+query(
+    "minibatch_gradients",
+    _SAMPLED
+    + ", bn AS (SELECT batch_id, count(*) AS n FROM sb GROUP BY 1), g0 AS (SELECT o0.batch_id, o0.vid, dim, (exp(val) - CASE WHEN dim = label THEN 1 ELSE 0 END) / bn.n AS g FROM o0 JOIN bn USING (batch_id) JOIN v USING (vid))"
+    + ", q1 AS (SELECT y0.batch_id, 1 AS layer, y0.dim AS i, g0.dim AS j, sum(val * g) AS val FROM y0 JOIN g0 ON g0.batch_id = y0.batch_id AND g0.vid = y0.vid GROUP BY ALL)"
+    + ", gy AS (SELECT batch_id, vid, i AS dim, sum(g * p) AS g FROM g0 JOIN p1 ON j = dim GROUP BY 1, 2, 3)"
+    + ", gz AS (SELECT h.batch_id, h.src AS vid, dim, sum(w.w * g) AS g FROM h0 h JOIN w ON w.src = h.src AND w.dst = h.dst JOIN gy ON gy.batch_id = h.batch_id AND gy.vid = h.dst GROUP BY 1, 2, 3)"
+    + ", gr AS (SELECT gz.batch_id, gz.vid, gz.dim, CASE WHEN val > 0 THEN g ELSE 0 END AS g FROM gz JOIN z1 ON z1.batch_id = gz.batch_id AND z1.vid = gz.vid AND z1.dim = gz.dim)"
+    + ", q0 AS (SELECT y1.batch_id, 0 AS layer, y1.dim AS i, gr.dim AS j, sum(val * g) AS val FROM y1 JOIN gr ON gr.batch_id = y1.batch_id AND gr.vid = y1.vid GROUP BY ALL)"
+    + " SELECT batch_id, layer, i, j, round(val, 5) + 0.0 AS val FROM (SELECT * FROM q0 UNION ALL SELECT * FROM q1)",
+)(lambda s, d: _sampled_gradients(s, d))
+
+
+def _blocks(s, d):
+    return sample_blocks(T.graph(s, d), _batches(s, d), [5, 10])
+
+
+def _block_sum(s, d, use, given: str, to: str) -> DataFrame:
+    """An aggregation over hop 0 of all batches with features given at one side; local ids are turned to vertices again."""
+    blocks, batches = _blocks(s, d), _batches(s, d)
+    names = {"src": sources_of(blocks, 0), "dst": numbered_seeds(batches)}
+    x = names[given].join(features(s, d), "vid").select("batch_id", "local", "h")
+    return long(use(BlockAggregate(blocks, batches, 0, W64), x).join(names[to], ["batch_id", "local"]), "batch_id", "vid")
+
+
+def _fixed() -> list[np.ndarray]:
+    return [nn.fixed_weight(64, 16), nn.fixed_weight(16, 10, 1)]
+
+
+def _packed(s, d):
+    return sampled.pack(_blocks(s, d), _batches(s, d), features(s, d), T.vertices(s, d), 2)
+
+
+def _sampled_gradients(s, d) -> DataFrame:
+    at = F.posexplode("grads").alias("k", "val")
+    cut = 64 * 16
+    g = sampled.batch_gradients(_packed(s, d), _fixed()).select("batch_id", at).select("batch_id", (F.col("k") >= cut).cast("int").alias("layer"), (F.col("k") % cut).alias("k"), "val")
+    cols = F.when(F.col("layer") == 0, 16).otherwise(10)
+    return g.select("batch_id", "layer", F.floor(F.col("k") / cols).cast("int").alias("i"), (F.col("k") % cols).cast("int").alias("j"), rounded("val", 5).alias("val"))
+
 
 # models, forward with fixed weights
 
@@ -364,6 +446,15 @@ query("gcn_eager_two_layer", _final(_lsm(_agg(_mul(_re(_agg(_mul("f", 64, 32))),
 query("gcn_planned_two_layer", _final(_lsm(_mul(_agg(_re(_mul(_agg("f"), 64, 32))), 32, 10, 1))))(lambda s, d: _run(models.gcn_planned(T.graph(s, d), [64, 32, 10]), s, d))
 query("gat_layer", _gat("f", 64, 16, 0) + _final("y0"))(lambda s, d: _run(Chain(*models.gat(T.graph(s, d), [64, 16]).steps[:3]), s, d))
 query("gat_two_layer", _gat("f", 64, 16, 0) + _gat("y0", 16, 10, 1) + _final(_lsm("y1")))(lambda s, d: _run(models.gat(T.graph(s, d), [64, 16, 10]), s, d))
+# the same attention as a user's program, and one with four heads of four elements
+query("gat_recorded_two_layer", SQL["gat_two_layer"])(lambda s, d: _run(models.gat_recorded(T.graph(s, d), [64, 16, 10]), s, d))
+query(
+    "gat_heads_layer",
+    f", h AS (SELECT * FROM {_mul('f', 64, 16)}), q AS {_wt(32, 1)}, pl AS (SELECT vid, dim // 4 AS head, sum(val * w) AS p FROM h JOIN q ON i = dim GROUP BY 1, 2), pr AS (SELECT vid, dim // 4 AS head, sum(val * w) AS p FROM h JOIN q ON i = dim + 16 GROUP BY 1, 2)"
+    ", z AS (SELECT src, dst, head, CASE WHEN z > 0 THEN z ELSE 0.2 * z END AS s FROM (SELECT src, dst, pl.head, pl.p + pr.p AS z FROM e JOIN pl ON pl.vid = src JOIN pr ON pr.vid = dst AND pr.head = pl.head))"
+    ", x AS (SELECT src, dst, head, exp(s - max(s) OVER (PARTITION BY dst, head)) AS x FROM z), a AS (SELECT src, dst, head, x / sum(x) OVER (PARTITION BY dst, head) AS a FROM x)"
+    ", y AS (SELECT dst AS vid, dim, greatest(sum(a * val), 0) AS val FROM a JOIN h ON h.vid = src AND dim // 4 = head GROUP BY 1, 2) " + _final("y"),
+)(lambda s, d: _run(Chain(*models.gat(T.graph(s, d), [64, 16, 10], heads=4).steps[:2]), s, d))
 query("gin_layer", _final(_bn(_re(_re_mul := _mul(_re(_mul(_plus(_agg("f"), "f"), 64, 64)), 64, 32)))))(lambda s, d: _run(Chain(*models.gin(T.graph(s, d), [64, 32, 10]).steps[:6]), s, d))
 query("gin_gpu_layer", _final(_bn(_re_mul)))(lambda s, d: _run(Chain(*models.gin(T.graph(s, d), [64, 32], deep=False).steps[:5]), s, d))
 query("commnet_layer", _final(_re(_plus(_mul(_agg("f"), 64, 32), _mul("f", 64, 32, 1)))))(lambda s, d: _run(Chain(*models.commnet(T.graph(s, d), [64, 32]).steps[:2]), s, d))
@@ -383,7 +474,7 @@ for _name, _sizes in (("gcn", [64, 16, 10]), ("gcn_eager", [64, 16, 10]), ("gat"
 @query("train_gcn_sampled")
 def _sampled(s: SparkSession, d: str) -> DataFrame:
     g, v = runner.training_graph(T.graph(s, d)), T.vertices(s, d)
-    return training.train_sampled(lambda own: models.gcn(own, [64, 16, 10], norm=False), g, v.select("vid", "h"), v.select("vid", "label", "mask"), 64, [5, 10], 1)
+    return sampled.train_sampled(g, v.select("vid", "h"), v.select("vid", "label", "mask"), [64, 16, 10], 64, [5, 10], 1)
 
 
 def _measured(x: str) -> str:
@@ -395,15 +486,23 @@ def _measured(x: str) -> str:
     )
 
 
+_F4 = ", f4 AS (SELECT vid, dim, round(val, 4) AS val FROM f)"
+
+
 # the files of a configuration are written from the tables, features with four decimals, and its first epoch is measured
-@query("config_run", ", f4 AS (SELECT vid, dim, round(val, 4) AS val FROM f)" + _measured(_lsm(_mul(_agg(_re(_mul(_bn(_agg("f4")), 64, 16))), 16, 10, 1))))
-def _config(s: SparkSession, d: str) -> DataFrame:
+@query("config_run_gpu", _F4 + _measured(_lsm(_mul(_agg(_re(_mul(_agg("f4"), 64, 16))), 16, 10, 1))))
+def _config_gpu(s: SparkSession, d: str) -> DataFrame:
+    return _config(s, d, "GCN")
+
+
+@query("config_run", _F4 + _measured(_lsm(_mul(_agg(_re(_mul(_bn(_agg("f4")), 64, 16))), 16, 10, 1))))
+def _config(s: SparkSession, d: str, program: str = "GCNCPU") -> DataFrame:
     v, where = T.vertices(s, d), new_path(s, "config")
     write_binary(T.graph(s, d).edges, f"{where}/edges")
     write_vertices(v, f"{where}/features")
     v.select(F.concat_ws(" ", "vid", "label")).write.text(f"{where}/labels")
     v.select(F.concat_ws(" ", "vid", F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), F.col("mask") + 1))).write.text(f"{where}/masks")
-    lines = {"ALGORITHM": "GCNCPU", "VERTICES": v.count(), "LAYERS": "64-16-10", "EPOCHS": 1, "DROP_RATE": 0.0, "EDGE_FILE": f"{where}/edges", "FEATURE_FILE": f"{where}/features", "LABEL_FILE": f"{where}/labels", "MASK_FILE": f"{where}/masks"}
+    lines = {"ALGORITHM": program, "VERTICES": v.count(), "LAYERS": "64-16-10", "EPOCHS": 1, "DROP_RATE": 0.0, "EDGE_FILE": f"{where}/edges", "FEATURE_FILE": f"{where}/features", "LABEL_FILE": f"{where}/labels", "MASK_FILE": f"{where}/masks"}
     config = Config.parse("\n".join(f"{k}:{x}" for k, x in lines.items()))
     out = runner.run(s, config, init=nn.fixed_weight)
     return out.select("mask", "n", "correct", rounded("accuracy", 4).alias("accuracy"), rounded("loss", 4).alias("loss"))

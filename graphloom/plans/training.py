@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import nn
 from ..functions.optim import Adam
-from ..operators.graph import Graph
-from ..operators.sampling import expand, seed_batches
 from ..sources.shared import cut, discard
 from .layers import Layer, gradients, loss_gradient
 
@@ -45,38 +43,3 @@ def train(model: Layer, x: DataFrame, truth: DataFrame, epochs: int, optimiser=N
         step(model, optimiser, out, truth, n)
         discard(spark, held)
     return spark.createDataFrame(rows, f"epoch int, {MEASURED}")
-
-
-def train_sampled(build, graph: Graph, x: DataFrame, truth: DataFrame, batch_size: int, fanouts: list[int], epochs: int, optimiser=None) -> DataFrame:
-    """Mini-batches: hops are sampled for consecutive batches of training vertices, and the model runs on the union of a batch's hops with
-    the weights of the whole graph. build(graph) -> model; its weights carry over from batch to batch. After each epoch the model is
-    measured on the whole graph. (epoch, batch, mask, n, correct, accuracy, loss); batch is null where the whole graph is measured."""
-    spark, optimiser, kept, rows, held = x.sparkSession, optimiser or Adam(), None, [], []
-    batches = cut(seed_batches(truth.filter("mask = 0").select("vid"), batch_size))
-    hops = expand(graph.edges, batches, fanouts).select("batch_id", "src", "dst").distinct()
-    # rows of a batch lie together, so that a batch reads its own part of the files only
-    near = lambda df: cut(df.repartitionByRange("batch_id").sortWithinPartitions("batch_id"))
-    edges = near(hops.join(graph.norm_weights.dropDuplicates(["src", "dst"]), ["src", "dst"]))
-    ends = edges.select("batch_id", F.col("src").alias("vid")).union(edges.select("batch_id", "dst")).union(batches.select("batch_id", "vid")).distinct()
-    marked = ends.join(batches.withColumn("seed", F.lit(True)), ["batch_id", "vid"], "left").join(x, "vid").join(truth.select("vid", "label"), "vid")
-    vertices = near(marked.select("batch_id", "vid", "h", "label", F.when(F.col("seed"), 0).otherwise(3).alias("mask")))
-    sizes = {r["batch_id"]: r["n"] for r in batches.groupBy("batch_id").agg(F.count("*").alias("n")).collect()}
-
-    def carried(model: Layer) -> Layer:
-        for layer, w in zip(model.learned(), kept or []):
-            layer.weights = w
-        return model
-
-    for epoch in range(epochs):
-        for b, n in sorted(sizes.items()):
-            e, v = edges.filter(F.col("batch_id") == b), vertices.filter(F.col("batch_id") == b)
-            own = Graph(v.select("vid"), e.select("src", "dst"))
-            own.__dict__["norm_weights"] = e.select("src", "dst", "w")
-            model, marks = carried(build(own)), v.select("vid", "label", "mask")
-            out = cut(model.forward(v.select("vid", "h"), training=True), held=held)
-            rows += [(epoch, b, *r) for r in measure(out, marks.filter("mask = 0"))]
-            step(model, optimiser, out, marks, n)
-            discard(spark, held)
-            kept = [p.weights for p in model.learned()]
-        rows += [(epoch, None, *r) for r in measure(carried(build(graph)).forward(x, training=False), truth)]
-    return spark.createDataFrame(rows, f"epoch int, batch long, {MEASURED}")

@@ -32,10 +32,10 @@ def loss(out, truth):
     return -np.mean([h[r["vid"]][r["label"]] for r in y])
 
 
-@pytest.mark.parametrize("name", ["gcn", "gcn_eager", "gat", "gin", "commnet"])
+@pytest.mark.parametrize("name", ["gcn", "gcn_eager", "gat", "gat_recorded", "gat_heads", "gin", "commnet"])
 def test_gradients(setup, name):
     g, x, truth = setup
-    model = models.MODELS[name](g, [3, 2])
+    model = models.MODELS[name](g, [3, 4, 2] if name == "gat_heads" else [3, 2])
     out = model.forward(x)
     model.backward(loss_gradient(out, truth))
     grads = [{k: v.copy() for k, v in p.grads.items()} for p in model.layers() if p.weights]
