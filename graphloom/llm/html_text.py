@@ -279,16 +279,18 @@ class Wrapper:
         """The wrapper as text: # is a slot, ? an optional, + a repeated and * an optional repeated element or group."""
         groups = self.groups()
 
-        def one(path: str, repeated: bool) -> str:
+        def body(path: str) -> str:
             holder, _, key = path.rpartition("/")
             if key == "#":
                 text = self.text.get(holder)
-                body = "#" if text is None else f"“{text}”"
-            else:
-                body = f"<{key}>{inside(path)}</{key.split('.')[0]}>"
+                return "#" if text is None else f"“{text}”"
+            return f"<{key}>{inside(path)}</{key.split('.')[0]}>"
+
+        def one(path: str, repeated: bool) -> str:
+            holder = path.rpartition("/")[0]
             lacking = self.holders[path] < (self.elements[holder] if holder else self.pages)
             mark = {(False, False): "", (False, True): "?", (True, False): "+", (True, True): "*"}[repeated, lacking]
-            return f"({body}){mark}" if mark else body
+            return f"({body(path)}){mark}" if mark else body(path)
 
         def inside(path: str) -> str:
             out = []
@@ -296,7 +298,7 @@ class Wrapper:
                 if len(g) == 1:
                     out.append(one(f"{path}/{g[0]}", (path, g[0], g[0]) in self.order))
                 else:
-                    out.append("(" + "".join(f"({re.sub(r'[?+*]$', '', one(f'{path}/{k}', False))})?" for k in g) + ")+")
+                    out.append("(" + "".join(f"({body(f'{path}/{k}')})?" for k in g) + ")+")
             return "".join(out)
 
         return inside("")
