@@ -31,6 +31,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bundled(docs: DataFrame) -> DataFrame:
+    """(given, text, row): each row's columns but the text in one struct, so that no name of theirs clashes with an operator's own and columns
+    of any type go through. Rows are numbered, for good once the frame is written."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("given"), "text", F.monotonically_increasing_id().alias("row"))
+
+
+def unbundled(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*(F.col("text") if c == "text" else F.col(f"given.`{c}`").alias(c) for c in columns))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> U(32))

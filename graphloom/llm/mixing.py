@@ -3,14 +3,15 @@
 The words of a source, document after document, are packed into blocks of BLOCK words (the last one is shorter). The output is
 made of shards of SHARD_SLOTS slots. Each slot draws its source by a hashed number, so the counts of a shard are a multinomial
 draw of the target shares. Over all shards such counts stray from the targets; so what a source draws beyond its target's slots is
-given, slot by slot, to the sources that drew fewer than theirs, and each source ends at its target, to a block. The slots of a
-source are numbered through all shards; slot j of a source with n blocks is mapped to block p(j mod n) of its pass j div n, p being
+given, slot by slot, to the sources that drew fewer than theirs, and each source ends at its target, to a block. Which of its slots
+a source gives away, and to whom, is told by pseudorandom permutations of all of them, so no shard is changed more than another and
+each holds a draw of the target shares. The slots of a source are numbered through all shards; slot j of a source with n blocks is mapped to block p(j mod n) of its pass j div n, p being
 a swap-or-not permutation of 0..n-1 keyed by the source and the pass. Blocks then join the slots by (source, index). No source has
 more slots than two passes. Work grows with slots and blocks: shards and sources are never multiplied.
 
 Sources are ordered by code point, null last, with weights 5, 2, 1 repeating; they share 150 % of all words, and a source stops
 at 2 times its size (the excess goes to the others by weight). Packing needs running sums of sizes: they are taken within
-chunks of a source (chunks by hash of doc_id) and over the chunks' sums, so a source with a third of all rows is no hot group.
+chunks of a source (chunks by hash of doc_id and size) and over the chunks' sums, so a source with a third of all rows is no hot group.
 
 Null or empty text has size 0 and is taken 0 times. Rows with a null doc_id are kept. Equal doc_ids are told apart by their
 size only; extra columns are ignored by op4 and kept by the pipeline stage; an empty table gives an empty result.
@@ -21,8 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.vectors import running_sum
-from .common import SPACE, bounded, materialise, table
+from .common import SPACE, bounded, bundled, materialise, table, unbundled
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
@@ -75,12 +75,13 @@ def permuted(df: DataFrame, x: str, n: str, key: tuple[str, ...], out: str) -> D
 def packed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, source, size, ...) -> documents with `start` (words of their source before them; further columns break ties of
     doc_id and size), and the sources (key, source, source_size, weight, target)."""
-    chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
+    ties = [c for c in docs.columns if c not in ("doc_id", "source", "size")]
+    # all that orders rows tells their chunks apart, too: a repeated or null doc_id isn't one chunk
+    chunk = F.pmod(F.xxhash64("doc_id", "size", *ties), F.col("chunks"))
     rows = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / CHUNK).alias("chunks"))
     sources = targets(rows.select("source", "source_size")).join(rows.select(F.col("source").alias("s"), "chunks"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     sources = materialise(sources.withColumn("key", _key()), "mix-sources")
     d = docs.withColumn("key", _key()).join(sources.select("key", "chunks"), "key").withColumn("chunk", chunk)
-    ties = [c for c in docs.columns if c not in ("doc_id", "source", "size")]
     within = Window.partitionBy("key", "chunk").orderBy("doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     sums = d.groupBy("key", "chunk").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,19 +125,25 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     base = c.groupBy("key", "chunk").agg(F.sum("k").alias("held"))
     base = base.select("key", "chunk", F.coalesce(F.sum("held").over(before("key").orderBy("chunk")), F.lit(0)).alias("base"))
     c = c.withColumn("own", F.coalesce(F.sum("k").over(before("key", "chunk").orderBy("shard")), F.lit(0))).join(base, ["key", "chunk"])
-    known = bounded(share.select("key", "n", "quota"))
-    c = c.join(known, "key").withColumn("at", F.col("base") + F.col("own")).withColumn("kept", F.greatest(F.lit(0), F.least("k", F.col("quota") - F.col("at"))))
-    # slots that are left over, and those that sources lack, both numbered from 0
-    spare = running_sum(c.groupBy("shard").agg(F.sum(F.col("k") - F.col("kept")).alias("x")).filter("x > 0"), "shard", "x", "first")
-    spare = spare.select("shard", F.explode(F.expr("sequence(first, first + x - 1)")).alias("number"))
-    lack = share.join(counts.groupBy("key").agg(F.sum("k").alias("k")), "key", "left").withColumn("k", F.coalesce("k", F.lit(0))).withColumn("x", F.col("quota") - F.col("k")).filter("x > 0")
-    lack = lack.withColumn("first", F.coalesce(F.sum("x").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    lack = lack.select("key", "n", "k", F.posexplode(F.expr("sequence(first, first + x - 1)")).alias("i", "number"))
-    moved = spare.join(lack, "number").select("shard", "key", "n", (F.col("k") + F.col("i")).alias("at"), F.lit(1).cast("long").alias("kept"))
-    s = c.filter("kept > 0").select("shard", "key", "n", "at", "kept").union(moved)
+    total = counts.groupBy("key").agg(F.sum("k").alias("drawn"))
+    known = share.join(total, "key", "left").select("key", "n", "quota", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    known = materialise(known.withColumn("over", F.greatest(F.col("drawn") - F.col("quota"), F.lit(0))).withColumn("lack", F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))), "mix-known")
+    # slots that are given away, and those that sources lack, both numbered from 0
+    first = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spare, moved = known.filter("over > 0").select("key", first("over").alias("first")), known.agg(F.sum("over")).first()[0] or 0
+    lack = known.filter("lack > 0").select("key", "n", "drawn", "lack", first("lack").alias("first"))
+    lack = lack.select("key", "n", F.posexplode(F.expr("sequence(drawn, drawn + lack - 1)")).alias("i", "slot"), "first").select("key", "n", "slot", (F.col("first") + F.col("i")).alias("number"))
+    c = c.join(bounded(known.join(spare, "key", "left").select("key", "n", "quota", "drawn", "first")), "key").withColumn("at", F.col("base") + F.col("own"))
     # few rows make all slots: they are dealt out (by a fixed number, or adaptive execution would merge them again) before that
-    s = s.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "key")
-    s = s.select("shard", "key", "n", F.explode(F.expr("sequence(at, at + kept - 1)")).alias("slot")).filter(F.col("slot") < MOST * F.col("n"))
+    c = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "key")
+    s = c.select("shard", "key", "n", "quota", "drawn", "first", F.explode(F.expr("sequence(at, at + k - 1)")).alias("slot"))
+    plain = ["shard", "key", "n", "slot"]
+    # a source with more slots than its quota keeps those that a permutation of them puts below it, and numbers them so
+    more = materialise(permuted(s.filter("drawn > quota"), "slot", "drawn", ("key",), "place"), "mix-more")
+    given = more.filter("place >= quota").select("shard", (F.col("first") + F.col("place") - F.col("quota")).alias("from"), F.lit(max(1, moved)).cast("long").alias("moved"), F.lit("moved").alias("all"))
+    taken = materialise(permuted(given, "from", "moved", ("all",), "number"), "mix-moved").join(lack, "number").select(*plain)
+    s = s.filter("drawn <= quota").select(*plain).union(more.filter("place < quota").select("shard", "key", "n", F.col("place").alias("slot"))).union(taken)
+    s = s.filter(F.col("slot") < MOST * F.col("n"))
     s = s.withColumn("pass", F.floor(F.col("slot") / F.col("n"))).withColumn("x", F.pmod("slot", F.col("n")))
     # written here, as conditions on the index (of a join, say) would be pushed through all rounds and multiply them
     return materialise(permuted(s, "x", "n", ("key", "pass"), "index").select("shard", "key", "pass", "index"), "mix-slots")
@@ -169,19 +176,17 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     n_chars counted anew; other columns stay. The draw is that of mix(). Rows of which nothing is drawn go, as those without words
     do; a row is a document of its own, whatever its doc_id, and equal rows are drawn from one by one."""
     given = docs.columns
-    ids = docs.withColumn("__hash", F.xxhash64("doc_id", "text", "source")).withColumn("__row", F.monotonically_increasing_id())
-    docs = materialise(ids.withColumn("__size", n_words(F.col("text"))), "mix-docs")
-    _, _, pieces = draws(docs.select("doc_id", "source", F.col("__size").alias("size"), "__hash", "__row"))
-    drawn = pieces.groupBy("__row", "pass").agg(F.sort_array(F.collect_list(F.struct("piece_from", "piece_words"))).alias("__pieces")).drop("pass")
+    rows = materialise(bundled(docs).withColumn("size", n_words(F.col("text"))), "mix-docs")
+    field = lambda c: F.col(f"given.`{c}`").alias(c)
+    _, _, pieces = draws(rows.select(field("doc_id"), field("source"), "size", F.xxhash64("given.doc_id", "text", "given.source").alias("hash"), "row"))
+    drawn = pieces.groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("piece_from", "piece_words"))).alias("pieces")).drop("pass")
     words = F.filter(F.split("text", SPACE), lambda w: w != "")
-    both = docs.join(drawn, "__row")
     # the words are an argument of the outer function, so that a text is split once and not for each of its pieces
-    cut = lambda own: F.array_join(F.flatten(F.transform("__pieces", lambda p: F.slice(own, p.piece_from.cast("int") + 1, p.piece_words.cast("int")))), " ")
-    text = F.transform(F.array(words), cut)[0]
-    out = both.withColumn("text", text)
+    cut = lambda own: F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(own, p.piece_from.cast("int") + 1, p.piece_words.cast("int")))), " ")
+    out = rows.join(drawn, "row").withColumn("text", F.transform(F.array(words), cut)[0])
     if "n_chars" in given:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*given)
+        out = out.withColumn("given", F.col("given").withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return unbundled(out, given)
 
 
 def op4_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,11 @@ words as one shingle below five). Two documents are linked when 100 * |A & B| >=
    that every remaining pair of a bucket across components is met too. No pair within a component is ever made. The members of
    a bucket are dealt out in blocks of about PER_SALT, each block with its own copy of those outside.
 
-Null text and blank text: empty set, linked with nothing. A row with a null doc_id is compared as all others are; it comes last
-in its component, and component_id is null where no row has a doc_id (the first row is kept then). doc_ids are below 2^62. Repeated
-doc_ids give repeated rows; extra columns are ignored; an empty table gives an empty result.
+Rows are numbered in a written table first and compared by row; doc_ids are labels that are put on at the end, so null and repeated
+doc_ids are rows as all others. component_id is the smallest doc_id of a row's component (null comes last), and kept says whether a
+row has it: all rows of a component that repeat its smallest doc_id are kept. Where no row of a component has a doc_id, component_id
+is null and one row is kept, that with the least hash of its text. The result doesn't depend on the order of rows or partitions.
+Null text and blank text: empty set, linked with nothing. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,11 +41,9 @@ DEVIATIONS = 4.0
 PER_SALT = 256
 #: Pairs that are confirmed with one copy of a text.
 PER_TEXT = 64
-#: Rows without a doc_id are numbered from here on.
-NAMELESS = 1 << 62
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 _BAND_OF = (np.arange(SAMPLES, dtype=np.uint64) // U(ROWS) + U(1)) * U(0xA24BAED4963EE407)
-SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, filled int, sketch array<long>"
+SIGNED = "row long, doc_id long, tie long, n_shingles long, f1 long, f2 long, bands array<long>, filled int, sketch array<long>"
 
 
 def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
@@ -101,21 +101,22 @@ def _screen(a: str, b: str) -> F.Column:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["n_shingles", "f1", "f2", "bands", "filled", "sketch"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()))
     for batch in batches:
         for part, texts in slices(batch):
-            ids = part.column("doc_id").to_pylist()
             rows = []
-            for i, s in zip(ids, shingle_sets(texts)):
+            for s in shingle_sets(texts):
                 f1, f2 = int(as_long(mix(s).sum(keepdims=True))[0]), int(as_long(mix(s ^ U(0x5851F42D4C957F2D)).sum(keepdims=True))[0])
                 if len(s):
                     low = samples(s)
                     band = mix((mix(low) + _BAND_OF).reshape(BANDS, ROWS)[:, 0] + sum(mix(low).reshape(BANDS, ROWS)[:, j] * U(2 * j + 3) for j in range(1, ROWS)))
                     filled, sketch = odd_sketch(s)
-                    rows.append((i, len(s), f1, f2, as_long(band).tolist(), filled, sketch.tolist()))
+                    rows.append((len(s), f1, f2, as_long(band).tolist(), filled, sketch.tolist()))
                 else:
-                    rows.append((i, 0, 0, 0, [], 0, []))
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64())))], ["doc_id", "n_shingles", "f1", "f2", "bands", "filled", "sketch"])
+                    rows.append((0, 0, 0, [], 0, []))
+            labels = [part.column(c) for c in ("row", "doc_id", "tie")]
+            yield pa.RecordBatch.from_arrays([*labels, *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], ["row", "doc_id", "tie", *names])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], equal: bool = False) -> Iterator[pa.RecordBatch]:
@@ -135,28 +136,28 @@ def _confirm(batches: Iterator[pa.RecordBatch], equal: bool = False) -> Iterator
 
 
 def _links(pairs: DataFrame, texts: DataFrame, equal: bool = False) -> DataFrame:
-    """pairs(a, b), b the side that may occur in very many pairs -> the confirmed links (or equal sets), as (u, v)."""
+    """pairs(a, b), b the side that may occur in very many pairs, and texts(row, text) -> the confirmed links (or equal sets), as (u, v)."""
     degree = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / PER_TEXT).cast("int"))
     salted = join_by_key(pairs, degree, "b", pairs.count()).select("a", "b", F.expr("cast(pmod(xxhash64(a), salts) as int)").alias("salt"))
-    copies = texts.join(degree.withColumnRenamed("b", "doc_id"), "doc_id").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
-    near = salted.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(copies, ["b", "salt"])
+    copies = texts.join(degree.withColumnRenamed("b", "row"), "row").select(F.col("row").alias("b"), F.col("text").alias("text_b"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
+    near = salted.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(copies, ["b", "salt"])
     return materialise(near.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _confirm(b, equal), "u long, v long"), "dedup-links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.monotonically_increasing_id())
-    docs = docs.select(key.alias("doc_id"), "text")
-    signed = materialise(docs.mapInArrow(_sign, SIGNED), "dedup-signed")
-    classes = signed.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("b"), F.count("*").alias("members")).filter("members > 1")
+def by_row(rows: DataFrame) -> DataFrame:
+    """rows(row, doc_id, tie, text), a written table with different `row`s -> row, doc_id, n_shingles, component_id, first: whether the row
+    is the one of its component with the smallest (doc_id, tie, row), nulls last."""
+    signed = materialise(rows.select("row", "doc_id", "tie", "text").mapInArrow(_sign, SIGNED), "dedup-signed")
+    texts_of = lambda ids: rows.select("row", "text").join(ids, "row", "left_semi")
+    classes = signed.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("row").alias("b"), F.count("*").alias("members")).filter("members > 1")
     # written first: a join of two plain exchanges is one whose hot keys adaptive execution can split
     classes = materialise(classes.drop("members"), "dedup-classes")
-    alike = materialise(signed.select(F.col("doc_id").alias("a"), "f1", "f2", "n_shingles").join(classes, ["f1", "f2", "n_shingles"]).filter("a <> b").select("a", "b").distinct(), "dedup-alike")
-    ends = alike.select(F.col("a").alias("doc_id")).union(alike.select("b")).distinct()
-    equal = _links(alike, docs.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), True).select(F.col("u").alias("doc_id"), F.col("v").alias("rep"))
-    member = signed.select("doc_id", "n_shingles").join(equal, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    reps = signed.filter("n_shingles > 0").join(equal, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    reps = materialise(reps.select(F.col("doc_id").alias("id"), "bands", F.col("n_shingles").alias("n"), F.col("filled").alias("k"), F.col("sketch").alias("s")), "dedup-reps")
+    alike = materialise(signed.select(F.col("row").alias("a"), "f1", "f2", "n_shingles").join(classes, ["f1", "f2", "n_shingles"]).filter("a <> b").select("a", "b"), "dedup-alike")
+    ends = alike.select(F.col("a").alias("row")).union(alike.select("b")).distinct()
+    equal = _links(alike, texts_of(ends), True).select(F.col("u").alias("row"), F.col("v").alias("rep"))
+    member = signed.select("row", "doc_id", "tie", "n_shingles").join(equal, "row", "left").withColumn("rep", F.coalesce("rep", "row"))
+    reps = signed.filter("n_shingles > 0").join(equal, "row", "left_anti")
+    reps = materialise(reps.select(F.col("row").alias("id"), "bands", F.col("n_shingles").alias("n"), F.col("filled").alias("k"), F.col("sketch").alias("s")), "dedup-reps")
     named = lambda x: reps.select(F.col("id").alias(x), *(F.col(c).alias(c + x) for c in "nks"))
 
     banded = reps.select("id", F.explode("bands").alias("bucket"))
@@ -166,8 +167,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = shared.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("i"))).alias("h")).select("bucket", (-F.col("h.i")).alias("b"))
     met = shared.join(hubs, "bucket").select(F.col("id").alias("a"), "b").filter("a <> b").distinct()
     tried = materialise(met.join(named("a"), "a").join(named("b"), "b").filter(_screen("a", "b")).select("a", "b"), "dedup-tried")
-    texts = docs.join(weight.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = materialise(texts, "dedup-text")
+    texts = materialise(texts_of(weight.select(F.col("id").alias("row"))), "dedup-text")
     links = _links(tried, texts)
     label = materialise(components(links), "dedup-label")
 
@@ -188,9 +188,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = _links(materialise(rest.join(done, ["a", "b"], "left_anti"), "dedup-more"), texts)
     label = components(links.union(more))
-    done = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
-    return done.select(named("doc_id").alias("doc_id"), "n_shingles", named("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    done = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    done = materialise(done.select("row", "doc_id", "tie", "n_shingles", "component"), "dedup-done")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "tie", "row")
+    groups = done.groupBy("component").agg(F.min(order).alias("least"), F.count("*").alias("n")).filter("n > 1")
+    groups = materialise(groups.select("component", "n", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("least")), "dedup-groups")
+    grouped = join_by_key(done, groups, "component", done.count()).select("row", "doc_id", "n_shingles", "component_id", (F.col("row") == F.col("least")).alias("first"))
+    alone = done.join(groups.select("component"), "component", "left_anti")
+    return grouped.union(alone.select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    out = by_row(materialise(rows, "dedup-rows"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & F.col("first")).alias("kept"))
 
 
 def op8_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
