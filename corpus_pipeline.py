@@ -11,26 +11,25 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate as _clean
 from graphloom.llm import language_id, mixing, near_dedup, repair_tokens
-from graphloom.llm.common import materialise, table
+from graphloom.llm.common import bundled, materialise, table, unbundled
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in whose text a language is recognised (those without any letter are rejected). Each row is judged by its own text:
     rows with a null doc_id are judged too, and of a repeated doc_id only the rows without a language go."""
     known = language_id.train(docs.filter(~language_id.held_out()))
-    return language_id.predict(docs, *known, carry=docs.columns).filter("lang_pred <> 'und'").select(*docs.columns)
+    found = language_id.predict(bundled(docs), *known, carry=["given", "text"]).filter("lang_pred <> 'und'")
+    return unbundled(found, docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates, that with the smallest doc_id (null comes last; equal doc_ids by a hash of all
-    columns). Rows, not doc_ids, are compared: rows of a repeated or null doc_id stay if their texts aren't near duplicates, and so
-    do all rows without words."""
-    ties = docs.withColumn("__tie", F.xxhash64(*docs.columns)).withColumn("__at", F.monotonically_increasing_id())
-    # numbers of rows in this order stand for doc_ids
-    rows = ties.orderBy(F.asc_nulls_last("doc_id"), "__tie", "__at").drop("__tie", "__at").withColumn("__row", F.monotonically_increasing_id())
-    rows = materialise(rows, "dedup-rows")
-    kept = near_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    """One row of each group of near duplicates, that with the smallest doc_id (null comes last; equal doc_ids by a hash of text, lang
+    and source, and rows that are equal in these as they come). Rows, not doc_ids, are compared: rows of a repeated or null doc_id
+    stay if their texts aren't near duplicates, and so do all rows without words."""
+    rows = materialise(bundled(docs), "dedup-given")
+    told = [F.col("text"), *(F.col(f"given.`{c}`") for c in ("lang", "source") if c in docs.columns)]
+    judged = near_dedup.by_row(rows.select("row", F.col("given.doc_id").cast("long").alias("doc_id"), F.xxhash64(*told).alias("tie"), "text"))
+    return unbundled(rows.join(judged.filter("first").select("row"), "row", "left_semi"), docs.columns)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +60,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+def run_counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, int, int]]]:
+    """The result, and (stage, rows before, rows after) for each stage. Tables are written anyway, so rows are counted from their footers."""
+    docs, counts = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
+        before = counts[-1][2] if counts else docs.count()
         docs = materialise(stage(spark, docs, sf_dir), name)
-    return docs
+        counts.append((name, before, docs.count()))
+    return docs, counts
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_counted(spark, sf_dir)[0]
