@@ -85,6 +85,31 @@ class Graph:
         """(p, vid): the sources that partition p needs for the in-edges of its vertices."""
         return self.edges.select(owner(F.col("dst")).alias("p"), F.col("src").alias("vid")).distinct()
 
+    def mirror_slots(self, owner: Callable[[Column], Column]) -> DataFrame:
+        """(p, vid, slot): mirrored_at() with a dense number in each partition, in the order of vid."""
+        d = running_sum(self.mirrored_at(owner).withColumn("one", F.lit(1)), "vid", "one", "slot", group=("p",))
+        return d.select("p", "vid", F.col("slot").cast("long").alias("slot"))
+
+    def slot_offsets(self, owner: Callable[[Column], Column]) -> DataFrame:
+        """(p, slot, vid, start, degree): the compressed rows of each partition. A row is a mirror of a source, numbered by slot, and its
+        edges are those into the partition's vertices."""
+        degree = self.edges.groupBy(owner(F.col("dst")).alias("p"), F.col("src").alias("vid")).agg(F.count("*").alias("degree"))
+        rows = self.mirror_slots(owner).join(degree, ["p", "vid"])
+        return running_sum(rows, "slot", "degree", "start", group=("p",)).select("p", "slot", "vid", F.col("start").cast("long").alias("start"), "degree")
+
+    def slot_edges(self, owner: Callable[[Column], Column]) -> DataFrame:
+        """(p, slot, place, dst): the edges of slot_offsets(), each at its place in the partition, a row's in the order of dst."""
+        rows = self.slot_offsets(owner).select("p", F.col("vid").alias("src"), "slot", "start")
+        own = F.row_number().over(Window.partitionBy("p", "src").orderBy("dst")) - 1
+        e = self.edges.withColumn("p", owner(F.col("dst"))).withColumn("own", own).join(rows, ["p", "src"])
+        return e.select("p", "slot", (F.col("start") + F.col("own")).alias("place"), "dst")
+
+    def message_lists(self, owner: Callable[[Column], Column]) -> DataFrame:
+        """(owner, needer, place, vid, slot): the vertices that a partition sends to another one (or needs itself), in order, and the slot that
+        each takes there."""
+        m = self.mirror_slots(owner).select(owner(F.col("vid")).alias("owner"), F.col("p").alias("needer"), "vid", "slot").withColumn("one", F.lit(1))
+        return running_sum(m, "vid", "one", "place", group=("owner", "needer")).select("owner", "needer", F.col("place").cast("long").alias("place"), "vid", "slot")
+
     def chunks(self, owner: Callable[[Column], Column]) -> DataFrame:
         """(psrc, pdst, edges): edges between partitions."""
         return self.edges.groupBy(owner(F.col("src")).alias("psrc"), owner(F.col("dst")).alias("pdst")).agg(F.count("*").alias("edges"))

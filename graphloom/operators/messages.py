@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import Graph
-from .vectors import dot, fold_vectors, over_vertices, scale, sum_vectors, zeros
+from .vectors import WIDE, dot, fold_vectors, over_vertices, scale, sum_vectors, zeros
 
 
 def at(edges: DataFrame, x: DataFrame, end: str, name: str) -> DataFrame:
@@ -77,7 +77,12 @@ class GatherExtreme:
         return over_vertices(self.graph.vertices, y, "dst", self.width)
 
     def sources(self, m: DataFrame) -> DataFrame:
-        """(dst, from): for each element the src whose message was taken."""
+        """(dst, from): for each element the src whose message was taken. Wide vectors are folded twice, in parts: to their extremes, and to
+        the smallest src that has each of them."""
+        if self.width > WIDE:
+            top = fold_vectors(m, "dst", self.width, F.max if self.kind == "max" else F.min).withColumnRenamed("h", "__top")
+            own = F.zip_with("m", "__top", lambda v, t: F.when(v == t, F.col("src")))
+            return fold_vectors(m.join(top, "dst").select("dst", own.alias("m")), "dst", self.width, F.min).withColumnRenamed("h", "from")
         sign = 1 if self.kind == "max" else -1
         best = [F.max(F.struct((F.col("m")[i] * sign).alias("v"), (-F.col("src")).alias("s"))) for i in range(self.width)]
         return m.groupBy("dst").agg(F.array(*best).alias("b")).select("dst", F.transform("b", lambda s: -s.s).alias("from"))
@@ -139,6 +144,33 @@ class Aggregate:
         return at(at(self.weights.select("src", "dst"), x, "src", "a"), g, "dst", "b").select("src", "dst", dot(F.col("a"), F.col("b")).alias("w"))
 
 
+class BalancedAggregate(Aggregate):
+    """Aggregate for graphs with hubs. Ends with more than one in SHARE of all edges, fewer than SHARE of them, are hot: the rows of hot
+    giving ends are broadcast to their edges instead of gathering these in one task, and edges of hot receiving ends are summed by SALTS
+    shares first. The rest is shuffled as usual."""
+
+    SHARE, SALTS = 1024, 64
+
+    def hot(self, end: str) -> DataFrame:
+        """(end): fewer than SHARE ids, whatever the graph."""
+        total = self.weights.count()
+        return self.weights.groupBy(end).agg(F.count("*").alias("__n")).filter(F.col("__n") > max(16, total // self.SHARE)).select(end)
+
+    def messages(self, x: DataFrame, given: str) -> DataFrame:
+        """The edges with the vector m of their giving end."""
+        x = x.select(F.col("vid").alias(given), F.col("h").alias("m"))
+        hubs = F.broadcast(self.hot(given))
+        few = F.broadcast(x.join(hubs, given, "left_semi"))
+        return self.weights.join(few, given).unionByName(self.weights.join(hubs, given, "left_anti").join(x, given))
+
+    def _sum(self, x: DataFrame, given: str, to: str) -> DataFrame:
+        hubs = F.broadcast(self.hot(to).withColumn("__hub", F.lit(True)))
+        salt = F.when(F.col("__hub"), F.pmod(F.xxhash64(given), F.lit(self.SALTS))).otherwise(0)
+        m = self.messages(x, given).join(hubs, to, "left").withColumn("__salt", salt)
+        first = sum_vectors(m, [to, "__salt"], self.width, weight=F.col("w")).withColumnRenamed("h", "m")
+        return over_vertices(self.graph.vertices, sum_vectors(first, to, self.width), to, self.width)
+
+
 def norm_aggregate(graph: Graph, width: int) -> Aggregate:
     """Aggregation with the degree-normalised weights."""
     return Aggregate(graph, width, graph.norm_weights)

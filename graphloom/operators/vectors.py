@@ -63,12 +63,12 @@ def dot(a: Column, b: Column, width: int | None = None) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def running_sum(df: DataFrame, key: str, value: str, out: str, chunk: int = 1 << 16) -> DataFrame:
-    """Exclusive running sum of `value` in the order of the integer `key`. Sums run within chunks of the key range and over
-    the chunks' totals, so no task sees more than a chunk or one row per chunk."""
+def running_sum(df: DataFrame, key: str, value: str, out: str, chunk: int = 1 << 16, group: Sequence[str] = ()) -> DataFrame:
+    """Exclusive running sum of `value` in the order of the integer `key` (in each group, if columns are given). Sums run within chunks of
+    the key range and over the chunks' totals, so no task sees more than a chunk or one row per chunk."""
     d = df.withColumn("__c", F.floor(F.col(key) / chunk))
     before = lambda *p: Window.partitionBy(*p).rowsBetween(Window.unboundedPreceding, -1)
-    totals = d.groupBy("__c").agg(F.sum(value).alias("__t"))
-    base = totals.select("__c", F.coalesce(F.sum("__t").over(before().orderBy("__c")), F.lit(0)).alias("__b"))
-    own = F.coalesce(F.sum(value).over(before("__c").orderBy(key)), F.lit(0))
-    return d.withColumn("__o", own).join(base, "__c").withColumn(out, F.col("__b") + F.col("__o")).drop("__c", "__b", "__o")
+    totals = d.groupBy(*group, "__c").agg(F.sum(value).alias("__t"))
+    base = totals.select(*group, "__c", F.coalesce(F.sum("__t").over(before(*group).orderBy("__c")), F.lit(0)).alias("__b"))
+    own = F.coalesce(F.sum(value).over(before(*group, "__c").orderBy(key)), F.lit(0))
+    return d.withColumn("__o", own).join(base, [*group, "__c"]).withColumn(out, F.col("__b") + F.col("__o")).drop("__c", "__b", "__o")

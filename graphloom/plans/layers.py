@@ -26,8 +26,8 @@ def with_gradient(x: DataFrame, g: DataFrame) -> DataFrame:
 
 
 def outer_sums(frames: list[tuple[DataFrame, int, int]]) -> list[np.ndarray]:
-    """The sum of h^T g over the rows of each frame (h, g), all in one job: a product per batch, a sum per partition, and the partitions'
-    sums on the driver, which holds the weights of the same shapes."""
+    """The sum of h^T g over the rows of each frame (h, g), all in one job: a product per batch, a sum per partition, and a tree of sums
+    whose last few are added on the driver, which holds the weights of the same shapes."""
     sizes = [(r, c) for _, r, c in frames]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,13 +45,28 @@ def outer_sums(frames: list[tuple[DataFrame, int, int]]) -> list[np.ndarray]:
     every = tagged[0]
     for t in tagged[1:]:
         every = every.union(t)
-    long = every.mapInArrow(run, "tag int, s array<double>").select("tag", F.posexplode("s").alias("i", "v"))
     out = [np.zeros(r * c) for r, c in sizes]
-    for r in long.groupBy("tag", "i").agg(F.sum("v").alias("v")).collect():
-        out[r["tag"]][r["i"]] = r["v"]
+    for r in tree_sum(every.mapInArrow(run, "tag int, s array<double>")).collect():
+        out[r["tag"]] += r["s"]
     return [o.reshape(s) for o, s in zip(out, sizes)]
 
 
+def tree_sum(parts: DataFrame, fan: int = 16) -> DataFrame:
+    """(tag, s): at most `fan` arrays a tag whose sum is that of all arrays with the tag. Arrays are added up as a whole in one more
+    step, dealt out to `fan` tasks where there are more partitions; an entry is never a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {}
+        for b in batches:
+            for i, tag in enumerate(b.column("tag").to_pylist()):
+                s = b.column("s")[i].values.to_numpy()
+                total[tag] = total[tag] + s if tag in total else s
+        for tag, s in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([tag], pa.int32()), pa.array([s], pa.list_(pa.float64()))], ["tag", "s"])
+
+    return parts.repartition(fan).mapInArrow(run, "tag int, s array<double>")
+
+
 class Layer:
     #: Whether what comes out of the forward and of the backward pass is worth a table while training.
     cuts = (False, False)

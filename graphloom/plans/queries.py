@@ -14,14 +14,15 @@ from ..operators import messages as M
 from ..operators import sampling
 from ..operators.blocks import BlockAggregate, numbered_seeds, sample_blocks, sources_of
 from ..operators.graph import Graph, owner_of, partition_bounds
+from ..operators.partition import partition
 from ..operators.vectors import fold_vectors, scale, to_long
 from ..sources import generators
 from ..sources import tables as T
-from ..sources.edge_files import read_binary, write_binary
+from ..sources.edge_files import prepare_numbered, read_binary, write_binary
 from ..sources.shared import new_path
-from ..sources.vertex_files import Config, write_vertices
+from ..sources.vertex_files import Config, read_vertices, write_vertices
 from . import models, runner, sampled, training
-from .layers import Chain
+from .layers import Chain, Linear, LogSoftmax
 
 W64 = T.WIDTH
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +106,13 @@ query("csr_offsets", _OFFSETS.format("src"))(lambda s, d: T.plain_graph(s, d).of
 query("edge_ids", "SELECT src, dst, row_number() OVER (ORDER BY dst, src) - 1 AS eid FROM e")(lambda s, d: T.graph(s, d).edge_ids())
 query("mirror_index", "SELECT src AS vid, row_number() OVER (ORDER BY src) - 1 AS slot FROM (SELECT DISTINCT src FROM et)")(lambda s, d: T.plain_graph(s, d).mirrors())
 query("mirror_semijoin", "SELECT DISTINCT CAST(dst // 100 AS BIGINT) AS p, src AS vid FROM et")(lambda s, d: T.plain_graph(s, d).mirrored_at(lambda v: F.floor(v / 100)))
+_OWN = lambda v: F.floor(v / 100)
+_SLOTS = ", ms AS (SELECT p, vid, row_number() OVER (PARTITION BY p ORDER BY vid) - 1 AS slot FROM (SELECT DISTINCT CAST(dst // 100 AS BIGINT) AS p, src AS vid FROM et)) "
+_OFFS = _SLOTS + ", mo AS (SELECT ms.p, slot, vid, CAST(coalesce(sum(degree) OVER (PARTITION BY ms.p ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, degree FROM ms JOIN (SELECT CAST(dst // 100 AS BIGINT) AS p, src, count(*) AS degree FROM et GROUP BY 1, 2) d ON d.p = ms.p AND d.src = vid) "
+query("mirror_slots", _SLOTS + "SELECT p, vid, slot FROM ms")(lambda s, d: T.plain_graph(s, d).mirror_slots(_OWN))
+query("slot_offsets", _OFFS + "SELECT p, slot, vid, start, degree FROM mo")(lambda s, d: T.plain_graph(s, d).slot_offsets(_OWN))
+query("slot_edges", _OFFS + "SELECT mo.p, slot, start + row_number() OVER (PARTITION BY mo.p, mo.vid ORDER BY dst) - 1 AS place, dst FROM et JOIN mo ON mo.p = CAST(dst // 100 AS BIGINT) AND mo.vid = src")(lambda s, d: T.plain_graph(s, d).slot_edges(_OWN))
+query("message_lists", _SLOTS + "SELECT CAST(vid // 100 AS BIGINT) AS owner, p AS needer, row_number() OVER (PARTITION BY CAST(vid // 100 AS BIGINT), p ORDER BY vid) - 1 AS place, vid, slot FROM ms")(lambda s, d: T.plain_graph(s, d).message_lists(_OWN))
 query("chunk_edge_counts", "SELECT CAST(src // 100 AS BIGINT) AS psrc, CAST(dst // 100 AS BIGINT) AS pdst, count(*) AS edges FROM e GROUP BY ALL")(lambda s, d: T.graph(s, d).chunks(lambda v: F.floor(v / 100)))
 query("owner_lookup", "SELECT vid, CASE WHEN vid >= 300 THEN 3 WHEN vid >= 200 THEN 2 WHEN vid >= 64 THEN 1 ELSE 0 END AS part FROM v")(lambda s, d: T.vertices(s, d).select("vid", owner_of([0, 64, 200, 300, 1 << 40])(F.col("vid")).alias("part")))
 query(
@@ -201,6 +209,17 @@ query("agg_unweighted", _fill("SELECT dst AS vid, dim, sum(val) AS val FROM et J
 query("norm_agg", "SELECT dst AS vid, dim, round(sum(w * val), 6) + 0.0 AS val FROM w JOIN f ON f.vid = src GROUP BY 1, 2")(lambda s, d: long(M.norm_aggregate(T.graph(s, d), W64).forward(features(s, d))))
 query("norm_agg_bwd", "SELECT src AS vid, dim, round(sum(w * val), 6) + 0.0 AS val FROM w JOIN f ON f.vid = dst GROUP BY 1, 2")(lambda s, d: long(M.norm_aggregate(T.graph(s, d), W64).backward(features(s, d))))
 
+# all vertices of orders lead to vertex 0, and it leads to all customers: two hubs
+_STAR = ", st AS (SELECT DISTINCT o_orderkey % n AS src, CAST(0 AS BIGINT) AS dst FROM orders, n UNION SELECT CAST(0 AS BIGINT), o_custkey % n FROM orders, n UNION SELECT vid, vid FROM v), so AS (SELECT src, count(*) AS o FROM st GROUP BY 1), si AS (SELECT dst, count(*) AS i FROM st GROUP BY 1), sw AS (SELECT st.src, st.dst, 1 / (sqrt(o) * sqrt(i)) AS w FROM st JOIN so ON so.src = st.src JOIN si ON si.dst = st.dst) "
+query("balanced_norm_agg", "SELECT dst AS vid, dim, round(sum(w * val), 6) + 0.0 AS val FROM w JOIN f ON f.vid = src GROUP BY 1, 2")(lambda s, d: long(_balanced(T.graph(s, d)).forward(features(s, d))))
+query("star_norm_agg", _STAR + "SELECT dst AS vid, dim, round(sum(w * val), 6) + 0.0 AS val FROM sw JOIN f ON f.vid = src GROUP BY 1, 2")(lambda s, d: long(_balanced(T.star(s, d)).forward(features(s, d))))
+query("star_norm_agg_bwd", _STAR + "SELECT src AS vid, dim, round(sum(w * val), 6) + 0.0 AS val FROM sw JOIN f ON f.vid = dst GROUP BY 1, 2")(lambda s, d: long(_balanced(T.star(s, d)).backward(features(s, d))))
+
+
+def _balanced(g: Graph) -> M.BalancedAggregate:
+    return M.BalancedAggregate(g, W64, g.norm_weights)
+
+
 #: A signed weight of every edge, standing for one that is learned.
 _A = "((src * 13 + dst * 17) % 23 - 11) / 7.0"
 
@@ -284,20 +303,48 @@ query("row_sum", "SELECT src, dst, round(sum(val), 6) + 0.0 AS val FROM e JOIN f
 query("add_scale", "SELECT vid, dim, round(val + 0.5 * val, 6) + 0.0 AS val FROM f")(lambda s, d: long(features(s, d).select("vid", F.zip_with("h", scale(F.col("h"), F.lit(0.5)), lambda a, b: a + b).alias("h"))))
 
 
-def _step(spark: SparkSession, optimiser, steps: int) -> DataFrame:
-    """A weight of 4 x 3 after some steps with the gradient cos(i + 2 j)."""
-    w, g = nn.fixed_weight(4, 3), np.cos(np.arange(4)[:, None] + 2 * np.arange(3)[None, :])
-    weights = {"w": w}
-    for _ in range(steps):
-        weights = optimiser.update(weights, {"w": g})
-    rows = [(i, j, float(weights["w"][i, j])) for i in range(4) for j in range(3)]
-    return spark.createDataFrame(rows, "i int, j int, w double").select("i", "j", rounded("w").alias("w"))
+#: Steps of an optimiser that starts with the fixed weight and follows the loss of a linear classifier over the vertices of mask 0.
+STEPS = 2
+
+
+def _steps(s: SparkSession, d: str, optimiser) -> DataFrame:
+    v, model = T.vertices(s, d), Chain(Linear(nn.fixed_weight(64, 10)), LogSoftmax())
+    x, truth = v.select("vid", "h"), v.select("vid", "label", "mask")
+    n = truth.filter("mask = 0").count()
+    for _ in range(STEPS):
+        training.step(model, optimiser, model.forward(x), truth, n)
+    w = model.learned()[0].weights["w"]
+    rows = [(i, j, float(w[i, j])) for i in range(64) for j in range(10)]
+    return s.createDataFrame(rows, "i int, j int, w double").select("i", "j", rounded("w", 5).alias("w"))
+
+
+def _steps_sql(move) -> str:
+    """Chained steps: gradients g of the loss at the weights w, with moments m and v, and move(t) as (m, v, w) of step t."""
+    out = f", w0 AS (SELECT i, j, w, 0.0 AS m, 0.0 AS v FROM {_wt(64, 10)} k), tr AS (SELECT f.vid, dim, val, label FROM f JOIN v ON v.vid = f.vid WHERE mask = 0), tn AS (SELECT count(DISTINCT vid) AS c FROM tr)"
+    for t in range(STEPS):
+        m, v, w = move(t)
+        out += (
+            f", a{t} AS (SELECT vid, label, j, sum(val * w) AS z FROM tr JOIN w{t} ON i = dim GROUP BY 1, 2, 3), b{t} AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vid)) AS x FROM a{t})"
+            f", c{t} AS (SELECT vid, j, (x / sum(x) OVER (PARTITION BY vid) - CASE WHEN j = label THEN 1 ELSE 0 END) / (SELECT c FROM tn) AS d FROM b{t})"
+            f", g{t} AS (SELECT w{t}.i, w{t}.j, w, m, v, g AS p, g + 1e-4 * w AS g FROM w{t} JOIN (SELECT dim AS i, j, sum(val * d) AS g FROM tr JOIN c{t} USING (vid) GROUP BY 1, 2) q ON q.i = w{t}.i AND q.j = w{t}.j)"
+            f", h{t} AS (SELECT i, j, w, p, {m} AS m, {v} AS v FROM g{t}), w{t + 1} AS (SELECT i, j, {w} AS w, m, v FROM h{t})"
+        )
+    return out + f" SELECT i, j, round(w, 5) + 0.0 AS w FROM w{STEPS}"
+
+
+def _adam(t: int) -> tuple[str, str, str]:
+    return "0.9 * m + 0.1 * g", "0.999 * v + 0.001 * g * g", f"w - 0.01 * (m / (1 - power(0.9, {t + 1}))) / (sqrt(v / (1 - power(0.999, {t + 1}))) + 1e-9)"
+
+
+def _adam_compat(t: int) -> tuple[str, str, str]:
+    a, b = f"power(0.9, {t + 1})", f"power(0.999, {t + 1})"
+    rate = f"0.01 * sqrt(1 - power(0.999, {t})) / (1 - power(0.9, {t}))" if t else "0.01"
+    return f"{a} * m + (1 - {a}) * g", f"{b} * v + (1 - {b}) * g * g", f"w - {rate} * m / (sqrt(v) + 1e-9)"
 
 
-_WG = f"(SELECT i, j, w, cos(i + 2 * j) + 1e-4 * w AS g FROM {_wt(4, 3)} k)"
-query("adam_step", f"SELECT i, j, round(w - 0.01 * g / (sqrt(g * g) + 1e-9), 6) + 0.0 AS w FROM {_WG}")(lambda s, d: _step(s, Adam(), 1))
-query("adam_step_compat", f"SELECT i, j, round(w - 0.01 * (0.1 * g) / (sqrt(0.001 * g * g) + 1e-9), 6) + 0.0 AS w FROM {_WG}")(lambda s, d: _step(s, Adam(compat=True), 1))
-query("sgd_step", f"SELECT i, j, round((w - 0.01 * cos(i + 2 * j)) * (1 - 1e-4), 6) + 0.0 AS w FROM {_wt(4, 3)} k")(lambda s, d: _step(s, SGD(), 1))
+query("adam_step", _steps_sql(_adam))(lambda s, d: _steps(s, d, Adam()))
+query("adam_step_compat", _steps_sql(_adam_compat))(lambda s, d: _steps(s, d, Adam(compat=True)))
+query("sgd_step", _steps_sql(lambda t: ("m", "v", "(w - 0.01 * p) * (1 - 1e-4)")))(lambda s, d: _steps(s, d, SGD()))
 
 # sampling
 
@@ -524,6 +571,17 @@ query(
 )(lambda s, d: generators.random_graph(s, T.vertices(s, d).count(), 8).edges)
 
 
+@query("cut_partition")
+def _parts(s: SparkSession, d: str) -> DataFrame:
+    """The cut-aware partition in four parts: each part's vertices and edges, and how many of these lead to other parts."""
+    g = T.graph(s, d)
+    parts = partition(g, 4)
+    at = lambda end: parts.select(F.col("vid").alias(end), F.col("part").alias(f"p{end}"))
+    e = g.without_self_loops().edges.join(at("src"), "src").join(at("dst"), "dst")
+    e = e.groupBy(F.col("psrc").alias("part")).agg(F.count("*").alias("edges"), F.count(F.when(F.col("psrc") != F.col("pdst"), 1)).alias("cut"))
+    return parts.groupBy("part").agg(F.count("*").alias("vertices")).join(e, "part", "left")
+
+
 @query("partition_offsets")
 def _bounds(s: SparkSession, d: str) -> DataFrame:
     b = partition_bounds(T.graph(s, d), 4, page=64)
@@ -535,6 +593,46 @@ def _binary(s: SparkSession, d: str) -> DataFrame:
     return read_binary(s, write_binary(T.graph(s, d).edges))
 
 
+@query("weighted_edge_roundtrip", "SELECT src, dst, CAST(CAST(w AS FLOAT) AS DOUBLE) AS w FROM sup")
+def _weighted(s: SparkSession, d: str) -> DataFrame:
+    return read_binary(s, write_binary(T.supply(s, d), weighted=True), weighted=True)
+
+
+@query("weighted_file_agg", ", x AS (SELECT dst AS vid, sum(w * (src % 10)) AS a, sum(w * (src % 7)) AS b FROM (SELECT src, dst, CAST(CAST(w AS FLOAT) AS DOUBLE) AS w FROM sup) GROUP BY 1) SELECT vid, 0 AS dim, round(a, 6) + 0.0 AS val FROM x UNION ALL SELECT vid, 1, round(b, 6) + 0.0 FROM x")
+def _weighted_sum(s: SparkSession, d: str) -> DataFrame:
+    """Sums over the weights of a file."""
+    e = _weighted(s, d)
+    x = e.select(F.col("src").alias("vid")).distinct().select("vid", F.array((F.col("vid") % 10).cast("double"), (F.col("vid") % 7).cast("double")).alias("h"))
+    return long(M.Aggregate(Graph(e.select(F.col("dst").alias("vid")).distinct(), e.select("src", "dst")), 2, e).forward(x))
+
+
+def _numbered_files(s: SparkSession, d: str) -> str:
+    """The tables as the files of a numbered data set, and the files that training reads, made from these."""
+    v, where = T.vertices(s, d), new_path(s, "numbered")
+    lines = v.select("vid", F.array_join(F.transform("h", lambda x: F.format_string("%.4f", x)), ",").alias("f"), F.col("label").cast("string").alias("y"), "mask")
+    # line numbers are places in files by name: one range of vertices a file
+    ordered = lines.repartitionByRange(4, "vid").sortWithinPartitions("vid")
+    ordered.select("f").write.text(f"{where}/lines")
+    ordered.select("y").write.text(f"{where}/classes")
+    splits = {word: f"{where}/{word}" for word in ("train", "val", "test")}
+    for k, path in enumerate(splits.values()):
+        v.filter(F.col("mask") == k).select(F.col("vid").cast("string")).write.text(path)
+    T.plain_graph(s, d).edges.select(F.concat_ws(",", "src", "dst")).write.text(f"{where}/pairs")
+    prepare_numbered(s, f"{where}/pairs", f"{where}/lines", f"{where}/classes", splits, f"{where}/ready")
+    return f"{where}/ready"
+
+
+@query("numbered_flow_edges", "SELECT src, dst FROM e0 WHERE src <> dst UNION SELECT dst, src FROM e0 WHERE src <> dst UNION SELECT vid, vid FROM v")
+def _flow_edges(s: SparkSession, d: str) -> DataFrame:
+    return read_binary(s, f"{_numbered_files(s, d)}/edges")
+
+
+@query("numbered_flow_vertices", "SELECT f.vid, label, mask, dim, round(round(val, 4), 6) + 0.0 AS val FROM f JOIN v ON v.vid = f.vid")
+def _flow_vertices(s: SparkSession, d: str) -> DataFrame:
+    where = _numbered_files(s, d)
+    return long(read_vertices(s, f"{where}/features", f"{where}/labels", f"{where}/masks"), "vid", "label", "mask")
+
+
 @query("checkpoint_roundtrip", "SELECT vid, dim, round(val, 6) + 0.0 AS val FROM f")
 def _checkpoint(s: SparkSession, d: str) -> DataFrame:
     return long(training.cut(features(s, d)))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nn
 from ..functions.optim import Adam
 from ..sources.shared import cut, discard
-from .layers import Layer, gradients, loss_gradient
+from .layers import Dropout, Layer, gradients, loss_gradient
 
 MEASURED = "mask int, n long, correct long, accuracy double, loss double"
 
@@ -32,14 +33,63 @@ def step(model: Layer, optimiser, out: DataFrame, truth: DataFrame, n: int) -> N
     model.release()
 
 
-def train(model: Layer, x: DataFrame, truth: DataFrame, epochs: int, optimiser=None) -> DataFrame:
-    """x(vid, h), truth(vid, label, mask) -> (epoch, mask, n, correct, accuracy, loss), measured before each update; mask 0 trains."""
+class State:
+    """Where a training stands: a table of weights and of the optimiser's moments, a row for each array, below `path` for each epoch. An
+    epoch counts once its table is complete, so a lost driver costs the epoch that it was in."""
+
+    SCHEMA = "layer int, name string, kind string, shape array<int>, values array<double>, step long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _done(self, epoch: int) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/epoch={epoch}/_SUCCESS")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def last(self) -> int | None:
+        """The last epoch of which there is a complete table."""
+        epoch = 0
+        while self._done(epoch):
+            epoch += 1
+        return epoch - 1 if epoch else None
+
+    def save(self, epoch: int, model: Layer, optimiser) -> None:
+        arrays = [(i, k, "weight", w) for i, p in enumerate(model.learned()) for k, w in p.weights.items()]
+        arrays += [(i, k, kind, v) for kind in ("m", "v") for (i, k), v in getattr(optimiser, kind, {}).items()]
+        rows = [(i, k, kind, list(v.shape), v.ravel().tolist(), getattr(optimiser, "step", 0)) for i, k, kind, v in arrays]
+        self.spark.createDataFrame(rows, self.SCHEMA).write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+
+    def restore(self, epoch: int, model: Layer, optimiser) -> None:
+        """Weights, moments, steps and dropout's draws as they were after that epoch."""
+        layers = model.learned()
+        for r in self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/epoch={epoch}").collect():
+            value = np.array(r["values"]).reshape(r["shape"])
+            if r["kind"] == "weight":
+                layers[r["layer"]].weights[r["name"]] = value
+            else:
+                getattr(optimiser, r["kind"])[r["layer"], r["name"]] = value
+            if hasattr(optimiser, "step"):
+                optimiser.step = r["step"]
+        for p in model.layers():
+            if isinstance(p, Dropout):
+                p.epoch = epoch + 1
+
+
+def train(model: Layer, x: DataFrame, truth: DataFrame, epochs: int, optimiser=None, state: str | None = None) -> DataFrame:
+    """x(vid, h), truth(vid, label, mask) -> (epoch, mask, n, correct, accuracy, loss), measured before each update; mask 0 trains. With a
+    folder for its state, training goes on after the last epoch that is found there, and only further epochs are run and measured."""
     spark, optimiser, rows, held = x.sparkSession, optimiser or Adam(), [], []
+    kept, first = State(spark, state) if state else None, 0
+    if kept and (last := kept.last()) is not None:
+        kept.restore(last, model, optimiser)
+        first = last + 1
     x, truth = cut(x), cut(truth)
     n = truth.filter("mask = 0").count()
-    for epoch in range(epochs):
+    for epoch in range(first, epochs):
         out = cut(model.forward(x, training=True), held=held)
         rows += [(epoch, *r) for r in measure(out, truth)]
         step(model, optimiser, out, truth, n)
         discard(spark, held)
+        if kept:
+            kept.save(epoch, model, optimiser)
     return spark.createDataFrame(rows, f"epoch int, {MEASURED}")

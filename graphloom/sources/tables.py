@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.nn import batch_statistics
 from ..operators.graph import Graph
 
 WIDTH = 64
@@ -33,6 +34,14 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return plain_graph(spark, sf_dir).with_self_loops()
 
 
+def star(spark: SparkSession, sf_dir: str) -> Graph:
+    """Two hubs in one vertex: all orders lead to vertex 0, which leads to all customers; with one loop per vertex."""
+    v = vertices(spark, sf_dir).select("vid")
+    n, o, zero = F.lit(v.count()), read(spark, sf_dir, "orders"), F.lit(0).cast("long")
+    e = o.select((F.col("o_orderkey") % n).alias("src"), zero.alias("dst")).union(o.select(zero, F.col("o_custkey") % n))
+    return Graph(v, e.distinct()).with_self_loops()
+
+
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, w): quantity from each supplier to each part; parts are numbered after suppliers."""
     n = read(spark, sf_dir, "supplier").count()
@@ -56,7 +65,7 @@ def split_by_rank(ids: DataFrame, sizes: tuple[int, int, int] = (100, 100, 100))
 def standardize(v: DataFrame, width: int = WIDTH, train: Column | None = None) -> DataFrame:
     """Features scaled by mean and deviation of the training rows; a deviation of 0 counts as 1."""
     t = v.filter(F.col("mask") == 0 if train is None else train)
-    stats = t.agg(F.array(*[F.avg(F.col("h")[i]) for i in range(width)]).alias("mu"), F.array(*[F.stddev_pop(F.col("h")[i]) for i in range(width)]).alias("sd"))
+    stats = batch_statistics(t, width).withColumn("sd", F.transform("va", F.sqrt)).drop("va")
     z = F.transform(F.arrays_zip("h", "mu", "sd"), lambda a: (a.h - a.mu) / F.when(a.sd == 0, 1.0).otherwise(a.sd))
     return v.join(F.broadcast(stats)).withColumn("h", z).drop("mu", "sd")
 

@@ -57,6 +57,12 @@ def write_vertices(v: DataFrame, path: str) -> None:
     v.select(F.concat_ws(" ", F.col("vid").cast("string"), F.array_join(F.transform("h", lambda x: F.format_string("%.4f", x)), " "))).write.text(path)
 
 
+def write_masks(v: DataFrame, path: str) -> None:
+    """`id word` lines; a mask without a word is unknown."""
+    words = F.element_at(F.create_map(*(F.lit(x) for n, word in ((0, "train"), (1, "val"), (2, "test")) for x in (n, word))), F.col("mask"))
+    v.select(F.concat_ws(" ", "vid", F.coalesce(words, F.lit("unknown")))).write.text(path)
+
+
 @dataclass(frozen=True)
 class Config:
     """A training configuration of KEY:VALUE lines. Keys that steer an engine are accepted and have no effect."""
