@@ -1,14 +1,17 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text (operator 9).
 
 The model is of order 4 over characters as they are (code points, nothing is folded), so its tables grow with the input. Texts are
-packed into batches of about STEP bytes. Each batch gives its distinct n-grams once, with their counts in trusted texts (all of
+packed into batches of about STEP bytes or GRAMS different n-grams, whichever comes first (linear counting tells how many there are), so
+a batch of a script with thousands of letters is no larger in memory. Each batch gives its distinct n-grams once, with their counts in trusted texts (all of
 them, nothing is sampled). Joins of the count tables by n-gram, context and suffix give discounts, continuation counts, back-off weights and
 the interpolated probability of every n-gram of the input; below order 1 all code points are equally likely. The probabilities go
 back to the batches by a join, and each batch sums them by document: perplexity = exp(-mean log-probability). No table is gathered
 on the driver or broadcast whole: the driver sees four counts of counts per order.
 
 A document is kept if its perplexity is at most the given quantile of the trusted documents of its language, with a margin; the
-language is the column `lang` (null: a group of its own). Languages without trusted documents take the quantile over all.
+language is the column `lang` (null: a group of its own). The model doesn't know the documents that set the quantile: one in FOLDS of the
+trusted ones (by a hash of doc_id) is left out of it and held against it, as all untrusted documents are. Languages of which FEWEST or
+fewer were left out take the quantile over those of all languages; where nothing was left out, it is that of the trusted documents.
 
 Null and empty texts have perplexity null and aren't kept. If nothing is trusted, the model is uniform and every document with
 text is kept. Rows with a null doc_id are scored, never trusted. Extra columns are ignored; repeated rows stay.
@@ -21,13 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, expand, materialise, slices, squeeze, table
 
 ORDER = 4
 QUANTILE, MARGIN = 0.99, 1.05
+FOLDS, FEWEST = 5, 4
+#: Different n-grams of a batch, and the bits that count them.
+GRAMS, BITS = 1 << 19, 22
 #: Bytes of text in a batch and in what is worked on at a time (more only for longer documents), and code points.
 STEP, PIECE, POINTS = 32 << 20, 2 << 20, 0x110000
 PACKED = "batch long, doc_id array<long>, lang array<string>, trusted array<boolean>, sizes array<int>, packed binary"
@@ -63,9 +69,27 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
     return rank, [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)], first
 
 
+class Different:
+    """About how many different n-grams some texts have, by linear counting of their hashes."""
+
+    def __init__(self):
+        self.seen, self.filled = np.zeros(1 << BITS, bool), 0
+
+    def add(self, text: bytes) -> None:
+        x = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+        h = np.zeros(max(0, len(x) - ORDER + 1), np.uint64)
+        for j in range(ORDER):
+            h = h * np.uint64(0x9FB21C651E98DF25) + x[j : j + len(h)]
+        self.seen[((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        self.filled = int(np.count_nonzero(self.seen))
+
+    def count(self) -> float:
+        return -(1 << BITS) * np.log1p(-min(self.filled, (1 << BITS) - 1) / (1 << BITS))
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about STEP bytes of text. They are stored once, so their numbers and rows stay as they are."""
-    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+    """Batches of about STEP bytes of text or GRAMS n-grams. They are stored once, so their numbers and rows stay as they are."""
+    number, held, size, grams = TaskContext.get().partitionId() << 32, [], 0, Different()
 
     def row() -> pa.RecordBatch:
         ids, langs, trusted, texts = zip(*held)
@@ -74,12 +98,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds)], ["batch", "doc_id", "lang", "trusted", "sizes", "packed"])
 
     for batch in batches:
-        for part, texts in slices(batch):
+        for part, texts in slices(batch, limit=PIECE):
             held += zip(*(part.column(c).to_pylist() for c in ("doc_id", "lang", "trusted")), texts)
             size += sum(map(len, texts))
-            if size >= STEP:
+            grams.add(b"".join(texts))
+            if size >= STEP or grams.count() >= GRAMS:
                 yield row()
-                number, held, size = number + 1, [], 0
+                number, held, size, grams = number + 1, [], 0, Different()
     if held:
         yield row()
 
@@ -158,19 +183,28 @@ def score(docs: DataFrame) -> DataFrame:
     return packed.join(found, "batch", "left").mapInArrow(_score, "doc_id long, lang string, trusted boolean, perplexity double")
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """docs(doc_id, text, lang), labels(doc_id, quality) -> doc_id, lang, perplexity, threshold, kept."""
-    good = labels.groupBy("doc_id").agg(F.max("quality").alias("q")).filter("q = 1").select(F.col("doc_id").alias("__id"), F.lit(True).alias("trusted"))
+def left_out(folds: int | None = FOLDS) -> Column:
+    """Whether a trusted document sets the quantile instead of being learned."""
+    return F.lit(False) if not folds else F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)) == 0
+
+
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, folds: int | None = FOLDS) -> DataFrame:
+    """docs(doc_id, text, lang), labels(doc_id, quality) -> doc_id, lang, perplexity, threshold, kept. Without folds all trusted documents
+    are learned, and set the quantile too."""
+    good = labels.groupBy("doc_id").agg(F.max("quality").alias("q")).filter("q = 1").select(F.col("doc_id").alias("__id"), F.lit(True).alias("good"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     good = bounded(materialise(good, "lm-trusted"))
-    marked = docs.join(good, docs.doc_id == good["__id"], "left").select("doc_id", "text", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    scored = materialise(score(marked), "lm-scored")
-    at = F.percentile_approx("perplexity", quantile, 10_000)
-    trusted = scored.filter("trusted and perplexity is not null")
-    own = trusted.groupBy("lang").agg(at.alias("own")).withColumnRenamed("lang", "__lang")
-    every = trusted.agg(at.alias("every"))
-    own = bounded(own)
-    limit = scored.join(own, scored.lang.eqNullSafe(F.col("__lang")), "left").join(F.broadcast(every))
+    marked = docs.join(good, docs.doc_id == good["__id"], "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    scored = materialise(score(marked.select("doc_id", "text", "lang", (F.col("good") & ~left_out(folds)).alias("trusted"))), "lm-scored")
+    # the documents held out are trusted ones that the model hasn't learned
+    good = scored.filter("perplexity is not null").join(good, F.col("doc_id") == F.col("__id")).select("lang", "perplexity", (~F.col("trusted")).alias("out"))
+    at = lambda condition: F.percentile_approx(F.when(condition, F.col("perplexity")), quantile, 10_000)
+    n = F.count(F.when(F.col("out"), 1))
+    own = good.groupBy(F.col("lang").alias("__lang")).agg(F.when(n > FEWEST, at(F.col("out"))).alias("own"))
+    every = good.agg(F.coalesce(at(F.col("out")), at(F.lit(True))).alias("every"))
+    if not folds:
+        own = good.groupBy(F.col("lang").alias("__lang")).agg(at(F.lit(True)).alias("own"))
+    limit = scored.join(bounded(own), scored.lang.eqNullSafe(F.col("__lang")), "left").join(F.broadcast(every))
     threshold = F.coalesce("own", "every", F.lit(float("inf"))) * margin
     return limit.select("doc_id", "lang", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("kept"))
 

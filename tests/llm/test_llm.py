@@ -486,12 +486,38 @@ def test_quality_of_real_characters(spark):
     rows += [(100 + i, "".join(chr(ord(c) + 12 * rng.randint(-8, 8)) if c != " " else c for c in words(rng, 40, vocab)), "ru", "a") for i in range(20)]
     rows += [(200, "год 1999", "ru", "a"), (201, "日本語 😀", "ru", "a")]
     labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
-    got = {r["doc_id"]: r for r in quality_lm.judge(docs(spark, rows), labels).collect()}
+    got = {r["doc_id"]: r for r in quality_lm.judge(docs(spark, rows), labels, folds=None).collect()}
     want = brute_kneser_ney([t for i, t, _, _ in rows if i < 60])
     assert all(np.isclose(got[i]["perplexity"], want(t), rtol=1e-6) for i, t, _, _ in rows)
     assert sum(got[i]["kept"] for i in range(80)) >= 78 and not any(got[100 + i]["kept"] for i in range(20))
 
 
+def test_quality_keeps_good_documents_that_it_has_not_seen(spark):
+    """Half of the good documents are labelled: the other half is kept as those are, and as the quantile says."""
+    rng = random.Random(21)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(3000)]
+    rows = [(i, words(rng, 30, vocab), "en", "a") for i in range(1200)] + [(2000 + i, "".join(rng.choices("qrstuvwxyz  ", k=200)), "en", "a") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 1200, 2)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["kept"] for r in quality_lm.judge(docs(spark, rows), labels, quantile=0.95, margin=1.0).collect()}
+    unseen = np.mean([got[i] for i in range(1, 1200, 2)])
+    assert abs(unseen - 0.95) <= 0.03, unseen
+    assert not any(got[2000 + i] for i in range(40))
+
+
+def test_batches_of_many_letters_are_small(monkeypatch):
+    rng = random.Random(4)
+    one = quality_lm.Different()
+    texts = ["".join(chr(0x4E00 + rng.randrange(10000)) for _ in range(20000)) for _ in range(10)]
+    for t in texts:
+        one.add(t.encode())
+    want = len({t[i : i + 4] for t in texts for i in range(len(t) - 3)})
+    assert abs(one.count() - want) <= 0.02 * want
+    same = quality_lm.Different()
+    for _ in range(50):
+        same.add(("abcdefghij" * 2000).encode())
+    assert same.count() < 12
+
+
 def test_quality_of_batches_and_nothing(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(i if i % 5 else None, words(rng, 12, VOCAB["en"]), "en", "a") for i in range(60)]
@@ -501,4 +527,7 @@ def test_quality_of_batches_and_nothing(spark, monkeypatch):
     monkeypatch.setattr(quality_lm, "STEP", 200)
     monkeypatch.setattr(quality_lm, "PIECE", 90)
     assert got() == want and len(want) == 60
+    monkeypatch.setattr(quality_lm, "STEP", 1 << 20)
+    monkeypatch.setattr(quality_lm, "GRAMS", 50)
+    assert got() == want
     assert quality_lm.judge(docs(spark, []), labels).count() == 0
