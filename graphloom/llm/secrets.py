@@ -13,7 +13,8 @@ is the chance that text gets there, and the Benjamini-Hochberg rule over that ch
 expected to be text; short runs, where the tests see little, so get a stricter cut than long ones. Strata without such a cut
 flag nothing; a corpus without ordinary words flags nothing.
 
-One pass over the texts writes what the patterns find, with places as running sums; runs, decoys and spans are rows from then on.
+One pass over the texts writes what the patterns find, as places (running sums) with strata and p-values: no table ever holds a secret, and
+spans are places, whose text is in the document. Runs, decoys and spans are rows from then on.
 Counts per stratum and cut (24 strata at most) are all that reaches the driver. Spans are code points, end exclusive, of whole
 matches. Null or empty text: no spans. Rows with a null doc_id and repeated rows are kept as they are; extra columns are
 ignored; an empty table gives an empty result.
@@ -36,6 +37,7 @@ CUTS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3,
 #: A decoy for each STRIDE characters begun, made of STRETCH characters.
 STRIDE, STRETCH = 2000, 400
 SPANS = "array<struct<start: int, kind: string, stop: int, value: string>>"
+PLACES = "array<struct<start: int, rank: int, kind: string, stop: int>>"
 LENGTHS = (24, 28, 32, 40, 48, 64, 96)
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
@@ -142,17 +144,21 @@ def decoys(text: Column) -> Column:
 
 
 def found_in(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> row, doc_id, spans of the base patterns, runs, decoys: written once, without the texts."""
+    """docs(doc_id, text) -> row, doc_id, base (places of the base patterns), runs (places, stratum, p), decoys (stratum, p): written once,
+    without texts or what was found in them."""
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = F.concat(*base_spans(F.col("text")).values()).alias("base")
-    return materialise(docs.select("row", "doc_id", base, run_spans(F.col("text")).alias("runs"), decoys(F.col("text")).alias("decoys")), "secret-found")
+    judge = lambda v: (stratum(v).alias("stratum"), randomness(v).alias("p"))
+    place = lambda s, *more: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.stop.alias("stop"), *more)
+    base = F.transform(F.concat(*base_spans(F.col("text")).values()), lambda s: place(s)).alias("base")
+    runs = F.transform(run_spans(F.col("text")), lambda s: place(s, *judge(s.value))).alias("runs")
+    return materialise(docs.select("row", "doc_id", base, runs, F.transform(decoys(F.col("text")), lambda v: F.struct(*judge(v))).alias("decoys")), "secret-found")
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """(row, span, decoy, stratum, p) of all runs and decoys."""
-    runs = found.select("row", F.explode("runs").alias("span")).select("row", "span", F.lit(False).alias("decoy"), F.col("span.value").alias("v"))
-    words = found.select("row", F.lit(None).cast(runs.schema["span"].dataType).alias("span"), F.lit(True).alias("decoy"), F.explode("decoys").alias("v"))
-    return materialise(runs.union(words).select("row", "span", "decoy", stratum(F.col("v")).alias("stratum"), randomness(F.col("v")).alias("p")), "secret-judged")
+    """(row, span, decoy, stratum, p) of all runs and decoys; span is the place of a run."""
+    runs = found.select("row", F.explode("runs").alias("s")).select("row", F.struct("s.start", "s.kind", "s.stop").alias("span"), F.lit(False).alias("decoy"), "s.stratum", "s.p")
+    words = found.select("row", F.explode("decoys").alias("s")).select("row", F.lit(None).cast(runs.schema["span"].dataType), F.lit(True), "s.stratum", "s.p")
+    return runs.union(words)
 
 
 def cuts(runs: DataFrame, fdr: float = FDR) -> dict[str, float]:
@@ -172,7 +178,7 @@ def cuts(runs: DataFrame, fdr: float = FDR) -> dict[str, float]:
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, spans: array of (start, kind, stop, value) by start, base kinds first as listed. A random
+    """docs(doc_id, text) -> doc_id, spans: array of (start, kind, stop) by start, base kinds first as listed. A random
     run that overlaps a base span adds nothing."""
     found = found_in(docs)
     runs = judged(found)
@@ -188,8 +194,8 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     onward = F.min(F.when(F.col("rank") < 3, F.col("start"))).over(before(F.desc("start"), F.desc("rank")))
     spans = spans.withColumn("upto", upto).withColumn("onward", onward)
     spans = spans.filter((F.col("rank") < 3) | ~(F.coalesce(F.col("upto") > F.col("start"), F.lit(False)) | F.coalesce(F.col("onward") < F.col("stop"), F.lit(False))))
-    own = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "stop", "value"))).alias("spans"))
-    kept = F.transform(F.coalesce("spans", F.expr("cast(array() as array<struct<start: int, rank: int, kind: string, stop: int, value: string>>)")), lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.stop.alias("stop"), s.value.alias("value")))
+    own = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "stop"))).alias("spans"))
+    kept = F.transform(F.coalesce("spans", F.expr(f"cast(array() as {PLACES})")), lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.stop.alias("stop")))
     return found.select("row", "doc_id").join(own, "row", "left").select("doc_id", kept.alias("spans"))
 
 

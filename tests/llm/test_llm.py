@@ -229,13 +229,17 @@ def test_added_spans_are_random_and_rare(spark):
     keys = {i: "".join(rng.choices(b64, k=44)) for i in range(0, 300, 2)}
     rows = [(i, f"{prose(60)} {name()} {keys[i] if i in keys else ''} {prose(9)}", "en", "a") for i in range(300)]
     frame = docs(spark, rows)
-    got = {r["doc_id"]: [s["value"] for s in r["spans"] if s["kind"] == "random"] for r in secrets.scan(frame).collect()}
+    text = {i: t for i, t, *_ in rows}
+    got = {r["doc_id"]: [text[r["doc_id"]][s["start"] : s["stop"]] for s in r["spans"] if s["kind"] == "random"] for r in secrets.scan(frame).collect()}
     flagged = [(i, v) for i, vs in got.items() for v in vs]
     assert sum(keys.get(i) == v for i, v in flagged) >= 0.85 * len(keys) and sum(keys.get(i) != v for i, v in flagged) <= 0.05 * len(flagged)
     # what is added follows from the p-values and the cuts
-    runs = secrets.judged(secrets.found_in(frame))
+    found = secrets.found_in(frame)
+    runs, doc = secrets.judged(found), {r["row"]: r["doc_id"] for r in found.collect()}
     accept = secrets.cuts(runs)
-    p = {r["span"]["value"]: (r["p"], r["stratum"]) for r in runs.filter("not decoy").collect()}
+    p = {text[doc[r["row"]]][r["span"]["start"] : r["span"]["stop"]]: (r["p"], r["stratum"]) for r in runs.filter("not decoy").collect()}
+    # no table holds what was found
+    assert "value" not in str(found.schema) and not any(k in str(r) for r in found.collect() for k in keys.values())
     assert all(np.isclose(q, battery(v), rtol=1e-3, atol=1e-6) for v, (q, _) in p.items() if len(set(v)) > 2)
     assert {v for _, v in flagged} == {v for v, (q, s) in p.items() if q >= accept.get(s, 2)}
 
