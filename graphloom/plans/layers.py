@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import nn
 from ..operators.graph import Graph
 from ..operators.messages import Aggregate, at, with_totals
-from ..operators.vectors import add, dot, over_vertices, scale, sum_vectors
+from ..operators.vectors import WIDE, add, dot, over_vertices, scale, sum_vectors
 from ..sources.shared import cut, discard
 
 
@@ -21,6 +21,14 @@ def literal(v) -> Column:
     return F.array(*[F.lit(float(a)) for a in v])
 
 
+def with_vectors(x: DataFrame, **vectors) -> DataFrame:
+    """x with vectors of the driver's as columns: as expressions if they are short, else as one broadcast row, so that plans stay short."""
+    if sum(map(len, vectors.values())) <= WIDE:
+        return x.withColumns({k: literal(v) for k, v in vectors.items()})
+    row = x.sparkSession.createDataFrame([tuple([float(a) for a in v] for v in vectors.values())], ", ".join(f"{k} array<double>" for k in vectors))
+    return x.join(F.broadcast(row))
+
+
 def with_gradient(x: DataFrame, g: DataFrame) -> DataFrame:
     return x.join(g.select("vid", F.col("h").alias("g")), "vid")
 
@@ -166,7 +174,7 @@ class Elementwise(Layer):
 
 
 class BatchNorm(Layer):
-    """Statistics are two numbers per element: they are worked out once in the forward pass and are literals from then on."""
+    """Statistics are two numbers per element: they are worked out once in the forward pass and joined as one row from then on."""
 
     cuts = (False, True)
 
@@ -176,16 +184,16 @@ class BatchNorm(Layer):
 
     def forward(self, x, training=True):
         row = nn.batch_statistics(x, self.width).first()
-        mean, self.spread = np.array(row["mu"]), np.sqrt(np.array(row["va"]) + nn.EPS)
-        self.z = x.select("vid", F.zip_with(F.zip_with("h", literal(mean), lambda a, m: a - m), literal(self.spread), lambda a, s: a / s).alias("h"))
+        self.spread = np.sqrt(np.array(row["va"]) + nn.EPS)
+        z = with_vectors(x.select("vid", "h"), mu=row["mu"], s=self.spread)
+        self.z = z.select("vid", F.zip_with(F.zip_with("h", "mu", lambda a, m: a - m), "s", lambda a, s: a / s).alias("h"))
         return self.z
 
     def backward(self, g, wanted=True):
         xg = with_gradient(self.z, g)
         means = nn.batch_statistics(xg.select(F.concat("g", F.zip_with("g", "h", lambda a, b: a * b)).alias("h")), 2 * self.width).first()["mu"]
-        mg, mgz = means[: self.width], means[self.width :]
-        table = F.arrays_zip(F.col("h"), F.col("g"), literal(mg).alias("mg"), literal(mgz).alias("mgz"), literal(self.spread).alias("s"))
-        return xg.select("vid", F.transform(table, lambda a: (a["g"] - a["mg"] - a["h"] * a["mgz"]) / a["s"]).alias("h"))
+        table = with_vectors(xg.select("vid", "h", "g"), mg=means[: self.width], mgz=means[self.width :], s=self.spread)
+        return table.select("vid", F.transform(F.arrays_zip("h", "g", "mg", "mgz", "s"), lambda a: (a["g"] - a["mg"] - a["h"] * a["mgz"]) / a["s"]).alias("h"))
 
 
 class Gather(Layer):

@@ -99,6 +99,19 @@ def test_gradients_of_wide_weights_are_summed_as_arrays(spark):
     assert len(partial) <= 3 and np.allclose(sum(np.array(r["s"]) for r in partial), g.sum(0))
 
 
+def test_batch_norm_of_wide_vectors(spark):
+    """Statistics as one row give what numbers in the plan give, forward and backward."""
+    rng = np.random.default_rng(6)
+    x, g = rng.normal(size=(7, 300)), rng.normal(size=(7, 300))
+    layer = layers.BatchNorm(300)
+    z = np.array([r["h"] for r in layer.forward(frame(spark, x)).orderBy("vid").collect()])
+    want = (x - x.mean(0)) / np.sqrt(x.var(0) + 1e-5)
+    assert np.allclose(z, want)
+    back = np.array([r["h"] for r in layer.backward(frame(spark, g)).orderBy("vid").collect()])
+    assert np.allclose(back, (g - g.mean(0) - want * (g * want).mean(0)) / np.sqrt(x.var(0) + 1e-5))
+    assert len(layer.z._jdf.queryExecution().optimizedPlan().toString()) < 5000
+
+
 @pytest.mark.parametrize("make", [Adam, SGD])
 def test_training_goes_on_where_it_stopped(spark, tmp_path, make):
     g = Graph(spark.range(4).withColumnRenamed("id", "vid"), spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 2), *((i, i) for i in range(4))], "src long, dst long"))
