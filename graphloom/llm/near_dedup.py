@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, Words, as_long, join_by_key, materialise, mix, slices, table
+from .common import U, Words, as_long, join_by_key, materialise, mix, slices, table, utf8
 from .components import components
 
 SHINGLE, SAMPLES, ROWS = 5, 128, 4
@@ -119,11 +120,21 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*labels, *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], ["row", "doc_id", "tie", *names])
 
 
+def _pairs(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts of a batch of pairs with about `limit` bytes of text: only a cut's texts become Python objects."""
+    size = sum(np.nan_to_num(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False)) for c in ("text_a", "text_b"))
+    start, held = 0, np.cumsum(size)
+    while start < batch.num_rows:
+        stop = min(batch.num_rows, int(np.searchsorted(held, (held[start - 1] if start else 0) + limit)) + 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], equal: bool = False) -> Iterator[pa.RecordBatch]:
     """The pairs that are linked, or whose sets are equal, by full sets."""
     for batch in batches:
-        for part, left in slices(batch, "text_a"):
-            right = [t or b"" for t in part.column("text_b").cast(pa.binary()).to_pylist()]
+        for part in _pairs(batch):
+            left, right = (utf8(part.column(c)) for c in ("text_a", "text_b"))
             keep = []
             for a, b in zip(shingle_sets(left), shingle_sets(right)):
                 if equal:
