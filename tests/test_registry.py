@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 
 D = "/root/testdata/sf0.001"
-SOME = ["norm_agg", "csc_offsets", "edge_ids", "edge_softmax_bwd", "agg_argmax", "two_hop_sample", "gcn_two_layer", "gat_layer"]
+SOME = ["norm_agg", "csc_offsets", "edge_ids", "edge_softmax_bwd", "agg_argmax", "two_hop_sample", "gcn_two_layer", "gat_layer", "minibatch_gradients", "sampled_blocks", "edge_softmax_columns_bwd", "gat_heads_layer", "star_norm_agg", "message_lists", "slot_edges", "weighted_edge_roundtrip", "numbered_flow_vertices", "adam_step_compat"]
 
 
 def test_imports_without_session():
