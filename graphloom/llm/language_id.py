@@ -41,7 +41,7 @@ def _letters() -> np.ndarray:
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashed n-grams, the first of each text with one more at the end, whether each text has a letter). Grams without a letter
-    are feature 2^BITS. Texts are kept apart by spaces, so no gram has letters of two."""
+    are feature 2^BITS, as are those that begin behind a text: texts are kept apart by spaces, so no gram tells of another one."""
     gap = "    "
     joined = gap.join(t.decode() for t in texts) + gap
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -59,6 +59,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out[:, j] = np.where(any_letter, f, 1 << BITS)[:n]
     sizes = np.fromiter((len(t.decode()) for t in texts), np.int64, len(texts)) + len(gap)
     first = np.concatenate(([0], np.cumsum(sizes)))
+    # a gram that begins between two texts holds letters of the next one only
+    out[np.minimum((first[1:, None] - np.arange(1, len(gap) + 1)).ravel(), n - 1)] = 1 << BITS
     has = np.add.reduceat(letter.astype(np.int64), first[:-1]) > 0
     return out, np.minimum(first, n), has
 
