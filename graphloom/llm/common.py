@@ -17,17 +17,21 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 U = np.uint64
 HOT = 4096
+#: The level of zstd for copies of whole rows.
+TEXTS = 9
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends in replicated files."""
+def materialise(df: DataFrame, label: str, level: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: lineage ends in replicated files. Copies of whole texts are worth a
+    higher level of zstd."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    write = df.write.option("compression", "zstd")
+    (write if level is None else write.option("parquet.compression.codec.zstd.level", level)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, Words, bounded, bundled, materialise, slices, table, unbundled
+from .common import TEXTS, U, Words, bounded, bundled, materialise, slices, table, unbundled
 
 GRAM, STRETCH = 3, 3
 MATCH, OTHER = 2, -1
@@ -223,7 +223,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without those that hold a passage. Each row is judged by its own text, whatever its doc_id."""
-    rows = materialise(bundled(docs), "clean-rows")
+    rows = materialise(bundled(docs), "clean-rows", TEXTS)
     hit = contaminated(rows.select(F.col("row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("row")).distinct()
     return unbundled(rows.join(bounded(materialise(hit, "contaminated")), "row", "left_anti"), docs.columns)
 

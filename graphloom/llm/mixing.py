@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, bounded, bundled, materialise, table, unbundled
+from .common import SPACE, TEXTS, bounded, bundled, materialise, table, unbundled
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
@@ -176,7 +176,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     n_chars counted anew; other columns stay. The draw is that of mix(). Rows of which nothing is drawn go, as those without words
     do; a row is a document of its own, whatever its doc_id, and equal rows are drawn from one by one."""
     given = docs.columns
-    rows = materialise(bundled(docs).withColumn("size", n_words(F.col("text"))), "mix-docs")
+    rows = materialise(bundled(docs).withColumn("size", n_words(F.col("text"))), "mix-docs", TEXTS)
     field = lambda c: F.col(f"given.`{c}`").alias(c)
     _, _, pieces = draws(rows.select(field("doc_id"), field("source"), "size", F.xxhash64("given.doc_id", "text", "given.source").alias("hash"), "row"))
     drawn = pieces.groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("piece_from", "piece_words"))).alias("pieces")).drop("pass")
