@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate as _clean
 from graphloom.llm import language_id, mixing, near_dedup, repair_tokens
-from graphloom.llm.common import bundled, materialise, table, unbundled
+from graphloom.llm.common import TEXTS, bundled, materialise, table, unbundled
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each group of near duplicates, that with the smallest doc_id (null comes last; equal doc_ids by a hash of text, lang
     and source, and rows that are equal in these as they come). Rows, not doc_ids, are compared: rows of a repeated or null doc_id
     stay if their texts aren't near duplicates, and so do all rows without words."""
-    rows = materialise(bundled(docs), "dedup-given")
+    rows = materialise(bundled(docs), "dedup-given", TEXTS)
     told = [F.col("text"), *(F.col(f"given.`{c}`") for c in ("lang", "source") if c in docs.columns)]
     judged = near_dedup.by_row(rows.select("row", F.col("given.doc_id").cast("long").alias("doc_id"), F.xxhash64(*told).alias("tie"), "text"))
     return unbundled(rows.join(judged.filter("first").select("row"), "row", "left_semi"), docs.columns)
