@@ -2,7 +2,9 @@
 
 The components of a vector become the integers floor(256 x), and a row's score is its integer inner product with an anchor; higher scores
 come first, ties by smaller vec_id. Anchors are a stated query set, and meet all rows in blocks: vectors are packed in blocks of
-BLOCK, anchors in blocks of ANCHORS, and each pair of blocks is one row that a task scores as one product of matrices.
+BLOCK, anchors in blocks of ANCHORS. A lane is a task's share of the blocks of vectors: each vector is dealt out once and each block of
+anchors once a lane, by a shuffle (nothing is broadcast, so the driver holds none of it). A lane's vectors come before its anchors, which
+go by one block at a time and are scored as one product of matrices with each block of the lane.
 
 1. In a block, all scores of an anchor are sorted with their ids (lexsort), and the first POSITIVES rows of the anchor's label kept;
    those of all blocks are merged.
@@ -92,11 +94,10 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Pair:
     """A block of anchors and a block of vectors."""
 
-    def __init__(self, r: dict, length: int):
-        arrays = {k: np.frombuffer(r[k], np.int64) for k in ("ids", "rows", "labels", "vectors", "a_ids", "a_rows", "a_labels", "a_vectors")}
-        self.ids, self.rows, self.labels = arrays["ids"], arrays["rows"], arrays["labels"]
-        self.a_ids, self.a_rows, self.a_labels = arrays["a_ids"], arrays["a_rows"], arrays["a_labels"]
-        self.scores = products(arrays["a_vectors"].reshape(len(self.a_ids), length), arrays["vectors"].reshape(len(self.ids), length))
+    def __init__(self, anchors: dict, block: dict, length: int):
+        self.ids, self.rows, self.labels = block["ids"], block["rows"], block["labels"]
+        self.a_ids, self.a_rows, self.a_labels, self.limits = anchors["ids"], anchors["rows"], anchors["labels"], anchors.get("limits")
+        self.scores = products(anchors["vectors"].reshape(len(self.a_ids), length), block["vectors"].reshape(len(self.ids), length))
 
     def sorted(self, j: int, alike: bool) -> np.ndarray:
         """Places of the rows with the label of anchor j (itself left out), or of the others: by score, then id."""
@@ -104,6 +105,25 @@ class Pair:
         return pick[np.lexsort((self.ids[pick], -self.scores[j, pick]))]
 
 
+def _pairs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[Pair]:
+    """Every block of anchors of a lane with every block of its vectors. Rows come by lane, vectors first; those of one lane are held,
+    small blocks as one."""
+    lane, held = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
+            if r["lane"] != lane:
+                lane, held = r["lane"], []
+            arrays = {k: np.frombuffer(v, np.int64) for k, v in r.items() if k not in ("lane", "asks") and v is not None}
+            if r["asks"]:
+                for block in held:
+                    yield Pair(arrays, block, length)
+            elif held and len(held[-1]["ids"]) + len(arrays["ids"]) <= BLOCK:
+                held[-1] = {k: np.concatenate((held[-1][k], v)) for k, v in arrays.items()}
+            else:
+                held.append(arrays)
+
+
 def _batch(columns: dict, kinds: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(columns[k]) if columns[k] else [], t) for k, t in kinds.items()})
 
@@ -112,14 +132,13 @@ def _positives(length: int, k: int):
     kinds = {"anchor": pa.int64(), "id": pa.int64(), "score": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                p, out = Pair(r, length), {c: [] for c in kinds}
-                for j, row in enumerate(p.a_rows):
-                    best = p.sorted(j, True)[:k]
-                    for c, x in zip(kinds, (np.full(len(best), row), p.ids[best], p.scores[j, best])):
-                        out[c].append(x)
-                yield _batch(out, kinds)
+        for p in _pairs(batches, length):
+            out = {c: [] for c in kinds}
+            for j, row in enumerate(p.a_rows):
+                best = p.sorted(j, True)[:k]
+                for c, x in zip(kinds, (np.full(len(best), row), p.ids[best], p.scores[j, best])):
+                    out[c].append(x)
+            yield _batch(out, kinds)
 
     return run
 
@@ -135,18 +154,17 @@ def _negatives(length: int, k: int, lower: int, upper: int):
     kinds = {"anchor": pa.int64(), "place": pa.int32(), "id": pa.int64(), "score": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                p, out = Pair(r, length), {c: [] for c in kinds}
-                limits = np.frombuffer(r["a_limits"], np.int64).reshape(len(p.a_ids), -1).tolist()
-                for j, row in enumerate(p.a_rows):
-                    order = p.sorted(j, False)
-                    scores = p.scores[j, order]
-                    for place, positive in enumerate(limits[j][1 : 1 + limits[j][0]], 1):
-                        best = order[between(scores, positive, k, lower, upper)]
-                        for c, x in zip(kinds, (np.full(len(best), row), np.full(len(best), place, np.int32), p.ids[best], p.scores[j, best])):
-                            out[c].append(x)
-                yield _batch(out, kinds)
+        for p in _pairs(batches, length):
+            out = {c: [] for c in kinds}
+            limits = p.limits.reshape(len(p.a_ids), -1).tolist()
+            for j, row in enumerate(p.a_rows):
+                order = p.sorted(j, False)
+                scores = p.scores[j, order]
+                for place, positive in enumerate(limits[j][1 : 1 + limits[j][0]], 1):
+                    best = order[between(scores, positive, k, lower, upper)]
+                    for c, x in zip(kinds, (np.full(len(best), row), np.full(len(best), place, np.int32), p.ids[best], p.scores[j, best])):
+                        out[c].append(x)
+            yield _batch(out, kinds)
 
     return run
 
@@ -163,15 +181,15 @@ def mine(vectors: DataFrame, anchors: Column, label: Column, positives: int = PO
     lanes = min(blocks, LANES)
     columns = ["id", "row", "label", "c"]
     pack = lambda df, n, limit, *more: df.repartition(n, F.xxhash64("row", F.lit(limit))).select(*columns, *more).mapInArrow(_pack(length, limit), PACKED + ", limits binary" * len(more))
-    index = materialise(pack(v, blocks, BLOCK), "negatives-index").withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)))
+    index = materialise(pack(v, blocks, BLOCK), "negatives-index").withColumn("lane", F.pmod(F.xxhash64("rows"), F.lit(lanes)))
     chosen = v.filter(anchors & F.col("id").isNotNull())
     few = max(1, -(-chosen.count() // ANCHORS))
 
     def met(a: DataFrame) -> DataFrame:
         """Every block of anchors meets every block of vectors: anchors are copied to as many lanes as there are, vectors to none."""
-        a = materialise(a.select(*(F.col(c).alias(f"a_{c}") for c in a.columns)), "negatives-anchors")
-        copies = a.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-        return index.join(copies, "lane").repartition(F.xxhash64("ids", "a_rows"))
+        a = materialise(a, "negatives-anchors").withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
+        both = index.withColumn("asks", F.lit(False)).unionByName(a.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+        return both.repartition(lanes, "lane").sortWithinPartitions("lane", "asks")
 
     best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id"))
     found = met(pack(chosen, few, ANCHORS)).mapInArrow(_positives(length, positives), "anchor long, id long, score long")

@@ -181,6 +181,18 @@ def test_hard_negatives(spark, monkeypatch, block):
     assert Counter(tuple(r) for r in got.collect()) == want and len(want) > 100
 
 
+def test_anchors_of_hard_negatives_are_never_broadcast(spark, monkeypatch):
+    """Copies of the anchors for all lanes are as many times larger than the table that they come from."""
+    monkeypatch.setattr(hard_negatives, "BLOCK", 16)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 2)
+    rng, seen = np.random.default_rng(3), []
+    d = spark.createDataFrame([(i, rng.normal(size=6).tolist(), i % 3, "") for i in range(0, 600, 4)], VECTORS)
+    monkeypatch.setattr(hard_negatives, "materialise", lambda df, label, f=hard_negatives.materialise: seen.append((label, df)) or f(df, label))
+    hard_negatives.mine(d, F.col("id") % 100 == 0, F.col("label")).count()
+    plan = dict(seen)["negatives-positives"]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Broadcast" not in plan and "Join" not in plan
+
+
 def test_hard_negatives_of_nothing(spark):
     assert hard_negatives.mine(spark.createDataFrame([], VECTORS), F.col("id") == 0, F.col("label")).count() == 0
 
