@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def _dense(key: np.ndarray, cells: int) -> tuple[np.ndarray, int]:
     if cells <= 1 << 24:
         seen = np.zeros(cells, bool)
         seen[key] = True
-        return (np.cumsum(seen, dtype=np.int64) - 1)[key], int(seen.sum())
+        return np.cumsum(seen, dtype=np.int32)[key].astype(np.int64) - 1, int(np.count_nonzero(seen))
     distinct, rank = np.unique(key, return_inverse=True)
     return rank, len(distinct)
 
@@ -125,17 +126,16 @@ def _pieces(row: dict) -> Iterator[tuple[slice, list[str]]]:
 
 
 def _batch_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each batch. They are added up as Arrow columns: as Python objects they would take several times as much."""
     for row in _rows(batches):
-        total = {}
+        total = pa.table({"gram": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
         for own, texts in _pieces(row):
             rank, distinct, first = ngrams(texts)
             n = np.bincount(rank[np.repeat(np.array(row["trusted"][own], bool), np.diff(first))], minlength=len(distinct))
-            for g, k in zip(distinct, n.tolist()):
-                total[g] = total.get(g, 0) + k
-        grams = sorted(total)
-        for i in range(0, len(grams), 1 << 16):
-            part = grams[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array([row["batch"]] * len(part), pa.int64()), pa.array(part, pa.string()), pa.array([total[g] for g in part], pa.int64())], ["batch", "gram", "n"])
+            both = pa.concat_tables([total, pa.table({"gram": pa.array(distinct, pa.string()), "n": pa.array(n, pa.int64())})])
+            total = both.group_by("gram", use_threads=False).aggregate([("n", "sum")]).select(["gram", "n_sum"]).rename_columns(["gram", "n"])
+        for part in total.sort_by("gram").to_batches(max_chunksize=1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, row["batch"]), pa.int64()), part.column("gram"), part.column("n")], ["batch", "gram", "n"])
 
 
 def probabilities(grams: DataFrame) -> DataFrame:
@@ -162,12 +162,16 @@ def probabilities(grams: DataFrame) -> DataFrame:
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
-        found = row["found"] or []
-        logp = dict(zip((x["gram"] for x in found), np.log(np.array([x["p"] for x in found], np.float64)).tolist()))
+    """The n-grams found for a batch stay an Arrow column and are looked up there: they are as many as GRAMS and more."""
+    for row, found in ((r, b.column("found")[i]) for b in batches for i, r in enumerate(_rows([b.drop_columns(["found"])]))):
+        known = found.values if found.is_valid else pa.array([], found.type.value_type)
+        grams, logp = known.field("gram"), np.log(known.field("p").to_numpy(zero_copy_only=False).astype(np.float64))
         for own, texts in _pieces(row):
             rank, distinct, first = ngrams(texts)
-            own_logp = np.array([logp[g] for g in distinct])
+            at = pc.index_in(pa.array(distinct, pa.string()), value_set=grams)
+            if at.null_count:
+                raise KeyError(f"{at.null_count} n-grams of batch {row['batch']} have no probability")
+            own_logp = logp[at.to_numpy()]
             sums, n = np.concatenate(([0.0], np.cumsum(own_logp[rank]) if len(rank) else [])), np.diff(first)
             with np.errstate(invalid="ignore", divide="ignore"):
                 ppl = np.exp(-(sums[first[1:]] - sums[first[:-1]]) / n)
@@ -179,8 +183,10 @@ def score(docs: DataFrame) -> DataFrame:
     packed = materialise(docs.select("doc_id", "text", "lang", "trusted").mapInArrow(_pack, PACKED), "lm-packed")
     own = materialise(packed.mapInArrow(_batch_grams, "batch long, gram string, n long"), "lm-grams")
     p = probabilities(materialise(own.groupBy("gram").agg(F.sum("n").alias("n")), "lm-counts"))
-    found = own.select("batch", "gram").join(p.select("gram", F.col("p").cast("float").alias("p")), "gram").groupBy("batch").agg(F.collect_list(F.struct("gram", "p")).alias("found"))
-    return packed.join(found, "batch", "left").mapInArrow(_score, "doc_id long, lang string, trusted boolean, perplexity double")
+    # about one batch a task: what a task holds doesn't depend on how many rows adaptive execution finds small enough to put together
+    n = max(1, packed.count())
+    found = own.select("batch", "gram").join(p.select("gram", F.col("p").cast("float").alias("p")), "gram").repartition(n, "batch").groupBy("batch").agg(F.collect_list(F.struct("gram", "p")).alias("found"))
+    return packed.repartition(n, "batch").join(found.hint("merge"), "batch", "left").mapInArrow(_score, "doc_id long, lang string, trusted boolean, perplexity double")
 
 
 def left_out(folds: int | None = FOLDS) -> Column:

@@ -537,6 +537,28 @@ def test_batches_of_many_letters_are_small(monkeypatch):
     assert same.count() < 12
 
 
+def test_batches_of_many_ngrams_are_held_as_columns():
+    """What a worker holds for half a million n-grams, in and out, beside one table of the numbers of n-grams."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    text = rng.integers(0x4E00, 0x4E00 + 2000, 260_000).astype(np.uint32).tobytes().decode("utf-32-le")
+    own = {"batch": [7], "doc_id": [[1]], "lang": [["x"]], "trusted": [[True]], "sizes": [[len(text.encode())]], "packed": [quality_lm.squeeze(text.encode())]}
+    packed = pa.RecordBatch.from_pydict(own, pa.schema({"batch": pa.int64(), "doc_id": pa.list_(pa.int64()), "lang": pa.list_(pa.string()), "trusted": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "packed": pa.binary()}))
+    grams = pa.Table.from_batches(list(quality_lm._batch_grams(iter([packed])))).combine_chunks()
+    assert grams["n"].to_numpy().sum() == 260_000 and grams["gram"].to_pylist() == sorted(set(grams["gram"].to_pylist()))
+    found = pa.array([[{"gram": g, "p": 0.5} for g in grams["gram"].to_pylist()]], pa.list_(pa.struct({"gram": pa.string(), "p": pa.float32()})))
+    asked = packed.append_column("found", found)
+    tracemalloc.start()
+    (out,) = quality_lm._score(iter([asked]))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert abs(out.column("perplexity")[0].as_py() - 2.0) < 1e-9
+    assert most < 130
+
+
 def test_quality_of_batches_and_nothing(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(i if i % 5 else None, words(rng, 12, VOCAB["en"]), "en", "a") for i in range(60)]
