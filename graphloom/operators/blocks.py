@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Graph
-from .sampling import relabel, sample_neighbours
+from .sampling import relabel, sample_for
 from .vectors import sum_vectors, zeros
 
 
@@ -23,16 +23,17 @@ def numbered_seeds(batches: DataFrame) -> DataFrame:
 def sample_blocks(graph: Graph, batches: DataFrame, fanouts: list[int], seed: int = 0) -> DataFrame:
     """batches(batch_id, vid) -> (batch_id, hop, dst, src, dst_local, src_local, w): w is the weight of the whole graph. A fanout for each
     hop; repeated edges are drawn as edges of their own."""
-    weights = graph.norm_weights.dropDuplicates(["src", "dst"])
+    degree = lambda end: graph.edges.groupBy(end).agg(F.count("*").alias(f"__{end}"))
     out, front = None, numbered_seeds(batches).select("batch_id", F.col("vid").alias("dst"), F.col("local").alias("dst_local"))
     for hop, fanout in enumerate(fanouts):
-        drawn = sample_neighbours(graph.edges.join(front, "dst"), fanout, seed + hop, ("batch_id",), rank="__r")
+        drawn = sample_for(graph.edges, front, fanout, seed + hop, rank="__r")
         drawn = drawn.withColumn("__p", F.col("dst_local") * fanout + F.col("__r"))
         names = relabel(drawn, "__p", "src", ("batch_id",)).select("batch_id", F.col("vid").alias("src"), F.col("local").alias("src_local"))
         layer = drawn.join(names, ["batch_id", "src"]).select("batch_id", F.lit(hop).alias("hop"), "dst", "src", "dst_local", "src_local")
         out = layer if out is None else out.union(layer)
         front = names.select("batch_id", F.col("src").alias("dst"), F.col("src_local").alias("dst_local"))
-    return out.join(weights, ["src", "dst"]).select("batch_id", "hop", "dst", "src", "dst_local", "src_local", "w")
+    w = 1 / (F.sqrt("__src") * F.sqrt("__dst"))
+    return out.join(degree("src"), "src").join(degree("dst"), "dst").select("batch_id", "hop", "dst", "src", "dst_local", "src_local", w.alias("w"))
 
 
 def sources_of(blocks: DataFrame, hop: int) -> DataFrame:

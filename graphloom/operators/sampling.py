@@ -18,6 +18,13 @@ def sample_neighbours(edges: DataFrame, fanout: int, seed: int = 0, group: tuple
     return drawn if rank else drawn.drop("__r")
 
 
+def sample_for(edges: DataFrame, front: DataFrame, fanout: int, seed: int = 0, rank: str | None = None) -> DataFrame:
+    """The draws for each row of front(batch_id, dst, ...). What a dst draws depends on its edges and the seed alone, so it is drawn once,
+    whatever the number of batches that ask for it."""
+    asked = edges.join(front.select("dst").distinct(), "dst", "left_semi")
+    return sample_neighbours(asked, fanout, seed, rank=rank).join(front, "dst")
+
+
 def seed_batches(seeds: DataFrame, size: int, chunk: int = 1 << 16) -> DataFrame:
     """seeds(vid) -> (batch_id, vid): consecutive batches in the order of vid; the last may be short."""
     from .vectors import running_sum
@@ -31,7 +38,7 @@ def expand(edges: DataFrame, batches: DataFrame, fanouts: list[int], seed: int =
     of the hop before it."""
     out, front = None, batches.select("batch_id", F.col("vid").alias("dst")).distinct()
     for hop, fanout in enumerate(fanouts):
-        drawn = sample_neighbours(edges.join(front, "dst"), fanout, seed + hop, ("batch_id",))
+        drawn = sample_for(edges, front, fanout, seed + hop)
         layer = drawn.select("batch_id", F.lit(hop).alias("hop"), "dst", "src")
         out = layer if out is None else out.union(layer)
         front = layer.select("batch_id", F.col("src").alias("dst")).distinct()

@@ -520,7 +520,7 @@ for _name, _sizes in (("gcn", [64, 16, 10]), ("gcn_eager", [64, 16, 10]), ("gat"
 
 @query("train_gcn_sampled")
 def _sampled(s: SparkSession, d: str) -> DataFrame:
-    g, v = runner.training_graph(T.graph(s, d)), T.vertices(s, d)
+    g, v = runner.training_graph(T.graph(s, d), weights=False), T.vertices(s, d)
     return sampled.train_sampled(g, v.select("vid", "h"), v.select("vid", "label", "mask"), [64, 16, 10], 64, [5, 10], 1)
 
 

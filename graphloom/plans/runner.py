@@ -51,8 +51,9 @@ def run(spark: SparkSession, config: Config, init=None) -> DataFrame:
     return training.train(build(g, sizes, **options), x, truth, config.epochs, optimiser)
 
 
-def training_graph(g: Graph) -> Graph:
-    """The graph with its tables and weights written once, as every epoch reads them."""
+def training_graph(g: Graph, weights: bool = True) -> Graph:
+    """The graph with its tables and weights (if they are used) written once, as every epoch reads them."""
     own = Graph(training.cut(g.vertices), training.cut(g.edges.select(F.col("src"), F.col("dst"))))
-    own.__dict__["norm_weights"] = training.cut(own.norm_weights)
+    if weights:
+        own.__dict__["norm_weights"] = training.cut(own.norm_weights)
     return own

@@ -1,9 +1,12 @@
 """Training on sampled blocks. A batch is bounded by its seeds and fanouts, so it becomes one row: its edges by hop with local ids, the
-features of its deepest sources, and the labels of its seeds. One job works out the gradients of all batches of an update, each in the
-task that holds its row, with the weights as they stand; features are packed for AHEAD batches at a time."""
+features of its deepest sources, and the labels of its seeds. Batches are sampled and packed by one pass of joins an epoch. An update needs the
+weights of the one before it: with one batch an update, a run of AHEAD updates is one job, whose task goes through them in order and hands
+the weights on; with several, one job works out the gradients of all batches of an update, each in the task that holds its row."""
 
 from __future__ import annotations
 
+import copy
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,8 +22,8 @@ from ..operators.graph import Graph
 from ..operators.sampling import seed_batches
 from ..sources.shared import cut, discard
 
-#: Batches whose features are packed together.
-AHEAD = 256
+#: Batches that one task goes through, one after another.
+AHEAD = 64
 MEASURED = "mask int, n long, correct long, accuracy double, loss double"
 
 
@@ -151,6 +154,25 @@ def batch_gradients(packed: DataFrame, weights: list[np.ndarray], rate: float =
     return packed.mapInArrow(_gradients(weights, rate, step, n), "batch_id long, n long, correct long, loss double, grads array<double>")
 
 
+def _updates(weights: list[np.ndarray], optimiser, rate: float, step: int):
+    """Updates by one batch each, in the order of the rows: what each measured, and a last row with the weights and the optimiser."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, moves, at = weights, copy.deepcopy(optimiser), step
+        kinds = {"batch_id": pa.int64(), "n": pa.int64(), "correct": pa.int64(), "loss": pa.float64(), "state": pa.binary()}
+        row = lambda *values: pa.RecordBatch.from_pydict({k: pa.array([v], t) for (k, t), v in zip(kinds.items(), values)})
+        for batch in batches:
+            for b in Batch.read(batch, len(own)):
+                out, back = run_batch(b, own, rate, at)
+                picked = out[np.arange(len(out)), b.label]
+                yield row(b.id, len(out), int((out.argmax(1) == b.label).sum()), float(-picked.sum()), None)
+                moved = moves.update(dict(enumerate(own)), dict(enumerate(back(loss_gradient(out, b.label, len(out))))))
+                own, at = [moved[k] for k in range(len(own))], at + 1
+        yield row(None, None, None, None, pickle.dumps((own, moves)))
+
+    return run
+
+
 def _measured(weights: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,26 +190,32 @@ def unpack(flat: np.ndarray, shapes: list[tuple]) -> list[np.ndarray]:
 
 
 class Sampler:
-    """The batches of one mask, sampled anew for each epoch, and packed AHEAD at a time."""
+    """The batches of one mask, sampled anew for each epoch."""
 
     def __init__(self, graph: Graph, x: DataFrame, truth: DataFrame, mask: int, batch_size: int, fanouts: list[int]):
         self.graph, self.x, self.truth, self.fanouts = graph, x, truth, fanouts
         self.batches = cut(seed_batches(truth.filter(F.col("mask") == mask).select("vid"), batch_size))
         self.sizes = {r["batch_id"]: r["n"] for r in self.batches.groupBy("batch_id").agg(F.count("*").alias("n")).collect()}
 
-    def packed(self, epoch: int) -> Iterator[tuple[list[int], DataFrame]]:
-        """(ids, packed batches), some batches at a time."""
-        held, spark = [], self.x.sparkSession
+    def packed(self, epoch: int, held: list[str]) -> DataFrame:
         blocks = cut(sample_blocks(self.graph, self.batches, self.fanouts, seed=epoch * len(self.fanouts)), held=held)
-        own = []
+        return pack(blocks, self.batches, self.x, self.truth, len(self.fanouts))
+
+    def runs(self, epoch: int) -> Iterator[tuple[list[int], DataFrame]]:
+        """(ids, packed batches): AHEAD batches at a time, out of one table in the order of batches."""
+        held, spark = [], self.x.sparkSession
+        rows = cut(self.packed(epoch, held).repartitionByRange("batch_id").sortWithinPartitions("batch_id"), held=held)
         for first in range(0, len(self.sizes), AHEAD):
-            some = F.col("batch_id").between(first, first + AHEAD - 1)
-            rows = pack(blocks.filter(some), self.batches.filter(some), self.x, self.truth, len(self.fanouts))
-            rows = cut(rows.repartitionByRange("batch_id").sortWithinPartitions("batch_id"), held=own)
-            yield [i for i in sorted(self.sizes) if first <= i < first + AHEAD], rows
-            discard(spark, own)
+            yield [i for i in range(first, first + AHEAD) if i in self.sizes], rows.filter(F.col("batch_id").between(first, first + AHEAD - 1))
         discard(spark, held)
 
+    def measured(self, epoch: int, weights: list[np.ndarray]) -> tuple:
+        """(n, correct, loss) of all batches; their features are never written."""
+        held = []
+        r = self.packed(epoch, held).mapInArrow(_measured(weights), "n long, correct long, loss double").agg(F.sum("n"), F.sum("correct"), F.sum("loss")).first()
+        discard(self.x.sparkSession, held)
+        return tuple(v or 0 for v in r)
+
 
 def train_sampled(
     graph: Graph, x: DataFrame, truth: DataFrame, sizes: list[int], batch_size: int, fanouts: list[int], epochs: int,
@@ -205,7 +233,14 @@ def train_sampled(
     samplers = {mask: Sampler(graph, x, truth, mask, batch_size, fanouts[:layers]) for mask in (0, 1, 2)}
     weights = [init(a, b, i) for i, (a, b) in enumerate(zip(sizes, sizes[1:]))]
     for epoch in range(epochs):
-        for ids, packed in samplers[0].packed(epoch):
+        for ids, packed in samplers[0].runs(epoch):
+            if workers == 1:
+                found = packed.coalesce(1).sortWithinPartitions("batch_id").mapInArrow(_updates(weights, optimiser, rate, step), "batch_id long, n long, correct long, loss double, state binary").collect()
+                weights, moved = next(pickle.loads(r["state"]) for r in found if r["state"] is not None)
+                optimiser.__dict__.update(moved.__dict__)
+                rows += [(epoch, r["batch_id"], 0, r["n"], r["correct"], r["correct"] / r["n"], r["loss"] / r["n"]) for r in found if r["state"] is None]
+                step += len(ids)
+                continue
             for i in range(0, len(ids), workers):
                 own = ids[i : i + workers]
                 n = sum(samplers[0].sizes[b] for b in own)
@@ -215,10 +250,7 @@ def train_sampled(
                 moved = optimiser.update(dict(enumerate(weights)), dict(enumerate(grads)))
                 weights, step = [moved[k] for k in range(layers)], step + 1
         for mask in (1, 2):
-            total = np.zeros(3)
-            for _, packed in samplers[mask].packed(epoch):
-                r = packed.mapInArrow(_measured(weights), "n long, correct long, loss double").agg(F.sum("n"), F.sum("correct"), F.sum("loss")).first()
-                total += [v or 0 for v in r]
-            if total[0]:
-                rows.append((epoch, None, mask, int(total[0]), int(total[1]), float(total[1] / total[0]), float(total[2] / total[0])))
+            n, correct, loss = samplers[mask].measured(epoch, weights) if samplers[mask].sizes else (0, 0, 0)
+            if n:
+                rows.append((epoch, None, mask, int(n), int(correct), float(correct / n), float(loss / n)))
     return spark.createDataFrame(rows, f"epoch int, batch long, {MEASURED}")

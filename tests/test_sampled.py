@@ -138,3 +138,18 @@ def test_sampled_program_runs_from_files(spark, world, tmp_path):
     lines = f"ALGORITHM:GCNSAMPLESINGLE\nVERTICES:{N}\nLAYERS:3-4-3\nFANOUT:2-3-3\nBATCH_SIZE:3\nEPOCHS:1\nDROP_RATE:0.2\nEDGE_FILE:{tmp_path}/e\nFEATURE_FILE:{tmp_path}/f\nLABEL_FILE:{tmp_path}/l\n"
     rows = runner.run(spark, Config.parse(lines)).collect()
     assert sorted((r["mask"], r["n"]) for r in rows) == [(0, 1), (0, 3), (1, 4), (2, 4)]
+
+
+def test_jobs_of_sampled_training_dont_grow_with_its_updates(spark):
+    rng = np.random.default_rng(4)
+    ids = list(range(30))
+    g = Graph(spark.createDataFrame([(i,) for i in ids], "vid long"), spark.createDataFrame([(i, j) for i in ids for j in (i, (i * 7 + 3) % 30)], "src long, dst long"))
+    x = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in ids], "vid long, h array<double>")
+    truth = spark.createDataFrame([(i, i % 3, i % 3) for i in ids], "vid long, label long, mask int")
+    jobs = []
+    for size in (1, 5):
+        spark.sparkContext.setJobGroup(f"size {size}", "")
+        rows = sampled.train_sampled(g, x, truth, [3, 4, 3], size, [2, 2], 1).collect()
+        assert [r["batch"] for r in rows if r["mask"] == 0] == list(range(10 // size)) and {r["mask"] for r in rows} == {0, 1, 2}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"size {size}")))
+    assert abs(jobs[0] - jobs[1]) <= 4
