@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import edge_products, over_cells
 from .graph import Graph
-from .vectors import WIDE, dot, fold_vectors, over_vertices, scale, sum_vectors, zeros
+from .vectors import WIDE, fold_vectors, over_vertices, scale, sum_vectors, zeros
 
 
 def at(edges: DataFrame, x: DataFrame, end: str, name: str) -> DataFrame:
@@ -140,8 +141,8 @@ class Aggregate:
         return self._sum(g, "dst", "src")
 
     def backward_weights(self, x: DataFrame, g: DataFrame) -> DataFrame:
-        """(src, dst, w): the gradient of each weight, the product of x[src] and g[dst]."""
-        return at(at(self.weights.select("src", "dst"), x, "src", "a"), g, "dst", "b").select("src", "dst", dot(F.col("a"), F.col("b")).alias("w"))
+        """(src, dst, w): the gradient of each weight, the product of x[src] and g[dst]. Edges never carry a vector through a shuffle."""
+        return over_cells(self.weights, x, g, self.graph.vertices.count(), edge_products, "src long, dst long, w double")
 
 
 class BalancedAggregate(Aggregate):
