@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import nn
+from ..operators.cells import AT_ONCE, list_rows, over_cells
 from ..operators.graph import Graph
-from ..operators.messages import Aggregate, at, with_totals
-from ..operators.vectors import WIDE, add, dot, over_vertices, scale, sum_vectors
+from ..operators.messages import Aggregate
+from ..operators.vectors import WIDE, add, dot, over_vertices, scale, sum_vectors, zeros
 from ..sources.shared import cut, discard
 
 
@@ -213,38 +214,99 @@ class Gather(Layer):
 
 
 class Attention(Layer):
-    """y = sum over in-edges of softmax(leaky(al . h_src + ar . h_dst)) * h_src. The score is split by end, so edges carry one number of
-    each end instead of both vectors."""
+    """y = sum over in-edges of softmax(leaky(al . h_src + ar . h_dst)) * h_src. Edges meet the vectors of their ends in cells, each of which
+    sums by vertex: relative to its own largest score in the forward pass, whose largest scores and sums of all cells (two numbers a
+    vertex) give the weights again in the backward pass. The mean of the gradients of a dst's weights is y . g. While
+    training, what comes out of both passes is written until `release`, as it is read more than once."""
 
-    cuts = (True, True)
+    cuts = (False, True)
 
     def __init__(self, graph: Graph, al: np.ndarray, ar: np.ndarray):
         super().__init__()
-        self.graph, self.width = graph, len(al)
+        self.graph, self.width, self.held = graph, len(al), []
         self.weights = {"al": al, "ar": ar}
 
-    def _scores(self, x):
-        p = x.select("vid", dot(F.col("h"), literal(self.weights["al"])).alias("pl"), dot(F.col("h"), literal(self.weights["ar"])).alias("pr"))
-        e = self.graph.edges.join(p.select(F.col("vid").alias("src"), "pl"), "src").join(p.select(F.col("vid").alias("dst"), "pr"), "dst")
-        e = e.select("src", "dst", (F.col("pl") + F.col("pr")).alias("z"))
-        e = with_totals(e, top=F.max(nn.leaky(F.col("z")))).withColumn("e", F.exp(nn.leaky(F.col("z")) - F.col("top"))).select("src", "dst", "z", "e")
-        return with_totals(e, all=F.sum("e")).select("src", "dst", "z", (F.col("e") / F.col("all")).alias("w"))
+    def _scored(self, x, k):
+        return dot(F.col("h"), literal(self.weights[k]))
+
+    def _over(self, of_src, of_dst, work, schema):
+        return over_cells(self.graph.edges, of_src, of_dst, self.graph.vertices.count(), work, schema)
 
     def forward(self, x, training=True):
-        self.x = x
-        return Aggregate(self.graph, self.width, self._scores(x)).forward(x)
+        self.x, n = x, self.width
+        of_src, of_dst = (x.select("vid", v.alias("h")) for v in (F.concat("h", F.array(self._scored(x, "al"))), F.array(self._scored(x, "ar"))))
+        parts = self._over(of_src, of_dst, attended, "vid long, top double, m array<double>")
+        # a row a cell of the vertex's block: the largest score of all, and sums of what each cell has, relative to it
+        parts = parts.withColumn("all", F.max("top").over(Window.partitionBy("vid")))
+        y = parts.groupBy("vid").agg(F.max("all").alias("top"), F.array(*[F.sum(F.col("m")[i] * F.exp(F.col("top") - F.col("all"))) for i in range(n + 1)]).alias("m"))
+        y = self.graph.vertices.select("vid").join(y, "vid", "left").select("vid", F.coalesce("top", F.lit(0.0)).alias("top"), F.coalesce(F.col("m")[n], F.lit(1.0)).alias("total"), F.coalesce(F.slice("m", 1, n), zeros(n)).alias("m"))
+        y = y.select("vid", "top", "total", scale(F.col("m"), 1 / F.col("total")).alias("h"))
+        self.y = cut(y, held=self.held) if training else y
+        return self.y.select("vid", "h")
 
     def backward(self, g, wanted=True):
-        e = at(at(self._scores(self.x), self.x, "src", "hs"), g, "dst", "gd")
-        e = with_totals(e.withColumn("ga", dot(F.col("hs"), F.col("gd"))).drop("hs"), mean=F.sum(F.col("w") * F.col("ga")))
-        e = e.withColumn("gs", F.col("w") * (F.col("ga") - F.col("mean")))
-        e = e.withColumn("gz", F.when(F.col("z") > 0, F.col("gs")).otherwise(F.col("gs") * 0.2)).select("src", "dst", "w", "gz", "gd")
-        by = lambda end: e.groupBy(F.col(end).alias("vid")).agg(F.sum("gz").alias("q")).join(self.x, "vid").select("h", F.array("q").alias("g"))
-        self.pending = {"al": by("src"), "ar": by("dst")}
-        al, ar = (literal(self.weights[k]) for k in ("al", "ar"))
-        to_src = e.select(F.col("src").alias("vid"), add(scale(F.col("gd"), F.col("w")), scale(al, F.col("gz"))).alias("m"))
-        to_dst = e.select(F.col("dst").alias("vid"), scale(ar, F.col("gz")).alias("m"))
-        return over_vertices(self.graph.vertices, sum_vectors(to_src.union(to_dst), "vid", self.width), "vid", self.width)
+        x, n = self.x, self.width
+        y = with_gradient(self.y, g).join(x.select("vid", self._scored(x, "ar").alias("pr")), "vid")
+        of_dst = y.select("vid", F.concat("g", F.array("pr", "top", "total", dot(F.col("h"), F.col("g")))).alias("h"))
+        of_src = x.select("vid", F.concat("h", F.array(self._scored(x, "al"))).alias("h"))
+        sums = sum_vectors(self._over(of_src, of_dst, attended_back, "vid long, m array<double>"), "vid", n + 2)
+        sums = cut(over_vertices(self.graph.vertices, sums, "vid", n + 2), held=self.held)
+        self.pending = {k: with_gradient(x, sums).select("h", F.array(F.col("g")[n + i]).alias("g")) for i, k in enumerate(("al", "ar"))}
+        al, ar = (scale(literal(self.weights[k]), F.col("h")[n + i]) for i, k in enumerate(("al", "ar")))
+        return sums.select("vid", add(F.slice("h", 1, n), add(al, ar)).alias("h"))
+
+    def release(self):
+        if self.held:
+            discard(SparkSession.active(), self.held)
+
+
+def attended(a_ids, a, b_ids, b, src, dst) -> Iterator[pa.RecordBatch]:
+    """(vid, top, m) of each dst of a cell: its largest score, and the sum of exp(score - top) times (h_src, 1)."""
+    score = a[src, -1] + b[dst, 0]
+    score = np.where(score > 0, score, 0.2 * score)
+    order = np.argsort(dst, kind="stable")
+    src, dst, score = src[order], dst[order], score[order]
+    top = np.full(len(b_ids), -np.inf)
+    np.maximum.at(top, dst, score)
+    h = a.copy()
+    h[:, -1] = 1.0
+    m = _summed(dst, len(b_ids), h.shape[1], lambda e: np.exp(score[e] - top[dst[e]])[:, None] * h[src[e]])
+    own = np.unique(dst)
+    yield from list_rows(["vid", "top", "m"], b_ids[own], top[own], m[own])
+
+
+def attended_back(a_ids, a, b_ids, b, src, dst) -> Iterator[pa.RecordBatch]:
+    """(vid, m): the sums over the edges of a cell of (w g_dst, gradient of the score, 0) by src and (0, 0, gradient of the score) by dst."""
+    n = a.shape[1] - 1
+    order = np.argsort(src, kind="stable")
+    src, dst = src[order], dst[order]
+    z = a[src, -1] + b[dst, n]
+    w = np.exp(np.where(z > 0, z, 0.2 * z) - b[dst, n + 1]) / b[dst, n + 2]
+    gz = np.empty(len(src))
+    for i in range(0, len(src), AT_ONCE):
+        e = slice(i, i + AT_ONCE)
+        gz[e] = w[e] * (np.einsum("ij,ij->i", a[src[e], :n], b[dst[e], :n]) - b[dst[e], n + 3])
+    gz = np.where(z > 0, gz, 0.2 * gz)
+    m = np.zeros((len(a_ids), n + 2))
+    m[:, :n] = _summed(src, len(a_ids), n, lambda e: w[e][:, None] * b[dst[e], :n])
+    m[:, n] = np.bincount(src, gz, len(a_ids))
+    own = np.unique(src)
+    yield from list_rows(["vid", "m"], a_ids[own], m[own])
+    m = np.zeros((len(b_ids), n + 2))
+    m[:, n + 1] = np.bincount(dst, gz, len(b_ids))
+    own = np.unique(dst)
+    yield from list_rows(["vid", "m"], b_ids[own], m[own])
+
+
+def _summed(at: np.ndarray, rows: int, width: int, values) -> np.ndarray:
+    """Sums by place of vectors that are made for some edges at a time; places are in order."""
+    out = np.zeros((rows, width))
+    for i in range(0, len(at), AT_ONCE):
+        e = slice(i, i + AT_ONCE)
+        own = at[e]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        out[own[first]] += np.add.reduceat(values(e), first)
+    return out
 
 
 class Chain(Layer):
