@@ -138,10 +138,19 @@ def _m(x: DataFrame) -> DataFrame:
     return long(x, "src", "dst", vec="m")
 
 
-query("scatter_src", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM e JOIN f ON f.vid = src")(lambda s, d: _m(M.Scatter(T.graph(s, d), W64).forward(features(s, d))))
-query("scatter_dst", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM e JOIN f ON f.vid = dst")(lambda s, d: _m(M.Scatter(T.graph(s, d), W64, "dst").forward(features(s, d))))
+def _rounded(s: SparkSession, d: str) -> DataFrame:
+    """Features as long() rounds them: what only copies them is rounded once a vertex, not once an edge."""
+    return features(s, d).select("vid", F.transform("h", lambda v: F.round(v, 6) + F.lit(0.0)).alias("h"))
+
+
+def _copied(x: DataFrame) -> DataFrame:
+    return to_long(x, ("src", "dst"), "m")
+
+
+query("scatter_src", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM e JOIN f ON f.vid = src")(lambda s, d: _copied(M.Scatter(T.graph(s, d), W64).forward(_rounded(s, d))))
+query("scatter_dst", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM e JOIN f ON f.vid = dst")(lambda s, d: _copied(M.Scatter(T.graph(s, d), W64, "dst").forward(_rounded(s, d))))
 query("scatter_src_dst", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM e JOIN f ON f.vid = src UNION ALL SELECT src, dst, CAST(dim + 64 AS INTEGER), round(val, 6) + 0.0 FROM e JOIN f ON f.vid = dst")(
-    lambda s, d: _m(M.Scatter(T.graph(s, d), W64, "both").forward(features(s, d)))
+    lambda s, d: _copied(M.Scatter(T.graph(s, d), W64, "both").forward(_rounded(s, d)))
 )
 
 #: An edge gradient that SQL and Spark can both write down: element i of edge (src, dst).
@@ -190,7 +199,7 @@ query("slice_concat", "SELECT vid, CAST(dim - 32 AS INTEGER) AS dim, round(val,
 query("agg_sum", _fill(f"SELECT dst AS vid, dim, sum(val) AS val FROM et JOIN f ON f.vid = src GROUP BY 1, 2", W64))(
     lambda s, d: long(M.GatherSum(g := T.plain_graph(s, d), W64).forward(M.Scatter(g, W64).forward(features(s, d))))
 )
-query("agg_sum_bwd", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM et JOIN f ON f.vid = dst")(lambda s, d: _m(M.GatherSum(T.plain_graph(s, d), W64).backward(features(s, d))))
+query("agg_sum_bwd", f"SELECT src, dst, dim, round(val, 6) + 0.0 AS val FROM et JOIN f ON f.vid = dst")(lambda s, d: _copied(M.GatherSum(T.plain_graph(s, d), W64).backward(_rounded(s, d))))
 for _k, _zero in (("min", "least"), ("max", "greatest")):
     query(f"agg_{_k}", _fill(f"SELECT dst AS vid, dim, {_k}(val) AS val FROM et JOIN f ON f.vid = src GROUP BY 1, 2", W64))(
         lambda s, d, k=_k: long(M.GatherExtreme(g := T.plain_graph(s, d), W64, k).forward(M.Scatter(g, W64).forward(features(s, d))))
