@@ -148,8 +148,10 @@ def _confirm(batches: Iterator[pa.RecordBatch], equal: bool = False) -> Iterator
 
 def _links(pairs: DataFrame, texts: DataFrame, equal: bool = False) -> DataFrame:
     """pairs(a, b), b the side that may occur in very many pairs, and texts(row, text) -> the confirmed links (or equal sets), as (u, v)."""
+    if not (total := pairs.count()):
+        return pairs.sparkSession.createDataFrame([], "u long, v long")
     degree = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / PER_TEXT).cast("int"))
-    salted = join_by_key(pairs, degree, "b", pairs.count()).select("a", "b", F.expr("cast(pmod(xxhash64(a), salts) as int)").alias("salt"))
+    salted = join_by_key(pairs, degree, "b", total).select("a", "b", F.expr("cast(pmod(xxhash64(a), salts) as int)").alias("salt"))
     copies = texts.join(degree.withColumnRenamed("b", "row"), "row").select(F.col("row").alias("b"), F.col("text").alias("text_b"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
     near = salted.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(copies, ["b", "salt"])
     return materialise(near.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _confirm(b, equal), "u long, v long"), "dedup-links")
@@ -198,7 +200,9 @@ def by_row(rows: DataFrame) -> DataFrame:
     rest = x.join(y, (x.bucket == y.bucket) & (x.salt == y.salt) & (F.col("ca") != F.col("cb")) & once & alike & _screen("a", "b") & first).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = _links(materialise(rest.join(done, ["a", "b"], "left_anti"), "dedup-more"), texts)
-    label = components(links.union(more))
+    # what is found so far isn't worked out again: a component is a star of links to its smallest row
+    if more.head(1):
+        label = components(label.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
     done = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     done = materialise(done.select("row", "doc_id", "tie", "n_shingles", "component"), "dedup-done")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "tie", "row")

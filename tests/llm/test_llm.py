@@ -78,6 +78,14 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_components_are_not_worked_out_twice(spark, corpus, monkeypatch):
+    asked = []
+    monkeypatch.setattr(near_dedup, "components", lambda links, f=near_dedup.components: asked.append(links) or f(links))
+    same = [(i, "one two three four five six seven eight nine ten", "en", None) for i in range(3)] + [(9, "words of no other text at all here", "en", None)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, same)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 9: 9} and len(asked) == 1
+
+
 def test_near_duplicates_without_doc_ids(spark):
     rng = random.Random(2)
     a, b = words(rng, 50), words(rng, 50)
