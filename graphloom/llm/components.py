@@ -33,17 +33,18 @@ def _small(e: DataFrame, edges: int | None = None) -> DataFrame:
     return tied.union(low.select("u", F.col("m").alias("v")))
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether each id has one edge down at most, and none that also has one up: one sum by id tells, without a further round."""
+    ends = e.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(e.select("v", F.lit(0), F.lit(1)))
+    held = ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not held.filter("down > 1 or down > 0 and up > 0").agg(F.count("*")).first()[0]
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(u, v) -> (id, component): every linked id with the smallest id that it reaches. Self links, repeats and
-    nulls are ignored; no links give an empty table."""
+    nulls are ignored; no links give an empty table. Read from a written table of stars, each around its smallest id."""
     e = links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v")
     e = materialise(_small(e, e.count()).distinct(), "cc")
-    seen = None
-    while True:
-        e = materialise(_small(_large(e, seen[0] if seen else e.count()).distinct()).distinct(), "cc")
-        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(pmod(xxhash64(v, u), 1000003))")).first()
-        if now == seen:
-            break
-        seen = now
-    low = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-    return low.union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct().join(low.select("id"), "id", "left_anti"))
+    while not _stars(e):
+        e = materialise(_small(_large(e, e.count()).distinct()).distinct(), "cc")
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

@@ -11,8 +11,9 @@ words as one shingle below five). Two documents are linked when 100 * |A & B| >=
 3. Within a bucket each member meets the bucket's hub, the member whose buckets are largest in all (that with the fewest edits, in
    a group of edited copies). Sketches screen these pairs, four standard deviations wide, and full sets decide.
 4. In buckets whose members then lie in several components, members outside of the largest one are joined with all members, so
-   that every remaining pair of a bucket across components is met too. No pair within a component is ever made. The members of
-   a bucket are dealt out in blocks of about PER_SALT, each block with its own copy of those outside.
+   that every remaining pair of a bucket across components is met too. Both sides of a bucket are dealt out in blocks of about PER_BLOCK,
+   and each block meets each of the other side in a cell of its own, where sketches are compared as arrays. No pair within a component
+   is ever screened or confirmed.
 
 Rows are numbered in a written table first and compared by row; doc_ids are labels that are put on at the end, so null and repeated
 doc_ids are rows as all others. component_id is the smallest doc_id of a row's component (null comes last), and kept says whether a
@@ -24,6 +25,7 @@ Null text and blank text: empty set, linked with nothing. Extra columns are igno
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,9 @@ BANDS = SAMPLES // ROWS
 BINS, BITS = 2048, 2048
 #: Standard deviations of the estimate within which a pair is confirmed on full sets.
 DEVIATIONS = 4.0
-PER_SALT = 256
+PER_BLOCK = 512
+#: Pairs of a cell that are compared at a time.
+AT_ONCE = 1 << 15
 #: Pairs that are confirmed with one copy of a text.
 PER_TEXT = 64
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -81,24 +85,72 @@ def odd_sketch(s: np.ndarray) -> tuple[int, np.ndarray]:
     return len(low), np.packbits(parity, bitorder="little").view(np.int64)
 
 
-def _screen(a: str, b: str) -> F.Column:
-    """Whether two sketches may belong to a linked pair. At similarity 0.75, the union fills so many ranges, three quarters of
-    them with equal samples; the rest flips bits. What is expected there, and DEVIATIONS more, is let through."""
-    n, filled = F.col(f"n{a}") + F.col(f"n{b}"), F.col(f"k{a}") + F.col(f"k{b}")
-    union = BINS * (1 - F.exp(-n / (1.75 * BINS)))
-    apart = F.greatest(filled - 1.5 * union, F.lit(0.0))
+_ARRAYS = SimpleNamespace(exp=np.exp, sqrt=np.sqrt, floor=np.floor, greatest=np.fmax, least=np.fmin, lit=float)
+
+
+def _allowed(n, filled, f):
+    """How many bits the sketches of a linked pair may differ in. At similarity 0.75, the union fills so many ranges, three quarters of
+    them with equal samples; the rest flips bits. What is expected there, and DEVIATIONS more, is let through. n and filled are sums
+    over both documents: columns with the functions f of Spark, or arrays with those of numpy."""
+    union = BINS * (1 - f.exp(-n / (1.75 * BINS)))
+    apart = f.greatest(filled - 1.5 * union, f.lit(0.0))
     # no more samples than shingles differ, but for one more by each shingle that isn't a sample; folding only lowers the count
-    most = F.floor(n / 7) + n - filled
+    most = f.floor(n / 7) + n - filled
     # samples vary as a draw does from which the share of unsampled shingles is missing, and so does the number of ranges filled
     load = n / (1.75 * BINS)
-    drawn = 4 * union * 0.1875 * F.greatest(1 - filled / n, F.lit(0.02)) + 2.25 * BINS * F.exp(-load) * (1 - (1 + load) * F.exp(-load))
+    drawn = 4 * union * 0.1875 * f.greatest(1 - filled / n, f.lit(0.02)) + 2.25 * BINS * f.exp(-load) * (1 - (1 + load) * f.exp(-load))
     rate = 4 * apart / BITS
-    slope = F.exp(-2 * apart / BITS)
-    folded = BITS / 4 * (1 - F.exp(-rate) * (1 + rate))
-    flipped = lambda d: BITS / 2 * (1 - F.exp(-2 * d / BITS))
-    allowed = F.least(flipped(apart) + DEVIATIONS * F.sqrt(drawn * slope * slope + folded) + 1, most)
+    slope = f.exp(-2 * apart / BITS)
+    folded = BITS / 4 * (1 - f.exp(-rate) * (1 + rate))
+    flipped = lambda d: BITS / 2 * (1 - f.exp(-2 * d / BITS))
+    return f.least(flipped(apart) + DEVIATIONS * f.sqrt(drawn * slope * slope + folded) + 1, most)
+
+
+def _screen(a: str, b: str) -> F.Column:
+    """Whether two sketches may belong to a linked pair."""
     bits = sum((F.bit_count(F.col(f"s{a}")[i].bitwiseXOR(F.col(f"s{b}")[i])) for i in range(BITS // 64)), F.lit(0))
-    return bits <= allowed
+    return bits <= _allowed(F.col(f"n{a}") + F.col(f"n{b}"), F.col(f"k{a}") + F.col(f"k{b}"), F)
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows that come by cell (bucket, i, j) in batches that hold whole cells, with the starts of these and the end. Cells are small."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = batch if held is None else pa.concat_batches([held, batch])
+        differs = sum(np.diff(held.column(c).to_numpy()) != 0 for c in ("bucket", "i", "j"))
+        if len(starts := np.flatnonzero(differs) + 1):
+            yield held.slice(0, starts[-1]), np.concatenate(([0], starts))
+            held = held.slice(starts[-1])
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b), a > b, of both sides of each cell (side 0 first) that lie in different components and pass the screen."""
+    for rows, bounds in _whole_cells(batches):
+        bucket, ids, component, n, k = (rows.column(c).to_numpy() for c in ("bucket", "id", "component", "n", "k"))
+        major, left = (rows.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("major", "left"))
+        sketch, bands = (rows.column(c).flatten().to_numpy().reshape(len(ids), -1) for c in ("s", "bands"))
+        mine, cell = np.flatnonzero(left), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        others = np.add.reduceat(~left, bounds[:-1])[cell[mine]]
+        mine, others = mine[others > 0], others[others > 0]
+        ends = np.cumsum(others)
+        for at in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(ends // AT_ONCE)) + 1):
+            own = others[at]
+            a = np.repeat(mine[at], own)
+            # the other side ends its cell
+            b = np.repeat(bounds[cell[mine[at]] + 1] - np.cumsum(own), own) + np.arange(own.sum())
+            keep = (component[a] != component[b]) & (major[b] | (ids[a] > ids[b])) & (np.minimum(n[a], n[b]) * 4 >= np.maximum(n[a], n[b]) * 3)
+            a, b = a[keep], b[keep]
+            bits = np.bitwise_count((sketch[a] ^ sketch[b]).view(np.uint64)).sum(axis=1)
+            keep = bits <= _allowed((n[a] + n[b]).astype(float), (k[a] + k[b]).astype(float), _ARRAYS)
+            a, b = a[keep], b[keep]
+            # a pair with several buckets in common is made in the least of them; a bucket is of one band
+            common = np.where(bands[a] == bands[b], bands[a], np.iinfo(np.int64).max).min(axis=1)
+            a, b = ids[a[common == bucket[a]]], ids[b[common == bucket[a]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,12 +183,19 @@ def _pairs(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBat
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], equal: bool = False) -> Iterator[pa.RecordBatch]:
-    """The pairs that are linked, or whose sets are equal, by full sets."""
+    """The pairs that are linked, or whose sets are equal, by full sets. A set is worked out once for all pairs of a cut, and not at
+    all where both texts are the same: texts of pairs have words."""
     for batch in batches:
         for part in _pairs(batch):
             left, right = (utf8(part.column(c)) for c in ("text_a", "text_b"))
+            texts = list(dict.fromkeys(t for pair in zip(left, right) if pair[0] != pair[1] for t in pair))
+            sets = dict(zip(texts, shingle_sets(texts))) if texts else {}
             keep = []
-            for a, b in zip(shingle_sets(left), shingle_sets(right)):
+            for x, y in zip(left, right):
+                if x == y:
+                    keep.append(True)
+                    continue
+                a, b = sets[x], sets[y]
                 if equal:
                     keep.append(np.array_equal(a, b))
                     continue
@@ -182,26 +241,26 @@ def by_row(rows: DataFrame) -> DataFrame:
     tried = materialise(met.join(named("a"), "a").join(named("b"), "b").filter(_screen("a", "b")).select("a", "b"), "dedup-tried")
     texts = materialise(texts_of(weight.select(F.col("id").alias("row"))), "dedup-text")
     links = _links(tried, texts)
-    label = materialise(components(links), "dedup-label")
+    label = components(links)
 
     placed = shared.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     held = placed.groupBy("bucket", "component").agg(F.count("*").alias("held"))
-    mixed = held.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("held", "component")).alias("most"), F.ceil(F.sum("held") / PER_SALT).cast("int").alias("salts")).filter("parts > 1")
-    placed = placed.join(mixed.select("bucket", "salts", F.col("most.component").alias("major")), "bucket").withColumn("major", F.expr("component = major"))
+    mixed = held.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("held", "component")).alias("most"), F.sum("held").alias("held")).filter("parts > 1")
+    blocks = lambda c: F.ceil(c / PER_BLOCK).cast("int")
+    mixed = mixed.select("bucket", F.col("most.component").alias("most"), blocks(F.col("held") - F.col("most.held")).alias("lefts"), blocks(F.col("held")).alias("rights"))
+    placed = placed.join(mixed, "bucket").withColumn("major", F.expr("component = most")).drop("most")
     placed = materialise(placed.join(reps.select("id", "n", "k", "s", "bands"), "id"), "dedup-rest")
-    side = lambda df, i: df.select("bucket", "salt", F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("major").alias(f"major{i}"), *(F.col(c).alias(c + i) for c in "nks"), F.col("bands").alias(f"bands{i}"))
     # members of a bucket's largest component aren't set against each other: the rest meets them and itself
-    x = side(placed.filter("not major").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))), "a")
-    y = side(placed.withColumn("salt", F.expr("cast(pmod(xxhash64(id), salts) as int)")), "b")
-    once = F.col("majorb") | (F.col("a") > F.col("b"))
-    alike = F.least("na", "nb") * 4 >= F.greatest("na", "nb") * 3
-    # a pair with several buckets in common is made in the least of them
-    first = F.array_min(F.array_intersect("bandsa", "bandsb")) == x.bucket
-    rest = x.join(y, (x.bucket == y.bucket) & (x.salt == y.salt) & (F.col("ca") != F.col("cb")) & once & alike & _screen("a", "b") & first).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    block, every = (lambda n: F.expr(f"cast(pmod(xxhash64(id), {n}) as int)")), (lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)")))
+    side = lambda df, left, i, j: df.select("bucket", i.alias("i"), j.alias("j"), F.lit(left).alias("left"), "id", "component", "major", "n", "k", "s", "bands")
+    left = side(placed.filter("not major").withColumn("j", every("rights")), True, block("lefts"), F.col("j"))
+    right = side(placed.withColumn("i", every("lefts")), False, F.col("i"), block("rights"))
+    cells = left.union(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.desc("left"))
+    rest = cells.mapInArrow(_across, "a long, b long")
     done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = _links(materialise(rest.join(done, ["a", "b"], "left_anti"), "dedup-more"), texts)
     # what is found so far isn't worked out again: a component is a star of links to its smallest row
-    if more.head(1):
+    if more.count():
         label = components(label.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
     done = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     done = materialise(done.select("row", "doc_id", "tie", "n_shingles", "component"), "dedup-done")

@@ -107,6 +107,14 @@ def test_components_of_hot_ids(spark):
     assert got == want
 
 
+def test_stars_need_no_further_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialise", lambda df, label, f=components.materialise: written.append(label) or f(df, label))
+    edges = spark.createDataFrame([(5, 1), (1, 6), (7, 1), (9, 8), (8, 8)], "u long, v long")
+    got = {r["id"]: r["component"] for r in components.components(edges).collect()}
+    assert got == {1: 1, 5: 1, 6: 1, 7: 1, 8: 8, 9: 8} and len(written) == 1
+
+
 def test_screen_lets_links_through():
     rng = np.random.default_rng(0)
     s = np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64))

@@ -72,6 +72,46 @@ def test_screen_lets_pairs_at_the_limit_through(spark):
     assert spark.createDataFrame(far, df.schema).filter(near_dedup._screen("a", "b")).count() == 0
 
 
+def test_pairs_across_components_in_cells(spark):
+    """Pairs of both sides of every cell beside all pairs of a bucket by the screen's own expression, in batches smaller than a cell."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for group in range(3):
+        common = rng.integers(0, 2**64 - 1, 60, dtype=np.uint64)
+        for member in range(12):
+            s = np.unique(np.concatenate((common[: 60 - member], rng.integers(0, 2**64 - 1, 5 * (member % 3), dtype=np.uint64))))
+            k, sketch = near_dedup.odd_sketch(s)
+            rows.append((len(rows), group * 100 + member % 4, member % 4 == 0, len(s), k, sketch.tolist(), [group, 10 + member % 2, 20 + group]))
+    buckets = [(b, *r) for r in rows for b in r[6]]
+    blocks = {b: 3 if b < 10 else 1 for b, *_ in buckets}
+    left = [(b, i % blocks[b], j, True, i, *r) for b, i, *r in buckets if not r[1] for j in range(2)]
+    right = [(b, i, j % 2, False, j, *r) for b, j, *r in buckets for i in range(blocks[b])]
+    cells = spark.createDataFrame(left + right, "bucket long, i int, j int, left boolean, id long, component long, major boolean, n long, k int, s array<long>, bands array<long>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        dealt = cells.repartition(3, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.desc("left"))
+        got = Counter((r["a"], r["b"]) for r in dealt.mapInArrow(near_dedup._across, "a long, b long").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    one = spark.createDataFrame(rows, "id long, component long, major boolean, n long, k int, s array<long>, bands array<long>")
+    x, y = (one.select(*(F.col(c).alias(c + e) for c in ("id", "component", "major", "n", "k", "s", "bands"))) for e in "ab")
+    met = x.join(y, (F.col("ida") > F.col("idb")) & F.arrays_overlap("bandsa", "bandsb") & (F.col("componenta") != F.col("componentb")) & ~(F.col("majora") & F.col("majorb")))
+    want = met.filter((F.least("na", "nb") * 4 >= F.greatest("na", "nb") * 3) & near_dedup._screen("a", "b")).select("ida", "idb").collect()
+    assert got == Counter((r["ida"], r["idb"]) for r in want) and 50 < len(got) < met.count()
+
+
+def test_equal_texts_are_linked_without_their_sets(spark, monkeypatch):
+    """Only texts that differ are hashed, each once for all its pairs."""
+    hashed = []
+    monkeypatch.setattr(near_dedup, "shingle_sets", lambda texts, f=near_dedup.shingle_sets: hashed.extend(texts) or f(texts))
+    rng = random.Random(4)
+    a, b, c = text(rng), text(rng), text(rng)
+    pairs = [(1, 0, a, a), (2, 0, a + " x", a), (3, 0, b, a), (4, 0, a, a), (5, 6, c, c + " y")]
+    batch = spark.createDataFrame(pairs, "a long, b long, text_a string, text_b string").toArrow().combine_chunks().to_batches()[0]
+    links = {(r["u"], r["v"]) for out in near_dedup._confirm(iter([batch])) for r in out.to_pylist()}
+    assert links == {(1, 0), (2, 0), (4, 0), (5, 6)} and sorted(hashed) == sorted(x.encode() for x in (a, a + " x", b, c, c + " y"))
+
+
 def test_stages_take_columns_of_any_name_and_type(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i % 40 if i % 9 else None, text(rng, 30), "en", rng.choice(["a", "b"]), 1, "x", 0.5, i, {"k": i}, (i, "s"), [i], 2, "t") for i in range(60)] + [(61, "123", "en", "a", 1, "x", 0.5, 0, {}, (0, None), [], 2, "t")]
