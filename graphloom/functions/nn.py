@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -25,12 +25,15 @@ def xavier(rows: int, cols: int, seed: int = 0) -> np.ndarray:
 
 
 def linear(x: DataFrame, w: np.ndarray, vec: str = "h") -> DataFrame:
-    """x W, in Arrow batches: one matrix product per batch. Other columns stay."""
-    width = w.shape[0]
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def product(h: pd.Series) -> pd.Series:
-        return pd.Series(list(np.vstack(h.to_numpy()).reshape(-1, width) @ w)) if len(h) else pd.Series([], dtype=object)
+    """x W, in Arrow batches: one matrix product per batch, whose rows never become objects. Null vectors stay null. Other columns stay."""
+    width, cols = w.shape
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def product(h: pa.Array) -> pa.Array:
+        y = h.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) @ w
+        there = h.is_valid().to_numpy(zero_copy_only=False)
+        starts = np.concatenate(([0], np.cumsum(there))).astype(np.int32) * np.int32(cols)
+        return pa.ListArray.from_arrays(pa.array(starts), pa.array(y.ravel()), mask=pa.array(~there))
 
     return x.withColumn(vec, product(vec))
 

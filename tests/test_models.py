@@ -5,6 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import nn
 from graphloom.functions.nn import EPS, fixed_weight
 from graphloom.functions.optim import Adam
 from graphloom.operators import vectors
@@ -157,3 +158,16 @@ def test_unknown_program(spark):
 def test_config():
     c = Config.parse("ALGORITHM:GCNCPU\nVERTICES:10\nLAYERS:8-4-2\nFANOUT:5-10\nPROC_CUDA:1\nDECAY_RATE:0.97\nPROC_LOCAL:1\n")
     assert (c.algorithm, c.layers, c.fanout, c.decay_rate, c.proc_local, c.ignored) == ("GCNCPU", (8, 4, 2), (5, 10), 0.97, True, ("PROC_CUDA",))
+
+
+def test_products_keep_null_vectors(spark):
+    """A product per Arrow batch, in batches smaller than the frame, without pandas."""
+    rng = np.random.default_rng(7)
+    x, w = rng.normal(size=(50, 5)), rng.normal(size=(5, 3))
+    rows = [(i, None if i % 7 == 3 else x[i].tolist()) for i in range(50)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        got = {r["vid"]: r["h"] for r in nn.linear(spark.createDataFrame(rows, "vid long, h array<double>"), w).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all((got[i] is None) if h is None else np.allclose(got[i], x[i] @ w) for i, h in rows)
