@@ -51,10 +51,16 @@ def _contracted(w: DataFrame, sizes: DataFrame, into: DataFrame) -> tuple[DataFr
     return edges, sizes.join(into, "vid").groupBy(F.col("into").alias("vid")).agg(F.sum("size").alias("size"))
 
 
+def _asked_for(w: DataFrame, looks) -> DataFrame:
+    """The edges of the vertices that look for a part: the others' aren't shuffled."""
+    return w.filter(looks("u"))
+
+
 def _refined(w: DataFrame, labels: DataFrame, limit: float, salt: int) -> DataFrame:
     """One round over labels(vid, size, part)."""
-    toward = w.join(labels.select(F.col("vid").alias("v"), "part"), "v").groupBy(F.col("u").alias("vid"), F.col("part").alias("to")).agg(F.sum("w").alias("w"))
-    half = labels.filter(F.pmod(F.xxhash64("vid", F.lit(salt)), F.lit(2)) == 0)
+    looks = lambda c: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(2)) == 0
+    half, own = labels.filter(looks("vid")), _asked_for(w, looks)
+    toward = own.join(labels.select(F.col("vid").alias("v"), "part"), "v").groupBy(F.col("u").alias("vid"), F.col("part").alias("to")).agg(F.sum("w").alias("w"))
     best = F.max(F.when(F.col("to") != F.col("part"), F.struct("w", F.xxhash64("vid", "to").alias("h"), "to"))).alias("best")
     inside = F.coalesce(F.max(F.when(F.col("to") == F.col("part"), F.col("w"))), F.lit(0)).alias("inside")
     moves = toward.join(half, "vid").groupBy("vid", "size", "part").agg(best, inside)
