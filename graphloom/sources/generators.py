@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.graph import Graph
 
 _STRIDE = 7919
+#: Sources of a band, and edges of a task at most, of cliques: its destinations (65,536) stay within a dictionary of a Parquet column.
+_BAND, _TASK = 256, 1 << 24
 
 
 def _graph(spark: SparkSession, n: int, targets: str) -> Graph:
@@ -34,6 +36,13 @@ def segments(spark: SparkSession, n: int, parts: int) -> Graph:
 
 
 def cliques(spark: SparkSession, n: int, parts: int) -> Graph:
-    """Equal groups in which every vertex has an edge to every other one."""
+    """Equal groups in which every vertex has an edge to every other one. There are n * (n / parts - 1) edges, so they come from a range of
+    their own, in even tasks and without lists of neighbours. A band of sources meets one destination after another: columns of files
+    take such runs in about one bit an edge, where a list of all destinations after each source takes 14 and more."""
     size = n // parts
-    return _graph(spark, size * parts, f"filter(sequence(vid div {size} * {size}, vid div {size} * {size} + {size - 1}), x -> x <> vid)")
+    edges, group, band = parts * size * (size - 1), max(size * (size - 1), 1), max(_BAND * (size - 1), 1)
+    e = spark.range(0, edges, 1, max(spark.sparkContext.defaultParallelism, -(-edges // _TASK)))
+    e = e.selectExpr(f"id div {group} * {size} AS low", f"id % {group} div {band} * {_BAND} AS first", f"id % {group} % {band} AS at")
+    e = e.selectExpr("low", f"first + at % least({_BAND}, {size} - first) AS i", f"at div least({_BAND}, {size} - first) AS j")
+    # j counts the others of a vertex, so it steps over the vertex itself
+    return Graph(spark.range(size * parts).withColumnRenamed("id", "vid"), e.selectExpr("low + i AS src", "low + if(j < i, j, j + 1) AS dst"))

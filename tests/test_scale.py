@@ -10,7 +10,7 @@ from graphloom.operators import messages as M
 from graphloom.operators.graph import Graph
 from graphloom.operators.partition import edge_cut, partition
 from graphloom.plans import layers, models, training
-from graphloom.sources import edge_files
+from graphloom.sources import edge_files, generators
 from graphloom.sources.vertex_files import read_vertices
 
 
@@ -160,3 +160,22 @@ def test_numbered_flow(spark, tmp_path):
     assert e == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
     v = read_vertices(spark, *(f"{tmp_path}/out/{k}" for k in ("features", "labels", "masks"))).orderBy("vid").collect()
     assert [(r["vid"], r["h"], r["label"], r["mask"]) for r in v] == [(0, [1, 2], 0, 0), (1, [3, 4], 1, 1), (2, [5, 6.5], 0, 3), (3, [7, 8], 2, 0)]
+
+
+@pytest.mark.parametrize("n, parts", [(0, 3), (2, 3), (3, 3), (7, 3), (23, 2), (600, 2), (1541, 3)])
+def test_cliques(spark, n, parts):
+    size = n // parts
+    g = generators.cliques(spark, n, parts)
+    got = g.edges.collect()
+    assert g.vertices.count() == size * parts and g.edges.columns == ["src", "dst"]
+    want = {(i, j) for i in range(size * parts) for j in range(i // size * size, i // size * size + size) if i != j}
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_cliques_take_little_space(spark, tmp_path):
+    """Written out, an edge takes about a bit, however large its group is, and tasks stay small."""
+    few = generators.cliques(spark, 5200, 1).edges.filter("src < 512")
+    few.write.parquet(str(tmp_path / "e"))
+    assert few.count() == 512 * 5199
+    assert sum(f.stat().st_size for f in (tmp_path / "e").glob("*.parquet")) * 8 < 2 * 512 * 5199
+    assert generators.cliques(spark, 600_000, 10).edges.rdd.getNumPartitions() > 2000
